@@ -2,14 +2,23 @@
 
 from __future__ import annotations
 
+from .lines import OP6_SQL, op6_line_dedup
+from .mixing import OP5_SQL, op5_source_mixing
+from .pii import op7_personal_data
 from .piece_bpe import op10_sentencepiece
 from .simhash import op1_simhash_near_dedup
 from .wordpiece import op8_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op5_source_mixing": op5_source_mixing,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_personal_data": op7_personal_data,
     "op8_token_counts": op8_token_counts,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_source_mixing": OP5_SQL,
+    "op6_line_dedup": OP6_SQL,
+}
