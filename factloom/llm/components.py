@@ -20,6 +20,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     """
     # xxhash64 of one bigint is a bijection, so hashed ids can stand for the nodes.
     pair = edges.select(F.col(src).cast("bigint").alias("s"), F.col(dst).cast("bigint").alias("d")).where("s is not null and d is not null")
+    pair = materialize(pair, "cc-links")
     edges = materialize(
         pair.where("s <> d").select(F.xxhash64("s").alias("a"), F.xxhash64("d").alias("b")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "cc-edges"
     )

@@ -131,6 +131,10 @@ def link_fingerprints(reps: DataFrame, tau: int, segments: int, lead: int, block
 
         return run
 
+    def joined(label: np.ndarray, a: list[np.ndarray], b: list[np.ndarray]) -> np.ndarray:
+        own = (label != np.arange(len(label))).nonzero()[0]
+        return local_components(len(label), np.concatenate([*a, own]), np.concatenate([*b, label[own]]))
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "lo", "hi"]
         for table in key_runs(batches, keys):
@@ -160,12 +164,10 @@ def link_fingerprints(reps: DataFrame, tau: int, segments: int, lead: int, block
                         b_all.append(b[ok])
                         held += len(a_all[-1])
                 if held > 500_000:
-                    a_all, b_all = [np.concatenate([*a_all, label.nonzero()[0]])], [np.concatenate([*b_all, label[label.nonzero()[0]]])]
-                    label, a_all, b_all, held = local_components(len(node), a_all[0], b_all[0]), [], [], 0
+                    label, a_all, b_all, held = joined(label, a_all, b_all), [], [], 0
                 shift += 1
-            if held or (label != np.arange(len(node))).any():
-                own = label.nonzero()[0]
-                label = local_components(len(node), np.concatenate([*a_all, own]), np.concatenate([*b_all, label[own]]))
+            if held:
+                label = joined(label, a_all, b_all)
             moved = (label != np.arange(len(node))).nonzero()[0]
             if len(moved):
                 yield pa.RecordBatch.from_arrays([pa.array(node[label[moved]]), pa.array(node[moved])], ["src", "dst"])
