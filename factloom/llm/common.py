@@ -123,4 +123,19 @@ def block_pairs(rows: DataFrame, hot: DataFrame, block: int, key: str = "key", n
         *rows.columns,
         F.least("_own", "_other").alias("lo"),
         F.greatest("_own", "_other").alias("hi"),
+        F.col("_own").alias("own"),
     )
+
+
+def usable_vectors(table: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """(id, v) of the rows whose vector is not null, zero or empty and has finite components only."""
+    x = F.col("v")
+    fine = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
+    rows = table.select(F.col(id_col).cast("bigint").alias("id"), F.col(vector_col).alias("v"))
+    return rows.where(x.isNotNull() & F.coalesce(fine, F.lit(False)) & F.exists(x, lambda c: c != 0))
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    """A list column whose lists are equally long, as a double matrix."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)

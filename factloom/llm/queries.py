@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .embedding_dedup import op2_embedding_near_dedup
+from .hilbert import op9_nearest_neighbours
 from .lines import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_source_mixing
 from .pii import op7_personal_data
@@ -11,10 +13,12 @@ from .wordpiece import op8_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
+    "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
     "op8_token_counts": op8_token_counts,
+    "op9_nearest_neighbours": op9_nearest_neighbours,
     "op10_sentencepiece": op10_sentencepiece,
 }
 
