@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .embedding_dedup import op2_embedding_near_dedup
 from .hilbert import op9_nearest_neighbours
+from .langid import op3_language_id
 from .lines import OP6_SQL, op6_line_dedup
 from .mixing import OP5_SQL, op5_source_mixing
 from .pii import op7_personal_data
@@ -14,6 +15,7 @@ from .wordpiece import op8_token_counts
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
+    "op3_language_id": op3_language_id,
     "op5_source_mixing": op5_source_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
