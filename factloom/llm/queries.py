@@ -10,12 +10,14 @@ from .mixing import OP5_SQL, op5_source_mixing
 from .pii import op7_personal_data
 from .piece_bpe import op10_sentencepiece
 from .simhash import op1_simhash_near_dedup
+from .suffix_dedup import op4_suffix_array_dedup
 from .wordpiece import op8_token_counts
 
 QUERIES = {
     "op1_simhash_near_dedup": op1_simhash_near_dedup,
     "op2_embedding_near_dedup": op2_embedding_near_dedup,
     "op3_language_id": op3_language_id,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_line_dedup": op6_line_dedup,
     "op7_personal_data": op7_personal_data,
