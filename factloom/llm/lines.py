@@ -80,6 +80,12 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     )
 
 
+def keep_first_lines(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    """`docs` without later repeated runs of lines; documents of which nothing is left go."""
+    out = drop_repeated_lines(docs, text_col=text_col, **how)
+    return out.where(~((F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines")))).drop("_n_lines", "_n_removed")
+
+
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
     out = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))

@@ -93,6 +93,23 @@ def mix_sources(
     return out.select(F.col("id").alias(id_col), "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", "taken", copies.cast("int").alias("copies"))
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it.
+
+    Rows that repeat an id, source and size are equals; how often such rows are taken together
+    is right, and spread evenly over them.
+    """
+    taken = mix_sources(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"))
+    taken = taken.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    match = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (word_count(F.col(text_col)) == F.col("_size"))
+    out = docs.join(taken.where("_copies > 0"), match)
+    # Only repeated rows need a number of their own.
+    several = out.where("_rows > 1").withColumn("_n", F.row_number().over(Window.partitionBy(id_col, source_col, "_size").orderBy(text_col)))
+    several = several.withColumn("_own", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_n") <= F.col("_copies") % F.col("_rows")).cast("int")).drop("_n")
+    out = out.where("_rows = 1").withColumn("_own", F.col("_copies")).unionByName(several)
+    return out.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(*docs.columns)
+
+
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
     return mix_sources(read_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
