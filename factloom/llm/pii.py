@@ -70,7 +70,9 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, reach: in
     Counts cover all documents: a term's texts are counted over the whole corpus.
     """
     pairs = found.groupBy("term", "value").agg(F.count_distinct("th").alias("n_te")).where(F.col("n_te") >= min_texts)
-    pairs = materialize(pairs, "pii-pairs")
+    # A term is in at least the texts in which it is near some entity, so its share is at most this.
+    seen = found.groupBy("term").agg(F.count_distinct("th").alias("n_near"))
+    pairs = materialize(pairs.join(seen, "term").where(F.col("n_te") >= F.col("n_near") * min_share).drop("n_near"), "pii-pairs")
     entities = found.join(pairs.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.count_distinct("th").alias("n_e"))
     wanted = maybe_broadcast(materialize(pairs.select("term").distinct(), "pii-wanted"))
     words = docs.select(F.xxhash64(text_col).alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(TERM), F.lit(0)))).alias("term"))
