@@ -19,7 +19,7 @@ class TxOrder:
     """Packs a transaction id and the operation into one number that orders like them.
 
     With the ranges known, time, counter and node rank mostly fit 63 bits, and the maximum of a
-    BIGINT is a hash aggregate; beyond that a DECIMAL(38) takes them. The lowest bit is set for
+    BIGINT is a hash aggregate; beyond that the key is a struct. The lowest part is set for
     assertions, so of one transaction's assertion and retraction of one value the assertion wins.
     """
 
@@ -39,39 +39,34 @@ class TxOrder:
         nodes = datoms.select("tx_node").distinct().select("tx_node", (F.row_number().over(Window.orderBy("tx_node")) - 1).alias("_node"))
         return TxOrder(lo, log_bits, node_bits, span.bit_length() + log_bits + node_bits + 1 > 63, nodes, s["nodes"])
 
-    def keyed(self, datoms: DataFrame) -> DataFrame:
-        """`datoms` with the packed key `_k`."""
-        nodes = F.broadcast(self.nodes) if self.n_nodes <= BROADCAST_NODES else self.nodes
-        kind = "decimal(38,0)" if self.wide else "bigint"
-
-        def up(x: Column, bits: int) -> Column:
-            return (x * F.lit(1 << bits).cast(kind)).cast(kind)
+    def _ranks(self) -> DataFrame:
+        return F.broadcast(self.nodes) if self.n_nodes <= BROADCAST_NODES else self.nodes
 
-        k = (F.col("tx_phys") - self.base).cast(kind)
+    def keyed(self, datoms: DataFrame) -> DataFrame:
+        """`datoms` with the key `_k`."""
+        if self.wide:
+            return datoms.withColumn("_k", F.struct("tx_phys", "tx_log", "tx_node", (1 - F.col("op")).alias("ok")))
+        k = F.col("tx_phys") - self.base
         for more, bits in ((F.col("tx_log"), self.log_bits), (F.col("_node"), self.node_bits), (1 - F.col("op"), 1)):
-            k = (up(k, bits) + more.cast(kind)).cast(kind)
-        return datoms.join(nodes, "tx_node").withColumn("_k", k).drop("_node")
+            k = F.shiftleft(k, bits) + more
+        return datoms.join(self._ranks(), "tx_node").withColumn("_k", k).drop("_node")
+
+    def asserted(self) -> Column:
+        """Whether the event behind `_k` is an assertion."""
+        return F.col("_k")["ok"] == 1 if self.wide else F.col("_k").bitwiseAND(F.lit(1)) == 1
 
     def unpacked(self, rows: DataFrame) -> DataFrame:
         """The transaction columns back from `_k`."""
-        nodes = F.broadcast(self.nodes) if self.n_nodes <= BROADCAST_NODES else self.nodes
-
-        def split(bits: int, shift: int) -> tuple[Column, Column]:
-            if not self.wide:
-                return F.shiftright("_k", shift + bits), F.shiftright("_k", shift).bitwiseAND(F.lit((1 << bits) - 1))
-            one = F.expr(f"cast(_k div {1 << shift} as decimal(38,0))")
-            return F.floor(one / (1 << bits)), (one % (1 << bits)).cast("bigint")
-
-        _, node = split(self.node_bits, 1)
-        _, log = split(self.log_bits, 1 + self.node_bits)
-        shift = 1 + self.node_bits + self.log_bits
-        phys = F.shiftright("_k", shift) if not self.wide else F.expr(f"cast(_k div {1 << shift} as bigint)")
-        out = rows.withColumns({"_node": node.cast("int"), "tx_log": log.cast("bigint"), "tx_phys": phys.cast("bigint") + self.base})
-        return out.join(nodes, "_node").drop("_node")
+        if self.wide:
+            return rows.withColumns({c: F.col("_k")[c] for c in TX_COLS})
 
+        def part(bits: int, shift: int) -> Column:
+            return F.shiftright("_k", shift).bitwiseAND(F.lit((1 << bits) - 1))
 
-def _asserted(order: TxOrder) -> Column:
-    return F.col("_k") % 2 == 1
+        node, log = part(self.node_bits, 1), part(self.log_bits, 1 + self.node_bits)
+        phys = F.shiftright("_k", 1 + self.node_bits + self.log_bits) + self.base
+        out = rows.withColumns({"_node": node.cast("int"), "tx_log": log.cast("bigint"), "tx_phys": phys.cast("bigint")})
+        return out.join(self._ranks(), "_node").drop("_node")
 
 
 def causal(datoms: DataFrame, order: TxOrder | None = None) -> tuple[DataFrame, TxOrder]:
@@ -83,13 +78,13 @@ def causal(datoms: DataFrame, order: TxOrder | None = None) -> tuple[DataFrame,
 def live_set(datoms: DataFrame, order: TxOrder | None = None) -> DataFrame:
     """(e, a, v columns, tx columns) of every value whose latest event is an assertion."""
     latest, order = causal(datoms, order)
-    return order.unpacked(latest.where(_asserted(order))).drop("_k")
+    return order.unpacked(latest.where(order.asserted())).drop("_k")
 
 
 def retracted_set(datoms: DataFrame, order: TxOrder | None = None) -> DataFrame:
     """Values whose latest event is a retraction."""
     latest, order = causal(datoms, order)
-    return order.unpacked(latest.where(~_asserted(order))).drop("_k")
+    return order.unpacked(latest.where(~order.asserted())).drop("_k")
 
 
 def live_values(datoms: DataFrame, entity: Column | None = None, attribute: str | None = None) -> DataFrame:
@@ -109,7 +104,7 @@ def live_resolve(datoms: DataFrame, order: TxOrder | None = None) -> DataFrame:
     order = order or TxOrder.of(datoms)
     latest = order.keyed(datoms).repartition("e", "a").groupBy(*EAV).agg(F.max("_k").alias("_k"))
     w = Window.partitionBy("e", "a").orderBy(F.desc("_k"), *[F.desc(c) for c in V_COLS])
-    chosen = latest.where(_asserted(order)).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
+    chosen = latest.where(order.asserted()).withColumn("_rn", F.row_number().over(w)).where("_rn = 1")
     return order.unpacked(chosen).drop("_k", "_rn")
 
 

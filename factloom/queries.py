@@ -314,7 +314,7 @@ def retracted_values(spark, sf):
 @register("merge_causal", f"WITH {D}, {LIVE} SELECT {LIVE_ROW} FROM live")
 def merge_causal(spark, sf):
     latest, order = live.merge_causal(*replicas(spark, sf))
-    return _live_row(order.unpacked(latest.where(F.col("_k") % 2 == 1)))
+    return _live_row(order.unpacked(latest.where(order.asserted())))
 
 
 # sets

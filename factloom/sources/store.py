@@ -209,8 +209,8 @@ class Database:
         marked.dropDuplicates(ID_COLS).repartitionByRange("e").sortWithinPartitions(*ID_COLS).write.partitionBy("is_live").parquet(f"{self.files.root}/{name}/datoms")
         print_ = fingerprint(self.spark.read.parquet(f"{self.files.root}/{name}/datoms").select(*DATOM_SCHEMA.names)).first()[0]
         self.files.write(f"{name}/meta.json", json.dumps({"epoch": m.epoch, "fingerprint": print_}))
-        new = Manifest(m.epoch, (), name, m.last)
-        self.files.write(f"_commits/{m.epoch:012d}-checkpoint.json", new.text())
+        new = Manifest(m.epoch, (), name, m.last)  # its name sorts after that of the epoch's commit
+        self.files.write(f"_commits/{m.epoch:012d}z.json", new.text())
         return name
 
     def verify_checkpoint(self) -> None:
