@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,42 +9,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import materialize, scratch_dir  # noqa: F401
+
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
 #: Largest row count of a table that is handed to every executor (16 bytes a row or so).
 BROADCAST_ROWS = 200_000
 
-_own_scratch: dict[str, str] = {}
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return shared.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own_scratch:
-        _own_scratch[app] = tempfile.mkdtemp(prefix="factloom-")
-    return _own_scratch[app]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: writes `df` as a table in the shared folder and reads it back.
-
-    Unlike a cached frame the table outlives any executor, and unlike checkpoint() the plan
-    runs once.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`df` (a materialised table) with a broadcast hint if it has at most `limit` rows."""
     return F.broadcast(df) if df.count() <= limit else df
