@@ -130,21 +130,18 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     wanted = mixed.groupBy("at.d", "at.th").agg(F.collect_list(F.struct("h", "g", "at.s", "n", "hot")).alias("cuts"))
     pieces = rows.join(wanted.withColumnsRenamed({"d": "_d", "th": "_th"}), F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("t", "cuts")
 
-    def pick(hot: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for t, cuts in zip(batch.column("t"), batch.column("cuts")):
-                    data = t.as_py().encode()
-                    own = [c for c in cuts.as_py() if c["hot"] == hot]
-                    if hot:
-                        for c in own:
-                            starts = range(c["s"], c["s"] + c["n"])
-                            w = [xxhash.xxh3_128_digest(data[i : i + length]) for i in starts]
-                            yield pa.RecordBatch.from_arrays([pa.array([c["h"]] * c["n"], pa.int64()), pa.array([c["g"]] * c["n"], pa.binary()), pa.array(range(c["n"]), pa.int32()), pa.array(w, pa.binary())], ["h", "g", "i", "w"])
-                    elif own:
-                        yield pa.RecordBatch.from_arrays([pa.array([c["h"] for c in own], pa.int64()), pa.array([c["g"] for c in own], pa.binary()), pa.array([data[c["s"] : c["s"] + c["n"] + length - 1] for c in own], pa.binary())], ["h", "g", "b"])
-
-        return run
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The bytes of a segment, or the digest of each of its strings if its name is hot."""
+        for batch in batches:
+            for t, cuts in zip(batch.column("t"), batch.column("cuts")):
+                data, h, g, i, x = t.as_py().encode(), [], [], [], []
+                for c in cuts.as_py():
+                    s, n = c["s"], c["n"]
+                    h += [c["h"]] * (n if c["hot"] else 1)
+                    g += [c["g"]] * (n if c["hot"] else 1)
+                    i += range(n) if c["hot"] else [None]
+                    x += [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(s, s + n)] if c["hot"] else [data[s : s + n + length - 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.binary()), pa.array(i, pa.int32()), pa.array(x, pa.binary())], ["h", "g", "i", "x"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(hs: list[int], gs: list[bytes], bs: list[bytes]) -> pa.RecordBatch:
@@ -156,7 +153,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             for start, n in zip(*run_lengths(table, ["h"])):
                 run = table.slice(start, n)
                 seen = {}  # documents equal in id and text give their segments more than once
-                for h, g, b in zip(run.column("h").to_pylist(), run.column("g").to_pylist(), run.column("b").to_pylist()):
+                for h, g, b in zip(run.column("h").to_pylist(), run.column("g").to_pylist(), run.column("x").to_pylist()):
                     seen[g] = (h, b)
                 more = sum(len(b) for _, b in seen.values())
                 if size and size + more > SHARD:
@@ -171,24 +168,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield shard(hs, gs, bs)
 
 
-    cold = pieces.mapInArrow(pick(False), "h long, g binary, b binary").repartition("h").sortWithinPartitions("h", "g")
+    pieces = materialize(pieces.mapInArrow(pick, "h long, g binary, i int, x binary"), "suffix-pieces")
+    cold = pieces.where("i is null").select("h", "g", "x").repartition("h").sortWithinPartitions("h", "g")
     cold = cold.mapInArrow(compare, "h long, g binary, r array<array<int>>").where("size(r) > 0")
-    whole = distinct.where("c > 1").select("h", "g", F.array(F.array(F.lit(0), F.col("n"))).alias("r"))
-    results = [whole, cold.join(distinct.where("c > 1").select("h", "g"), ["h", "g"], "left_anti")]
-    if not names.where("hot").isEmpty():
-        windows = materialize(pieces.mapInArrow(pick(True), "h long, g binary, i int, w binary").distinct(), "suffix-windows")
-        again = windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w")
-        starts = windows.join(materialize(again, "suffix-again"), ["h", "w"], "left_semi").groupBy("h", "g").agg(F.array_sort(F.collect_set("i")).alias("i"))
-        hot = starts.select("h", "g", F.transform("i", lambda i: F.array(i, i + 1)).alias("r"))
-        results.append(hot.join(distinct.where("c > 1").select("h", "g"), ["h", "g"], "left_anti"))
-    ranges = results[0]
-    for more in results[1:]:
-        ranges = ranges.unionByName(more)
+    windows = pieces.where("i is not null").distinct()
+    again = materialize(windows.groupBy("h", "x").agg(F.count("*").alias("c")).where("c > 1").select("h", "x"), "suffix-again")
+    starts = windows.join(again, ["h", "x"], "left_semi").groupBy("h", "g").agg(F.array_sort(F.collect_set("i")).alias("i"))
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for i in batch.column("i"):
+                x = i.values.to_numpy()
+                cut = (np.diff(x) > 1).nonzero()[0]
+                out.append(np.stack([x[np.append(0, cut + 1)], x[np.append(cut, len(x) - 1)] + 1], axis=1).tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["h", "g", "r"])
+
+    hot = starts.mapInArrow(runs, "h long, g binary, r array<array<int>>")
+    often = distinct.where("c > 1").select("h", "g", F.array(F.array(F.lit(0), F.col("n"))).alias("r"))
+    ranges = often.unionByName(cold.unionByName(hot).join(often.select("h", "g"), ["h", "g"], "left_anti"))
     ranges = materialize(ranges, "suffix-ranges")
     hits = live.select("h", "g", "d", "th", "s").join(ranges, ["h", "g"])
     spans = F.transform("r", lambda x: F.struct((F.col("s") + x[0]).alias("a"), (F.col("s") + x[1] + length - 1).alias("b")))
-    hits = materialize(hits.select("d", "th", F.explode(spans).alias("x")), "suffix-hits")
-    return hits.groupBy("d", "th").agg(F.collect_set("x").alias("spans"))
+    hits = materialize(hits.select("d", "th", spans.alias("x")), "suffix-hits")
+    return hits.groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("spans"))
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
