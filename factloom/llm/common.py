@@ -8,22 +8,34 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..scratch import materialize, scratch_dir  # noqa: F401
 
 #: Words are maximal runs of anything but the six ASCII white-space characters.
 WORD = "[^\\x20\\x09-\\x0D]+"
 
-#: Largest row count of a table that is handed to every executor (16 bytes a row or so).
-BROADCAST_ROWS = 200_000
+#: Largest table, by the bytes of its values, that is handed to every executor.
+BROADCAST_BYTES = 16 << 20
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """`df` (a materialised table) with a broadcast hint if it has at most `limit` rows."""
-    return F.broadcast(df) if df.count() <= limit else df
+def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """`df` (a materialised table) with a broadcast hint if its values have at most `limit` bytes."""
+
+    def size(f: T.StructField):
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        if isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            return F.octet_length(F.to_json(F.struct(c))) + 16
+        return F.lit(16)
+
+    total = df.agg(F.sum(sum((size(f) for f in df.schema.fields[1:]), size(df.schema.fields[0])))).first()[0]
+    return F.broadcast(df) if (total or 0) <= limit else df
 
 
 def key_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import key_runs, materialize, matrix, maybe_broadcast, read_table, run_lengths, usable_vectors
+from .common import key_runs, materialize, matrix, read_table, run_lengths, usable_vectors
 
 SEED = 9
 #: Rows looked at to fit the projections and the grid's range.
@@ -115,12 +115,16 @@ def nearest_neighbours(
         return empty
     d = lengths[0]["d"]
     good = good.where(F.size("v") == d)
+    asked = usable_vectors(queries, id_col, vector_col).where((F.col("id").isNotNull()) & (F.size("v") == d)).distinct()
+    # One node for each different vector of table and queries; those of queries alone have no ids.
     order = Window.partitionBy("v").orderBy("id")
-    some = good.dropDuplicates(["id", "v"]).withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k + 1)
-    reps = materialize(some.groupBy("v").agg(F.min("id").alias("node"), F.array_sort(F.collect_list("id")).alias("ids")), "ann-reps")
+    some = good.distinct().withColumn("_rn", F.row_number().over(order)).where(F.col("_rn") <= k + 1).drop("_rn")
+    some = some.withColumn("q", F.lit(False)).unionByName(asked.select(F.lit(None).cast("bigint").alias("id"), "v", F.lit(True).alias("q")).distinct())
+    reps = some.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"), F.max("q").alias("q"))
+    reps = materialize(reps.select(F.monotonically_increasing_id().alias("node"), "v", "ids", F.try_element_at("ids", F.lit(1)).alias("first"), "q"), "ann-reps")
     n = reps.count()
     kind = reps.schema["v"].dataType.simpleString()
-    fit = reps.orderBy(F.xxhash64("node")).limit(FIT_ROWS).select("v").toArrow()
+    fit = reps.orderBy(F.xxhash64("v"), "first").limit(FIT_ROWS).select("v").toArrow()
     index = spark.sparkContext.broadcast(Curves(matrix(fit.column("v")), curves, dims, bits))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,23 +134,20 @@ def nearest_neighbours(
                 keys = index.value.keys(matrix(part.column("v")))
                 many = pa.array(np.repeat(np.arange(part.num_rows), keys.shape[1]))
                 curve = np.tile(np.arange(keys.shape[1], dtype=np.int32), part.num_rows)
-                yield pa.RecordBatch.from_arrays([pa.array(curve), pa.array(keys.ravel()), part.column("node").take(many), part.column("v").take(many)], ["curve", "key", "node", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(curve), pa.array(keys.ravel()), *(part.column(c).take(many) for c in ("node", "first", "q", "v"))], ["curve", "key", "node", "first", "q", "v"])
 
-    rows = reps.select("node", "v").mapInArrow(placed, f"curve int, key long, node long, v {kind}")
+    rows = reps.select("node", "first", "q", "v").mapInArrow(placed, f"curve int, key long, node long, first long, q boolean, v {kind}")
     rows = rows.repartitionByRange("curve", "key", "node").sortWithinPartitions("curve", "key", "node")
     rows = materialize(rows.withColumn("_mono", F.monotonically_increasing_id()).withColumn("_part", F.shiftright("_mono", 33)), "ann-order")
     parts = rows.groupBy("_part").agg(F.count("*").alias("c")).orderBy("_part").collect()  # one row a partition
     before = np.concatenate([[0], np.cumsum([p["c"] for p in parts])])
     offsets = spark.createDataFrame([(int(p["_part"]), int(b)) for p, b in zip(parts, before)], "_part long, _offset long")
     place = (F.col("_offset") + F.col("_mono").bitwiseAND((1 << 33) - 1)) % n
-    rows = rows.join(F.broadcast(offsets), "_part").select("curve", "node", "v", F.floor(place / block).cast("int").alias("win"))  # bounded: a row a partition
+    rows = rows.join(F.broadcast(offsets), "_part").select("curve", "node", "first", "q", "v", F.floor(place / block).cast("int").alias("win"))  # bounded: a row a partition
     last = (n - 1) // block
 
-    asked = usable_vectors(queries, id_col, vector_col).where((F.col("id").isNotNull()) & (F.size("v") == d)).select(F.col("id").alias("query_id"), F.col("v").alias("qv"))
-    asked = materialize(asked.join(reps.select("v", "node"), asked.qv == reps.v, "left").select("query_id", "qv", "node").distinct(), "ann-asked")
-
     # The radius, measured.
-    probe = asked.where("node is not null").orderBy(F.xxhash64("query_id"), "query_id").limit(probes).toArrow()  # bounded
+    probe = reps.where("q").orderBy(F.xxhash64("v"), "first").limit(probes).select("node", F.col("v").alias("qv")).toArrow()  # bounded
     radius = last + 1
     if probe.num_rows and last > 0:
         pq, pnode = spark.sparkContext.broadcast(matrix(probe.column("qv"))), probe.column("node").to_pylist()
@@ -157,7 +158,7 @@ def nearest_neighbours(
                     for i, near, dist in _best(pq.value, matrix(batch.column("v")), k + 1):
                         yield pa.RecordBatch.from_arrays([pa.array(np.full(len(near), i, np.int32)), batch.column("node").take(pa.array(near)), pa.array(dist)], ["i", "node", "dist"])
 
-        top = reps.select("node", "v").mapInArrow(brute, "i int, node long, dist double")
+        top = reps.where("first is not null").select("node", "v").mapInArrow(brute, "i int, node long, dist double")
         top = top.withColumn("_r", F.row_number().over(Window.partitionBy("i").orderBy("dist", "node"))).where(F.col("_r") <= k + 1)
         own = spark.createDataFrame([(i, x) for i, x in enumerate(pnode)], "i int, own long")
         pairs = F.broadcast(top.select("i", "node").join(F.broadcast(own), "i").where("node <> own"))  # bounded by probes * k
@@ -170,10 +171,9 @@ def nearest_neighbours(
             radius = int(got[min(len(got) - 1, math.ceil(recall * len(got)) - 1)])
 
     # Neighbouring windows: every query goes to those around its own place on each curve.
-    spots = asked.where("node is not null").join(rows.select("node", "curve", "win"), "node").select("query_id", "qv", "curve", "win")
-    spots = spots.select("curve", F.explode(F.sequence(F.greatest(F.col("win") - radius, F.lit(0)), F.least(F.col("win") + radius, F.lit(last)))).alias("win"), F.col("query_id").alias("id"), F.col("qv").alias("v"), F.lit(True).alias("q"))
-    both = spots.unionByName(rows.select("curve", "win", F.col("node").alias("id"), "v", F.lit(False).alias("q")))
-    both = both.repartition("curve", "win").sortWithinPartitions("curve", "win", "q", "id")
+    spots = rows.where("q").select("curve", F.explode(F.sequence(F.greatest(F.col("win") - radius, F.lit(0)), F.least(F.col("win") + radius, F.lit(last)))).alias("win"), "node", F.lit(None).cast("bigint").alias("first"), "v", F.lit(True).alias("q"))
+    both = spots.unionByName(rows.where("first is not null").select("curve", "win", "node", "first", "v", F.lit(False).alias("q")))
+    both = both.repartition("curve", "win").sortWithinPartitions("curve", "win", "q", "node")
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["curve", "win"]
@@ -184,20 +184,24 @@ def nearest_neighbours(
                 m = int((~is_q).sum())
                 if m in (0, length):
                     continue
-                x, ids = matrix(run.column("v")), run.column("id").to_numpy()
+                x, ids, first = matrix(run.column("v")), run.column("node").to_numpy(), run.column("first")[:m].to_numpy()
                 qs, ns, ds = [], [], []
                 for i, near, dist in _best(x[m:], x[:m], k + 1):
-                    order = np.lexsort((ids[near], dist))[: k + 1]
+                    order = np.lexsort((first[near], dist))[: k + 1]
                     qs.append(np.full(len(order), ids[m + i]))
                     ns.append(ids[near[order]])
                     ds.append(dist[order])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (qs, ns, ds)], ["query_id", "node", "score"])
-
-    found = both.mapInArrow(scan, "query_id long, node long, score double").groupBy("query_id", "node").agg(F.min("score").alias("score"))
-    best = Window.partitionBy("query_id").orderBy("score", "node")
-    found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1)
-    found = found.join(reps.select("node", "ids"), "node").select("query_id", "score", F.explode("ids").alias("id")).where("id <> query_id")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in (qs, ns, ds)], ["_q", "node", "score"])
+
+    found = both.mapInArrow(scan, "_q long, node long, score double").groupBy("_q", "node").agg(F.min("score").alias("score"))
+    found = found.join(reps.select("node", "first", "ids"), "node")
+    best = Window.partitionBy("_q").orderBy("score", "first")
+    found = found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).select("_q", "score", F.explode("ids").alias("id"))
+    best = Window.partitionBy("_q").orderBy("score", "id")
+    found = materialize(found.withColumn("_r", F.row_number().over(best)).where(F.col("_r") <= k + 1).drop("_r"), "ann-found")
+    # Each query gets its vector's answer without itself.
+    mine = materialize(asked.select(F.col("id").alias("query_id"), "v").join(reps.select("v", F.col("node").alias("_q")), "v").select("query_id", "_q"), "ann-asked")
+    ranked = mine.join(found, "_q").where("id <> query_id").withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "id"))).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int"), "id", "score")
 
 
