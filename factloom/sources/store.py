@@ -120,7 +120,7 @@ class Database:
         out = self.spark.read.schema(DATOM_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], DATOM_SCHEMA)
         if m.checkpoint:
             kept = self.spark.read.parquet(f"{self.files.root}/{m.checkpoint}/datoms")
-            kept = kept.where("is_live") if live_only else kept
+            kept = kept.where("is_live = 1") if live_only else kept
             out = kept.select(*DATOM_SCHEMA.names).unionByName(out)
         return out
 
@@ -204,7 +204,7 @@ class Database:
         m, rows = self.manifest, self.datoms()
         live = live_set(rows).select("e", "a", *V_COLS, *TX_COLS).withColumn("_live", F.lit(True))
         on = [F.col("d.e") == F.col("l.e"), F.col("d.a") == F.col("l.a"), same_value("d", "l"), *[F.col(f"d.{c}") == F.col(f"l.{c}") for c in TX_COLS], F.col("d.op") == 0]
-        marked = rows.alias("d").join(live.alias("l"), on, "left").select("d.*", F.coalesce("l._live", F.lit(False)).alias("is_live"))
+        marked = rows.alias("d").join(live.alias("l"), on, "left").select("d.*", F.when(F.col("l._live"), 1).otherwise(0).alias("is_live"))
         name = f"checkpoints/{m.epoch:012d}-{uuid.uuid4().hex[:8]}"
         marked.dropDuplicates(ID_COLS).repartitionByRange("e").sortWithinPartitions(*ID_COLS).write.partitionBy("is_live").parquet(f"{self.files.root}/{name}/datoms")
         print_ = fingerprint(self.spark.read.parquet(f"{self.files.root}/{name}/datoms").select(*DATOM_SCHEMA.names)).first()[0]
