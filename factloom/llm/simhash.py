@@ -202,13 +202,13 @@ def simhash_neardup(
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` without the near copies: of each group the smallest id stays.
 
-    Of rows that repeat that id all stay; a row with a null id stays if no other row has its
-    fingerprint's group. Columns are those of `docs`.
+    Of rows that repeat that id all stay, and so do rows with a null id, which nothing names.
+    Columns are those of `docs`.
     """
     id_col = how.get("id_col", "doc_id")
     found = simhash_neardup(docs, **how)
-    keep = found.where("component_id is null or id = component_id").select(F.col("id").alias("_keep")).distinct()
-    return docs.join(keep, F.col(id_col).eqNullSafe(F.col("_keep")), "left_semi")
+    drop = found.where("id <> component_id").select(F.col("id").alias("_drop")).distinct()
+    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
 
 
 #: For similarity 0.8 on five-word shingles: a set overlap of 0.8 is a cosine of 8/9, whose angle
