@@ -143,7 +143,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 h = grams(letters(text.as_py()))
                 held.setdefault(number[lang], []).append(h)
                 size += len(h)
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield from flush()
                     size = 0
         yield from flush()
@@ -162,33 +162,42 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     return found.finish()
 
 
-def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text") -> DataFrame:
-    """`docs` with lang_pred and score added; a text without a letter, or null, is `und` with score 0."""
+def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
+    """`docs`, without some columns, with lang_pred and score added.
+
+    A text without a letter, or null, is `und` with score 0.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for each 64 languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at = names.index(text_col)
         for batch in batches:
-            found = [shared.value.predict(t.as_py()) for t in batch.column(at)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [*names, "lang_pred", "score"])
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                found = [shared.value.predict(t.as_py()) for t in part.column(at)]
+                told = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *told], [*(names[i] for i in keep), "lang_pred", "score"])
 
     docs = docs.drop("lang_pred", "score")
     names = docs.columns
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
+    keep = [i for i, c in enumerate(names) if c not in without]
+    return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", without: tuple[str, ...] = (), **how) -> DataFrame:
     """`docs` with held_out, lang_pred and score added, learned from the rows not held out.
 
+    Columns named in `without`, such as the text, are not returned.
+
     Rows that repeat an id are predicted each by its own text. Without any labelled text every
     row is `und`.
     """
     model = learn(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **how)
-    return predict(docs.withColumn("held_out", held_out(id_col)), model, text_col)
+    return predict(docs.withColumn("held_out", held_out(id_col)), model, text_col, without)
 
 
 def keep_identified(docs: DataFrame, min_score: float = 0.3, **how) -> DataFrame:
@@ -201,4 +210,4 @@ def keep_identified(docs: DataFrame, min_score: float = 0.3, **how) -> DataFrame
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return identify_languages(docs).select("doc_id", "held_out", "lang_pred", "score")
+    return identify_languages(docs, without=("text",)).select("doc_id", "held_out", "lang_pred", "score")
