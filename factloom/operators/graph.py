@@ -37,6 +37,8 @@ def k_hop(graph: DataFrame, nodes: DataFrame, k: int, attributes: list[str] | No
     """(start, node, hops): nodes first reached from each start (id) in at most k steps."""
     steps = graph if attributes is None else graph.where(F.col("attr").isin(attributes))
     steps = steps.select("src", "dst").distinct()
+    if k > 1:  # read once a hop
+        steps = materialize(steps, "graph-steps")
     front = nodes.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct().withColumn("hops", F.lit(0))
     seen = front
     for hop in range(1, k + 1):
@@ -50,7 +52,7 @@ def k_hop(graph: DataFrame, nodes: DataFrame, k: int, attributes: list[str] | No
 
 def reachable(graph: DataFrame, nodes: DataFrame) -> DataFrame:
     """(start, node): everything reached in one step or more; ends on cyclic graphs as well."""
-    steps = graph.select("src", "dst").distinct()
+    steps = materialize(graph.select("src", "dst").distinct(), "graph-steps")
     front = nodes.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
     seen = None
     while True:

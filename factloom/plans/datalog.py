@@ -357,6 +357,9 @@ def solve_rules(compiler: Compiler, rules: Sequence[Rule]) -> None:
 def query(live: DataFrame, q: Query | str, types: dict[str, int], params: dict | None = None, rules: Sequence[Rule | str] = ()) -> DataFrame:
     """Answers of a query over LIVE facts; columns are the variables' names."""
     q = parse(q) if isinstance(q, str) else q
+    if rules:  # every round reads the facts again
+        used = {c.a for r in [parse_rule(r) if isinstance(r, str) else r for r in rules] for c in (*r.body, *q.where) if isinstance(c, Pattern)}
+        live = materialize(live.where(F.col("a").isin(*used)), "datalog-live")
     compiler = Compiler(live, params or {}, types)
     if rules:
         solve_rules(compiler, [parse_rule(r) if isinstance(r, str) else r for r in rules])

@@ -7,6 +7,7 @@ import threading
 import uuid
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +46,10 @@ class Files:
         stream = self.fs.open(self.path(name))
         try:
             return self.jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        except Py4JJavaError as err:
+            if "ChecksumException" in str(err):
+                raise CorruptionError(f"{name} fails its checksum") from err
+            raise StorageError(f"{name} can't be read") from err
         finally:
             stream.close()
 
