@@ -131,17 +131,11 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     pieces = rows.join(wanted.withColumnsRenamed({"d": "_d", "th": "_th"}), F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("t", "cuts")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The bytes of a segment, or the digest of each of its strings if its name is hot."""
         for batch in batches:
             for t, cuts in zip(batch.column("t"), batch.column("cuts")):
-                data, h, g, i, x = t.as_py().encode(), [], [], [], []
-                for c in cuts.as_py():
-                    s, n = c["s"], c["n"]
-                    h += [c["h"]] * (n if c["hot"] else 1)
-                    g += [c["g"]] * (n if c["hot"] else 1)
-                    i += range(n) if c["hot"] else [None]
-                    x += [xxhash.xxh3_128_digest(data[k : k + length]) for k in range(s, s + n)] if c["hot"] else [data[s : s + n + length - 1]]
-                yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(g, pa.binary()), pa.array(i, pa.int32()), pa.array(x, pa.binary())], ["h", "g", "i", "x"])
+                data, own = t.as_py().encode(), cuts.as_py()
+                x = [data[c["s"] : c["s"] + c["n"] + length - 1] for c in own]
+                yield pa.RecordBatch.from_arrays([pa.array([c["h"] for c in own], pa.int64()), pa.array([c["g"] for c in own], pa.binary()), pa.array([c["hot"] for c in own]), pa.array(x, pa.binary())], ["h", "g", "hot", "x"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def shard(hs: list[int], gs: list[bytes], bs: list[bytes]) -> pa.RecordBatch:
@@ -168,23 +162,10 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield shard(hs, gs, bs)
 
 
-    pieces = materialize(pieces.mapInArrow(pick, "h long, g binary, i int, x binary"), "suffix-pieces")
-    cold = pieces.where("i is null").select("h", "g", "x").repartition("h").sortWithinPartitions("h", "g")
+    pieces = materialize(pieces.mapInArrow(pick, "h long, g binary, hot boolean, x binary"), "suffix-pieces")
+    cold = pieces.where("not hot").select("h", "g", "x").repartition("h").sortWithinPartitions("h", "g")
     cold = cold.mapInArrow(compare, "h long, g binary, r array<array<int>>").where("size(r) > 0")
-    windows = pieces.where("i is not null").distinct()
-    again = materialize(windows.groupBy("h", "x").agg(F.count("*").alias("c")).where("c > 1").select("h", "x"), "suffix-again")
-    starts = windows.join(again, ["h", "x"], "left_semi").groupBy("h", "g").agg(F.array_sort(F.collect_set("i")).alias("i"))
-
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for i in batch.column("i"):
-                x = i.values.to_numpy()
-                cut = (np.diff(x) > 1).nonzero()[0]
-                out.append(np.stack([x[np.append(0, cut + 1)], x[np.append(cut, len(x) - 1)] + 1], axis=1).tolist())
-            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["h", "g", "r"])
-
-    hot = starts.mapInArrow(runs, "h long, g binary, r array<array<int>>")
+    hot = _hot_ranges(pieces.where("hot").select("h", "g", "x"), length, gram)
     often = distinct.where("c > 1").select("h", "g", F.array(F.array(F.lit(0), F.col("n"))).alias("r"))
     ranges = often.unionByName(cold.unionByName(hot).join(often.select("h", "g"), ["h", "g"], "left_anti"))
     ranges = materialize(ranges, "suffix-ranges")
@@ -194,6 +175,81 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return hits.groupBy("d", "th").agg(F.array_distinct(F.flatten(F.collect_list("x"))).alias("spans"))
 
 
+#: Neighbouring starts that a hot name's segments are told by at once.
+BLOCK = 16
+
+
+def blocks(data: bytes, length: int, gram: int) -> Iterator[tuple[int, bytes, bytes, int, int]]:
+    """(block, core digest, digest, first, last start) of runs of up to BLOCK starts of a segment.
+
+    Starts are dealt by their distance to the least gram that their string holds, so equal
+    strings are in equal blocks. The core is what all strings of a block have in common.
+    """
+    h = _gram_hashes(np.frombuffer(data, np.uint8), gram)
+    starts = np.arange(len(data) - length + 1)
+    least = (h == h.min()).nonzero()[0]
+    anchor = least[np.searchsorted(least, starts)]
+    block = (anchor - starts) // BLOCK
+    cuts = np.concatenate([[0], ((block[1:] != block[:-1]) | (anchor[1:] != anchor[:-1])).nonzero()[0] + 1, [len(starts)]])
+    for lo, hi in zip(cuts[:-1].tolist(), (cuts[1:] - 1).tolist()):
+        a, q = int(anchor[lo]), int(block[lo])
+        core = xxhash.xxh3_128_digest(data[a - BLOCK * q : a - BLOCK * q - BLOCK + 1 + length])
+        yield q, core, xxhash.xxh3_128_digest(b"%d:%d:" % (a - lo, a - hi) + data[lo : hi + length]), lo, hi
+
+
+def _hot_ranges(segs: DataFrame, length: int, gram: int) -> DataFrame:
+    """(h, g, r): ranges of repeated starts in different segments (h, g, x) that share a hot name.
+
+    Blocks equal as a whole repeat as a whole; blocks with a core of their own don't repeat.
+    Only of blocks that share their core and differ every string's digest is compared, one for
+    each different block, so what all documents have in common is told once.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 200):
+                part = batch.slice(at, 200)
+                rows = [(i, *b) for i, x in enumerate(part.column("x")) for b in blocks(x.as_py(), length, gram)]
+                i, *cols = zip(*rows)
+                many = pa.array(i)
+                kinds = (pa.int32(), pa.binary(), pa.binary(), pa.int32(), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column("h").take(many), part.column("g").take(many), *(pa.array(c, k) for c, k in zip(cols, kinds))], ["h", "g", "q", "core", "full", "lo", "hi"])
+
+    def strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for h, g, x, runs in zip(batch.column("h"), batch.column("g"), batch.column("x"), batch.column("runs")):
+                data = x.as_py()
+                i = [k for r in runs.as_py() for k in range(r["lo"], r["hi"] + 1)]
+                w = [xxhash.xxh3_128_digest(data[k : k + length]) for k in i]
+                yield pa.RecordBatch.from_arrays([pa.array([h.as_py()] * len(i), pa.int64()), pa.array([g.as_py()] * len(i), pa.binary()), pa.array(i, pa.int32()), pa.array(w, pa.binary())], ["h", "g", "i", "w"])
+
+    dealt = materialize(segs.mapInArrow(deal, "h long, g binary, q int, core binary, full binary, lo int, hi int"), "suffix-blocks")
+    fulls = dealt.groupBy("h", "q", "core", "full").agg(F.count("*").alias("c"), F.min(F.struct("g", "lo", "hi")).alias("one"))
+    fulls = materialize(fulls, "suffix-fulls")
+    whole = dealt.join(fulls.where("c > 1").select("h", "q", "core", "full"), ["h", "q", "core", "full"], "left_semi").select("h", "g", F.struct("lo", (F.col("hi") + 1).alias("to")).alias("r"))
+    mixed = materialize(fulls.groupBy("h", "q", "core").agg(F.count("*").alias("k")).where("k > 1").drop("k"), "suffix-cores")
+    runs = fulls.join(mixed, ["h", "q", "core"], "left_semi").groupBy("h", "one.g").agg(F.collect_list(F.struct("one.lo", "one.hi")).alias("runs"))
+    windows = materialize(segs.join(runs, ["h", "g"]).mapInArrow(strings, "h long, g binary, i int, w binary"), "suffix-windows")
+    again = materialize(windows.groupBy("h", "w").agg(F.count("*").alias("c")).where("c > 1").select("h", "w"), "suffix-again")
+    single = windows.join(again, ["h", "w"], "left_semi").select("h", "g", F.struct(F.col("i").alias("lo"), (F.col("i") + 1).alias("to")).alias("r"))
+    found = whole.unionByName(single).groupBy("h", "g").agg(F.collect_list("r").alias("r"))
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for rs in batch.column("r").to_pylist():
+                own: list[list[int]] = []
+                for lo, to in sorted((r["lo"], r["to"]) for r in rs):
+                    if own and lo <= own[-1][1]:
+                        own[-1][1] = max(own[-1][1], to)
+                    else:
+                        own.append([lo, to])
+                out.append(own)
+            yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("g"), pa.array(out, pa.list_(pa.list_(pa.int32())))], ["h", "g", "r"])
+
+    return found.mapInArrow(joined, "h long, g binary, r array<array<int>>")
+
+
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
     """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with `texts` also kept (binary).
 
