@@ -202,18 +202,21 @@ def simhash_neardup(
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` without the near copies: of each group the smallest id stays.
 
-    Of rows that repeat that id all stay, and so do rows with a null id, which nothing names.
-    Columns are those of `docs`.
+    With a `similarity`, groups are those of documents whose sets of shingles overlap that much,
+    all pairs found and checked (`alike.py`); else those of close fingerprints. Of rows that
+    repeat the smallest id all stay, and so do rows with a null id, which nothing names. Columns
+    are those of `docs`.
     """
+    from .alike import alike_components
+
     id_col = how.get("id_col", "doc_id")
-    found = simhash_neardup(docs, **how)
+    found = alike_components(docs, **how) if "similarity" in how else simhash_neardup(docs, **how)
     drop = found.where("id <> component_id").select(F.col("id").alias("_drop")).distinct()
     return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
 
 
-#: For similarity 0.8 on five-word shingles: a set overlap of 0.8 is a cosine of 8/9, whose angle
-#: makes 15 of 100 sign bits differ; 38 of 256.
-STAGE = {"shingle": 5, "bits": 256, "tau": 38, "segments": 32, "lead": 2}
+#: The pipeline stage: documents with a Jaccard similarity of 0.8 or more on five-word shingles.
+STAGE = {"shingle": 5, "similarity": 0.8}
 
 
 def op1_simhash_near_dedup(spark, sf_dir: str) -> DataFrame:

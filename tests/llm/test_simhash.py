@@ -102,3 +102,29 @@ def test_connected_components(spark, edges):
         for a, b in edges:
             want[a] = want[b] = min(want[a], want[b])
     assert got == want
+
+
+@pytest.mark.parametrize("block", [1024, 3])
+def test_stage_finds_every_pair_at_the_similarity_and_no_other(spark, block):
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(60):  # 100 words with 96 shingles; the copy shares 96 - k of them and has k of its own
+        base = [f"g{g}w{x}" for x in range(100)]
+        k = 8 + g % 6  # 96 - k of 96 + k: 0.846 down to 0.761
+        rows += [(2 * g, " ".join(base)), (2 * g + 1, " ".join(base[: 100 - k] + [f"g{g}x{x}" for x in range(k)]))]
+    rows += [(200 + i, " ".join(f"v{x}" for x in rng.integers(0, 6, 40))) for i in range(40)] + [(300, "a b"), (301, "a  B"), (302, "repeat it " * 50), (303, "repeat it " * 500 + "repeat")]
+    rows += [(None, "a b")]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for i, t in rows if i is not None for w in [t.lower().split()]}
+    comp = {i: i for i in sets}
+    changed = True
+    while changed:
+        changed = False
+        for i in sets:
+            for j in sets:
+                o = len(sets[i] & sets[j])
+                if comp[i] > comp[j] and 5 * o >= 4 * (len(sets[i]) + len(sets[j]) - o):
+                    comp[i], changed = comp[j], True
+    want = sorted(i for i in comp if comp[i] == i)
+    assert sum(i < 120 and comp[i] != i for i in comp) == 30
+    kept = drop_near_duplicates(spark.createDataFrame(rows, SCHEMA), **STAGE, block=block)
+    assert sorted((r.doc_id for r in kept.collect()), key=lambda x: (x is not None, x)) == [None, *want]
