@@ -5,11 +5,16 @@ line hash (the rightmost of equals) as fingerprint, so a run of that many lines
 fingerprint wherever it occurs. Positions of fingerprints that occur once are dismissed. Around
 the others matches are extended to both sides over the windows that the fingerprint stands for,
 and of each repeated run all but the first occurrence are deleted.
+
+That is the query's rule. The pipeline stage (`keep_first_lines`) measures repeated runs in words,
+whatever their number of lines.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD, materialize, read_table
@@ -55,6 +60,80 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return later.select("id", "th", "s")
 
 
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+    """(id, th, span): for documents with later repeated runs of `min_words` words the lines to delete.
+
+    span is first line * 2^32 + last line. A run of any length is covered by windows that can't be
+    shorter: those that reach `min_words` with their last line and those that do with their first.
+    They start and end with lines that have words, so they hold at most `min_words` such lines.
+    Lines without words between two long lines take a window of both.
+    """
+    text = F.col(text_col)
+    base = docs.where(text.isNotNull() & text.rlike(WORD)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("ls"))
+    base = base.select(
+        "id", "th",
+        F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"),
+        F.transform("ls", lambda x: F.xxhash64(F.lit("second"), x)).alias("h2"),
+        F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws"),
+    )
+    base = base.withColumn("ix", F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.get("ws", i) > 0))
+    base = base.withColumn("wx", F.filter("ws", lambda x: x > 0))
+
+    def reach(words):
+        start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
+        more = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n"))
+        return F.aggregate(words, start, lambda a, x: F.when(a["sum"] >= min_words, a).otherwise(more(a, x)), lambda a: F.when(a["sum"] >= min_words, a["n"]))
+
+    def span(first, last):
+        return F.shiftleft(F.get("ix", first).cast("bigint"), 32) + F.get("ix", last)
+
+    def forward(k):
+        return span(k, k + reach(F.slice("wx", k + 1, F.lit(min_words))) - 1)
+
+    def backward(k):
+        n = F.least(k + 1, F.lit(min_words))
+        return span(k - reach(F.reverse(F.slice("wx", k + 2 - n, n))) + 1, k)
+
+    def gap(k):
+        apart = F.get("ix", k + 1) > F.get("ix", k) + 1
+        return F.when(apart & (F.get("wx", k) >= min_words) & (F.get("wx", k + 1) >= min_words), span(k, k + 1))
+
+    def one(c):
+        s, n = first_line(c), last_line(c) - first_line(c) + 1
+        return F.struct(c.alias("span"), F.xxhash64(F.slice("hs", s + 1, n)).alias("g1"), F.xxhash64(F.slice("h2", s + 1, n)).alias("g2"))
+
+    every = F.sequence(F.lit(0), F.size("ix") - 1)
+    spans = F.array_distinct(F.array_compact(F.concat(F.transform(every, forward), F.transform(every, backward), F.transform(every, gap))))
+    base = base.select("id", "th", "hs", "h2", spans.alias("spans"))
+    windows = base.select("id", "th", F.explode(F.transform("spans", one)).alias("w")).select("id", "th", "w.*")
+    windows = materialize(windows, "runs-windows")
+    shared = materialize(windows.groupBy("g1").agg(F.count("*").alias("n")).where("n > 1").select("g1"), "runs-shared")
+    live = materialize(windows.join(shared, "g1", "left_semi"), "runs-live")
+    first = live.groupBy("g1", "g2").agg(F.min(F.struct("id", "th", "span")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = materialize(first, "runs-first")
+    later = live.join(first, ["g1", "g2"]).where(~F.struct("id", "th", "span").eqNullSafe(F.col("first")))
+    return later.select("id", "th", "span")
+
+
+def first_line(span: Column) -> Column:
+    return F.shiftright(span, 32).cast("int")
+
+
+def last_line(span: Column) -> Column:
+    return span.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+
+
+def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
+    """`docs` with later repeated runs of lines deleted, and _n_lines, _n_removed added.
+
+    A line goes if it is part of a run of consecutive lines, one or more, with `min_words` words
+    or more in all and words in its first and its last line, that also starts earlier. Order,
+    rows equal in id and text and null texts are as in `drop_repeated_lines`.
+    """
+    hits = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set("span").alias("_starts"))
+    return _delete(docs, hits, lambda c: F.sequence(first_line(c), last_line(c)), id_col, text_col)
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 8) -> DataFrame:
     """`docs` with later repeated runs of lines deleted, and _n_lines, _n_removed added.
 
@@ -65,11 +144,16 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     lines than `window` stay whole. A document that loses every line keeps an empty text.
     """
     hits = repeated_lines(docs, id_col, text_col, window, min_words).groupBy("id", "th").agg(F.collect_set("s").alias("_starts"))
+    return _delete(docs, hits, lambda s: F.sequence(s, s + window - 1), id_col, text_col)
+
+
+def _delete(docs: DataFrame, hits: DataFrame, lines_of: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
+    """`docs` without the lines of _starts in `hits` (id, th, _starts), with _n_lines and _n_removed."""
     hits = hits.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_starts")
     out = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
     lines = F.split(F.col(text_col), "\n", -1)
     n = F.size(lines)
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lambda s: F.sequence(s, s + window - 1))))
+    gone = F.array_distinct(F.flatten(F.transform("_starts", lines_of)))
     kept = F.array_except(F.sequence(F.lit(0), n - 1), gone)
     text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n"))
     out = out.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines))
@@ -81,9 +165,9 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def keep_first_lines(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
-    """`docs` without later repeated runs of lines; documents of which nothing is left go."""
-    out = drop_repeated_lines(docs, text_col=text_col, **how)
-    return out.where(~((F.col("_n_removed") > 0) & (F.col("_n_removed") == F.col("_n_lines")))).drop("_n_lines", "_n_removed")
+    """`docs` without later repeated runs of lines; documents that lose lines and have no word left go."""
+    out = drop_repeated_runs(docs, text_col=text_col, **how)
+    return out.where(~((F.col("_n_removed") > 0) & ~F.col(text_col).rlike(WORD))).drop("_n_lines", "_n_removed")
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:

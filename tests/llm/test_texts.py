@@ -139,6 +139,13 @@ def test_rows_equal_in_id_and_text_are_one_document(spark):
     assert sorted((r.doc_id or 0, r.text) for r in drop_repeated_lines(docs).collect()) == [(0, "x\ny"), (1, text), (1, text), (2, "nine")]
 
 
+def test_one_line_that_repeats_between_other_lines_goes_in_the_pipeline(spark):
+    long = "this passage of ten words or more is one line"
+    rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, "short line\nother"), (5, "short line\nmore"), (6, f"{long} once")]
+    got = {r.doc_id: r.text for r in keep_first_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {i: "c\nd" if i == 2 else t for i, t in rows if i != 3}
+
+
 # personal data
 
 KINDS = ["email", "ip", "card", "phone"]
