@@ -146,6 +146,34 @@ def test_one_line_that_repeats_between_other_lines_goes_in_the_pipeline(spark):
     assert got == {i: "c\nd" if i == 2 else t for i, t in rows if i != 3}
 
 
+def _runs(rows, least=8):
+    """Every later window with words at both ends and `least` words in all goes."""
+    seen, out = set(), {}
+    for i, t in sorted(rows, key=lambda r: r[0]):
+        ls, gone = t.split("\n"), set()
+        n = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in ls]
+        for s in range(len(ls)):
+            for e in range(s, len(ls)):
+                if n[s] and n[e] and sum(n[s : e + 1]) >= least:
+                    key = tuple(ls[s : e + 1])
+                    gone |= set(range(s, e + 1)) if key in seen else set()
+                    seen.add(key)
+        left = "\n".join(x for k, x in enumerate(ls) if k not in gone)
+        if not gone or left.split():
+            out[i] = left
+    return out
+
+
+def test_runs_of_short_lines_count_their_words_together_in_the_pipeline(spark):
+    r = random.Random(7)
+    verse = [f"verse line{i} here" for i in range(20)]
+    rows = [(i, "\n".join([f"head {i}", *verse, f"tail {i}"])) for i in range(3)]
+    pool = [" ".join(r.choice("abcd") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 9)] + ["", " "]
+    rows += [(10 + i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(150)] + [(300, "x y z\n" * 20), (301, "")]
+    got = {x.doc_id: x.text for x in keep_first_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == _runs(rows) and got[1] == "head 1\ntail 1"
+
+
 # personal data
 
 KINDS = ["email", "ip", "card", "phone"]
