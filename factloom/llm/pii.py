@@ -2,9 +2,9 @@
 
 Patterns find the protected entities. Corpus counts then tell how strongly a term reveals one:
 with P(e) the share of texts that hold entity e, and P(e | t) that share among texts with term t,
-the term discloses log(P(e | t) / P(e)) of the entity's information -log P(e). Terms near an
-entity that disclose more than a threshold are generalised, and those above a higher one removed,
-wherever they occur.
+the term discloses log(P(e | t) / P(e)) of the entity's information -log P(e). Terms of any text
+with an entity that disclose more than a threshold are generalised, and those above a higher one
+removed, wherever they occur.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)"
 CARD = r"[0-9](?:[ -]?[0-9])++"
 PHONE = r"\+[0-9][ ().0-9-]+[0-9]"
-TERM = r"\p{L}{4,}+"
+TERM = r"\p{L}{2,}+"
 
 SPAN = "struct<start:int,kind:int,stop:int,value:string>"
 
@@ -63,17 +63,25 @@ def spans_text(spans: str) -> Column:
     return F.expr(f"array_join(transform({spans}, s -> concat_ws(':', element_at(array({names}), s.kind + 1), s.start, s.stop)), ',')")
 
 
-def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, reach: int, min_texts: int, min_share: float, generalise: float, remove: float) -> DataFrame:
+def disclosing_terms(base: DataFrame, docs: DataFrame, text_col: str, min_texts: int, min_share: float, generalise: float, remove: float) -> DataFrame:
     """(term, share, disclosed, action): terms of at least `min_texts` different texts that reveal an entity.
 
-    `found` has (th, near, value): terms near an entity by text. Copies of a text count once.
-    Counts cover all documents: a term's texts are counted over the whole corpus.
+    `base` has (_th, _t, base) of the texts with entities. A term is with an entity if it is
+    anywhere in its text outside the entities themselves. Copies of a text count once. Counts
+    cover all documents: a term's texts are counted over the whole corpus.
     """
-    pairs = found.groupBy("term", "value").agg(F.count_distinct("th").alias("n_te")).where(F.col("n_te") >= min_texts)
-    # A term is in at least the texts in which it is near some entity, so its share is at most this.
-    seen = found.groupBy("term").agg(F.count_distinct("th").alias("n_near"))
-    pairs = materialize(pairs.join(seen, "term").where(F.col("n_te") >= F.col("n_near") * min_share).drop("n_near"), "pii-pairs")
-    entities = found.join(pairs.select("value").distinct(), "value", "left_semi").groupBy("value").agg(F.count_distinct("th").alias("n_e"))
+    held = base.select(F.col("_th").alias("th"), F.explode("base.value").alias("value")).distinct()
+    # An entity in fewer texts can have no term in `min_texts` of them.
+    entities = maybe_broadcast(materialize(held.groupBy("value").agg(F.count("*").alias("n_e")).where(F.col("n_e") >= min_texts), "pii-entities"))
+    held = materialize(held.join(entities.select("value"), "value", "left_semi"), "pii-held")
+    texts = base.join(held.select(F.col("th").alias("_th")).distinct(), "_th", "left_semi").dropDuplicates(["_th"])
+    words = texts.select(F.col("_th").alias("th"), F.expr(_outside("_t")).alias("t"))
+    words = words.select("th", F.explode(F.array_distinct(F.regexp_extract_all("t", F.lit(TERM), F.lit(0)))).alias("term"))
+    words = materialize(words, "pii-words")
+    pairs = words.join(held, "th").groupBy("term", "value").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= min_texts)
+    # A term is in at least the texts in which it is with some entity, so its share is at most this.
+    seen = words.groupBy("term").agg(F.count("*").alias("n_seen"))
+    pairs = materialize(pairs.join(seen, "term").where(F.col("n_te") >= F.col("n_seen") * min_share).drop("n_seen"), "pii-pairs")
     wanted = maybe_broadcast(materialize(pairs.select("term").distinct(), "pii-wanted"))
     words = docs.select(F.xxhash64(text_col).alias("th"), F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(TERM), F.lit(0)))).alias("term"))
     terms = words.join(wanted, "term", "left_semi").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
@@ -88,22 +96,18 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, text_col: str, reach: in
 
 
 def find_personal_data(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", reach: int = 60, min_texts: int = 5, min_share: float = 0.8, generalise: float = 0.9, remove: float = 0.98
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_texts: int = 2, min_share: float = 0.8, generalise: float = 0.9, remove: float = 0.98
 ) -> DataFrame:
     """`docs` with spans (array of start, kind, stop, value) and base (those of the patterns) added.
 
-    Offsets are code points, ends exclusive. Terms are runs of four or more letters within
-    `reach` characters of an entity. A null text has no spans. Rows that repeat an id stay apart;
+    Offsets are code points, ends exclusive. Terms are runs of two or more letters, anywhere in
+    a text with an entity. A null text has no spans. Rows that repeat an id stay apart;
     rows with equal texts get equal spans. Clashing columns named spans or base are replaced.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ("base", "spans")])
     th = F.xxhash64(text_col)
     base = materialize(docs.select(th.alias("_th"), F.col(text_col).alias("_t")).where("contains(_t, '@') or contains(_t, '+') or _t rlike '[0-9][.][0-9]+[.]|[0-9](?:[ -]?[0-9]){13}'").withColumn("base", base_spans("_t")).where("size(base) > 0"), "pii-base")
-    near = F.expr(f"""explode(flatten(transform(base, s -> transform(array_distinct(concat(
-        regexp_extract_all(substr(_t, greatest(s.start - {reach}, 0) + 1, s.start - greatest(s.start - {reach}, 0)), '\\\\p{{L}}{{4,}}+', 0),
-        regexp_extract_all(substr(_t, s.stop + 1, {reach}), '\\\\p{{L}}{{4,}}+', 0))), w -> struct(w as term, s.value as value)))))""")
-    found = base.select(F.col("_th").alias("th"), near.alias("x")).select("th", "x.*").distinct()
-    terms = disclosing_terms(materialize(found, "pii-near"), docs, text_col, reach, min_texts, min_share, generalise, remove)
+    terms = disclosing_terms(base, docs, text_col, min_texts, min_share, generalise, remove)
     terms = maybe_broadcast(materialize(terms, "pii-terms"))
     words = docs.select(th.alias("_h"), F.explode(F.array_distinct(F.regexp_extract_all(text_col, F.lit(TERM), F.lit(0)))).alias("term"))
     hits = words.join(terms.select("term", "action"), "term").groupBy("_h").agg(F.collect_set(F.struct("term", "action")).alias("_terms"))
@@ -115,9 +119,15 @@ def find_personal_data(
     return out.withColumn("spans", F.expr(_with_terms(text_col))).drop("_key", "_th", "_h", "_terms")
 
 
+def _outside(text: str) -> str:
+    """SQL of a text with a space for each of its base spans."""
+    return f"""aggregate(base, named_struct('at', 0, 'out', ''), (acc, s) -> IF(s.start < acc.at, named_struct('at', greatest(acc.at, s.stop), 'out', acc.out),
+        named_struct('at', s.stop, 'out', concat(acc.out, substr({text}, acc.at + 1, s.start - acc.at), ' '))), acc -> concat(acc.out, substr({text}, acc.at + 1)))"""
+
+
 def _with_terms(text: str) -> str:
     """SQL of base spans plus those of the terms in _terms that overlap none of them."""
-    words, gaps = f"regexp_extract_all({text}, '\\\\p{{L}}{{4,}}+', 0)", f"split({text}, '\\\\p{{L}}{{4,}}+', -1)"
+    words, gaps = f"regexp_extract_all({text}, '\\\\p{{L}}{{2,}}+', 0)", f"split({text}, '\\\\p{{L}}{{2,}}+', -1)"
     return f"""CASE WHEN _terms IS NULL THEN base ELSE array_sort(concat(base, filter(aggregate(zip_with(transform({gaps}, g -> char_length(g)), {words}, (g, w) -> named_struct('gap', g, 'w', w)),
         named_struct('at', 0, 'out', cast(array() as array<{SPAN}>)),
         (acc, x) -> named_struct(

@@ -217,6 +217,15 @@ def test_disclosing_terms(spark):
     assert find_personal_data(docs.limit(0)).count() == 0
 
 
+def test_disclosing_terms_far_off_short_and_in_few_texts(spark):
+    far = " ".join(f"filler{'abcdefghij'[i % 10]} of words" for i in range(40))
+    rows = [(i, f"Quorvath {far if i < 3 else 'signs'} this mail qu@corp.org") for i in range(10)]
+    rows += [(20 + i, f"Kim {far} wrote +1 555 123 4567 there") for i in range(2)] + [(21, f"Kim {far} wrote it +1 555 123 4567 here")]
+    rows += [(100 + i, f"{far} signs this mail wrote it here there number {i}") for i in range(60)] + [(300, "Quorvath"), (301, "Kim"), (302, "corp org")]
+    got = {r.doc_id: r.s for r in find_personal_data(spark.createDataFrame(rows, SCHEMA), min_share=0.6, generalise=0.7).select("doc_id", spans_text("spans").alias("s")).collect()}
+    assert got[300] == "term:0:8" and got[301] == "term:0:3" and got[302] == "" and got[100] == "" and got[0].startswith("term:0:8,email")
+
+
 # tokens
 
 ODD = ["", " ", "  a", "a  b ", "a▁b ▁▁  x", "\x00a\n\n", "é́ ﬁ ½ 😀😀 \r\n a", "<s> </s> <unk> <0x41>", "a" * 300, "    " * 20 + "x", "\n a \n", "word " * 5000]
