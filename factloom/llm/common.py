@@ -6,7 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -23,6 +24,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def nested(docs: DataFrame, **columns: Column) -> DataFrame:
+    """`docs` with each whole row in one struct column `row`, beside the columns named.
+
+    The names of the rows' own columns can't clash with those that an operator adds.
+    """
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(name) for name, c in columns.items()])
+
+
+def unnested(rows: DataFrame, docs: DataFrame, new: dict[str, Column] | None = None) -> DataFrame:
+    """The columns of `docs` out of `row`, those in `new` replaced or, if `docs` has no such, added."""
+    new = new or {}
+    return rows.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns], *[x.alias(c) for c, x in new.items() if c not in docs.columns])
+
+
+def pieces(batch: pa.RecordBatch, column: int, rows: int = 500, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of at most `rows` rows and about `size` bytes of a text column; a longer text is alone."""
+    texts = batch.column(column)
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))), batch.num_rows)
+        yield batch.slice(at, to - at)
+        at = to
+
+
 def maybe_broadcast(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
     """`df` (a materialised table) with a broadcast hint if its values have at most `limit` bytes."""
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import discard
 from .common import materialize
 
 
@@ -28,10 +29,12 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     while not edges.isEmpty():
         ends = edges.union(edges.select("b", "a"))
         parent = materialize(ends.groupBy(F.col("a").alias("x")).agg(F.min("b").alias("low")).select("x", F.least("x", "low").alias("up")), "cc-parent")
+        before = labels, edges
         labels = materialize(labels.join(parent, labels.root == parent.x, "left").select("node", F.coalesce("up", "root").alias("root")), "cc-labels")
         moved = edges.join(parent.select(F.col("x").alias("a"), F.col("up").alias("ua")), "a").select("b", "ua")
         moved = moved.join(parent.select(F.col("x").alias("b"), F.col("up").alias("ub")), "b").where("ua <> ub")
         edges = materialize(moved.select(F.least("ua", "ub").alias("a"), F.greatest("ua", "ub").alias("b")).distinct(), "cc-edges")
+        discard(parent, *before)
     labels = materialize(labels, "cc-labels")
     least = materialize(labels.groupBy("root").agg(F.min("node").alias("component")), "cc-least")
     return labels.join(least, "root").select("node", "component")
