@@ -1,16 +1,18 @@
 """Suffix arrays by induced sorting, and permuted common prefixes, for the shards of operator 4.
 
-Induced sorting (Nong, Zhang and Chan, 2009) runs here on whole buckets at a time: all suffixes
-that a bucket induces are found, grouped by their first character and appended in order with a
-few array operations, so the work stays linear and nothing is done one suffix at a time.
+Induced sorting (Nong, Zhang and Chan, 2009): suffixes are classified, the leftmost-smaller
+substrings sorted and named, the string of their names sorted by recursion whatever the number of
+names, and everything induced from that. On the bytes whole buckets are induced at a time with a
+few array operations; the strings of names below have many small buckets and go suffix by suffix.
+Both are linear.
 """
 
 from __future__ import annotations
 
 import numpy as np
 
-#: Largest alphabet whose buckets are visited one by one; names beyond it are sorted by doubling.
-BUCKETS = 4096
+#: Suffixes a bucket, on average, from which whole buckets are induced at once and not suffix by suffix.
+FULL = 64
 
 
 def _types(s: np.ndarray) -> np.ndarray:
@@ -69,34 +71,44 @@ def _induce(s: np.ndarray, size: int, lms: np.ndarray, stype: np.ndarray) -> np.
     return np.concatenate(out)[::-1]
 
 
-def _double(names: np.ndarray, depth: int | None) -> np.ndarray:
-    """Suffixes of a string of names sorted by doubling ranks, to `depth` names if given."""
-    n, rank, width = len(names), names.astype(np.int64), 1
-    while True:
-        nxt = np.zeros(n, np.int64)
-        nxt[: n - width if n > width else 0] = rank[width:] + 1
-        key = rank * (int(rank.max()) + 2) + nxt
-        order = np.argsort(key, kind="stable")
-        key = key[order]
-        new = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
-        rank = np.empty(n, np.int64)
-        rank[order] = new
-        width *= 2
-        if new[-1] == n - 1 or width >= n or (depth is not None and width >= depth):
-            return order
-
-
-def _sort(s: np.ndarray, size: int, depth: int | None) -> np.ndarray:
+def _induce_each(s: np.ndarray, size: int, lms: np.ndarray, stype: np.ndarray) -> np.ndarray:
+    """What _induce gives, one suffix at a time: for strings whose buckets hold few suffixes each."""
+    counts = np.bincount(s, minlength=size)
+    ends = np.cumsum(counts)
+    heads, tails = (ends - counts).tolist(), ends.tolist()
+    # Characters of one type, -1 for the other; none comes before suffix 0, which also fills empty places.
+    larger, smaller = np.where(stype, -1, s), np.where(stype, s, -1)
+    larger[-1] = smaller[-1] = -1
+    larger, smaller, out = larger.tolist(), smaller.tolist(), [0] * len(s)
+    at = tails.copy()
+    for p, c in zip(lms[::-1].tolist(), s[lms[::-1]].tolist()):
+        at[c] -= 1
+        out[at[c]] = p
+    for q in out:  # sees what was put further on
+        c = larger[q - 1]
+        if c >= 0:
+            out[heads[c]] = q - 1
+            heads[c] += 1
+    for q in reversed(out):
+        c = smaller[q - 1]
+        if c >= 0:
+            tails[c] -= 1
+            out[tails[c]] = q - 1
+    return np.array(out, np.int64)
+
+
+def _sort(s: np.ndarray, size: int) -> np.ndarray:
     """Suffix array of s, whose last character is its only 0."""
     n = len(s)
     if n == 1:
         return np.zeros(1, np.int64)
+    induce = _induce if n >= FULL * size else _induce_each
     stype = _types(s)
     is_lms = np.zeros(n, bool)
     is_lms[1:] = stype[1:] & ~stype[:-1]
     lms = is_lms.nonzero()[0]
     # Sort the LMS substrings and name them.
-    first = _induce(s, size, lms, stype)
+    first = induce(s, size, lms, stype)
     ordered = first[is_lms[first]]
     end = np.empty(n, np.int64)
     end[lms] = np.append(lms[1:], n - 1)
@@ -114,20 +126,16 @@ def _sort(s: np.ndarray, size: int, depth: int | None) -> np.ndarray:
     if name[-1] + 1 < len(lms):
         named = np.empty(n, np.int64)
         named[ordered] = name
-        reduced = named[lms]
-        if name[-1] < BUCKETS:
-            ordered = lms[_sort(reduced, int(name[-1]) + 1, depth)]
-        else:
-            ordered = lms[_double(reduced, depth)]
-    return _induce(s, size, ordered, stype)
+        ordered = lms[_sort(named[lms], int(name[-1]) + 1)]
+    return induce(s, size, ordered, stype)
 
 
-def suffix_array(data: np.ndarray, depth: int | None = None) -> np.ndarray:
-    """Suffix array of a byte string; with `depth`, suffixes equal in that many bytes may come in any order."""
+def suffix_array(data: np.ndarray) -> np.ndarray:
+    """Suffix array of a byte string."""
     if not len(data):
         return np.empty(0, np.int64)
     s = np.append(data.astype(np.int32) + 1, 0).astype(np.int32)
-    return _sort(s, 257, depth)[1:]
+    return _sort(s, 257)[1:]
 
 
 def permuted_lcp(data: np.ndarray, sa: np.ndarray, limit: int) -> np.ndarray:

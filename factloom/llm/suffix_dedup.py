@@ -72,7 +72,7 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     valid = np.zeros(len(flat), bool)
     for b, t in zip(begin, texts):
         valid[b : b + max(0, len(t) - length + 1)] = True
-    sa = suffix_array(flat, depth=length)
+    sa = suffix_array(flat)
     lcp = permuted_lcp(flat, sa, length)[sa]
     group = np.cumsum(lcp < length)
     counts = np.bincount(group, weights=valid[sa])
