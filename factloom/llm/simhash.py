@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import block_pairs, key_runs, local_components, materialize, maybe_broadcast, read_table, run_lengths
+from .common import block_pairs, key_runs, local_components, materialize, maybe_broadcast, pieces, read_table, run_lengths
 from .components import connected_components
 
 SEED = 42
@@ -75,8 +75,7 @@ def simhash_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, 1):
                 fps = fingerprints_of([shingle_hashes(t.as_py(), shingle) for t in part.column(1)], bits)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([f.tobytes() for f in fps], pa.binary())], ["id", "fp"])
 
@@ -191,28 +190,29 @@ def simhash_neardup(
     """
     fps = materialize(simhash_fingerprints(docs, id_col, text_col, shingle, bits), "simhash-fps")
     reps = materialize(fps.where("id is not null").groupBy("fp").agg(F.min("id").cast("bigint").alias("node")), "simhash-reps")
-    links = connected_components(link_fingerprints(reps, tau, segments, lead, block))
-    by_fp = reps.join(links, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    by_fp = materialize(by_fp, "simhash-components")
-    # One id may have several rows with other fingerprints: those are links as well.
-    several = fps.join(by_fp, "fp", "left").select("id", "fp", "component_id")
-    return several
+    links = link_fingerprints(reps, tau, segments, lead, block)
+    # An id with several fingerprints links them.
+    several = fps.where("id is not null").groupBy(F.col("id").cast("bigint").alias("several")).agg(F.min("fp").alias("low"), F.max("fp").alias("high")).where("low <> high").select("several")
+    several = fps.join(several, F.col("id") == F.col("several"), "left_semi").join(reps, "fp").select("node", F.col("id").cast("bigint").alias("id")).distinct()
+    comps = connected_components(links.union(several))
+    by_fp = reps.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(materialize(by_fp, "simhash-components"), "fp", "left").select("id", "fp", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame, **how) -> DataFrame:
     """The rows of `docs` without the near copies: of each group the smallest id stays.
 
-    With a `similarity`, groups are those of documents whose sets of shingles overlap that much,
-    all pairs found and checked (`alike.py`); else those of close fingerprints. Of rows that
-    repeat the smallest id all stay, and so do rows with a null id, which nothing names. Columns
-    are those of `docs`.
+    With a `similarity`, groups are those of documents whose sets of shingles overlap that much:
+    pairs of close fingerprints are verified, and what fingerprints miss is added (`alike.py`);
+    else those of close fingerprints. Of rows that repeat the smallest id all stay, and so do
+    rows with a null id, which nothing names. Columns are those of `docs`.
     """
     from .alike import alike_components
 
     id_col = how.get("id_col", "doc_id")
     found = alike_components(docs, **how) if "similarity" in how else simhash_neardup(docs, **how)
-    drop = found.where("id <> component_id").select(F.col("id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(id_col) == F.col("_drop"), "left_anti")
+    drop = materialize(found.where("id <> component_id").select("id").distinct(), "simhash-drop")
+    return docs.join(drop, docs[id_col] == drop["id"], "left_anti")
 
 
 #: The pipeline stage: documents with a Jaccard similarity of 0.8 or more on five-word shingles.
