@@ -46,68 +46,124 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], cap: float) -> Da
 
 def _cut(rows: DataFrame, bucket: str, already: str) -> DataFrame:
     """For each source the bucket in which its remaining words run out, and the words before it."""
-    sums = rows.groupBy("source", "_rest", already, bucket).agg(F.sum("size").alias("_words"))
-    order = Window.partitionBy("source").orderBy(bucket)
-    sums = sums.withColumn("_before", F.col(already) + F.coalesce(F.sum("_words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    at = sums.where((F.col("_before") <= F.col("_rest")) & (F.col("_before") + F.col("_words") > F.col("_rest")))
-    return at.select(F.col("source").alias("_s"), F.col(bucket).alias(f"{bucket}_cut"), F.col("_before").alias(f"{bucket}_before"))
+    sums = rows.groupBy("src", "rest", already, bucket).agg(F.sum("size").alias("words"))
+    order = Window.partitionBy("src").orderBy(bucket)
+    sums = sums.withColumn("before", F.col(already) + F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    at = sums.where((F.col("before") <= F.col("rest")) & (F.col("before") + F.col("words") > F.col("rest")))
+    return at.select(F.col("src").alias("s"), F.col(bucket).alias(f"{bucket}_cut"), F.col("before").alias(f"{bucket}_before"))
+
+
+class _Mix:
+    """What a mix is decided by: a row a source, and the few groups of rows around the cuts.
+
+    `sizes` has every row (id, src, size, th, odds), `sources` for each source its whole copies
+    and its cut, `close` the rows in the buckets of the cuts, grouped by (src, rank, id, size, th)
+    with their number m and how many of them, k, get one copy more.
+    """
+
+    def __init__(self, rows: DataFrame, weights: Sequence[float], cap: float):
+        self.sizes = materialize(rows, "mix-sizes")
+        targets = source_targets(self.sizes.select(F.col("src").alias("source"), "size"), weights, cap)
+        f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+        targets = targets.select(F.col("source").alias("s"), "source_size", "target", F.floor(f).cast("int").alias("copies"), (f - F.floor(f)).alias("pi"))
+        targets = targets.withColumn("rest", F.col("target") - F.col("copies") * F.col("source_size")).withColumn("zero", F.lit(0).cast("bigint"))
+        targets = materialize(targets, "mix-targets")
+        self.sources = maybe_broadcast(targets)
+        # Sources whose copies are all whole have nothing to rank.
+        ranked = self.ranked(self.sizes).where("pi > 0").select("src", "id", "size", "th", "rank", "b1", "b2", "rest", "zero")
+        first = materialize(_cut(ranked, "b1", "zero"), "mix-cut1")
+        inside = ranked.join(maybe_broadcast(first), F.col("src").eqNullSafe(F.col("s")) & (F.col("b1") == F.col("b1_cut"))).drop("s")
+        second = materialize(_cut(inside, "b2", "b1_before"), "mix-cut2")
+        edge = inside.join(maybe_broadcast(second), F.col("src").eqNullSafe(F.col("s")) & (F.col("b2") == F.col("b2_cut")))
+        groups = edge.groupBy("src", "rank", "id", "size", "th", "rest", "b2_before").agg(F.count("*").alias("m"))
+        order = Window.partitionBy("src").orderBy("rank", "id", "size", "th").rowsBetween(Window.unboundedPreceding, -1)
+        left = F.col("rest") - F.col("b2_before") - F.coalesce(F.sum(F.col("size") * F.col("m")).over(order), F.lit(0))
+        k = F.when(F.col("size") > 0, F.floor((left * 2 + F.col("size")) / (F.col("size") * 2))).otherwise(F.when(left >= 0, F.col("m")).otherwise(0))
+        groups = groups.withColumn("k", F.greatest(F.lit(0), F.least(k, F.col("m"))).cast("bigint"))
+        self.close = materialize(groups.select("src", "id", "size", "th", "m", "k"), "mix-close")
+        cuts = first.select(F.col("s").alias("s1"), "b1_cut").join(second.select(F.col("s").alias("s2"), "b2_cut"), F.col("s1").eqNullSafe(F.col("s2")), "left").drop("s2")
+        self.sources = maybe_broadcast(materialize(targets.join(cuts, F.col("s").eqNullSafe(F.col("s1")), "left").drop("s1"), "mix-sources"))
+
+    def ranked(self, rows: DataFrame) -> DataFrame:
+        """`rows` (src, odds and more) with their source's columns, rank and buckets."""
+        rows = rows.join(self.sources, F.col("src").eqNullSafe(F.col("s"))).drop("s")
+        pareto = F.col("odds") / (F.col("pi") / (1 - F.col("pi")))
+        rows = rows.withColumn("rank", F.when(F.col("pi") > 0, pareto / (1 + pareto)))
+        rows = rows.withColumn("b1", F.least(F.floor(F.col("rank") * BUCKETS), F.lit(BUCKETS - 1)))
+        return rows.withColumn("b2", F.floor((F.col("rank") * BUCKETS - F.col("b1")) * BUCKETS))
+
+    def decided(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(rows off the cuts with `extra`, rows in a cut's bucket)."""
+        rows = self.ranked(rows)
+        cut = F.coalesce((F.col("b1") == F.col("b1_cut")) & (F.col("b2") == F.col("b2_cut")), F.lit(False))
+        before = F.coalesce((F.col("b1") < F.col("b1_cut")) | ((F.col("b1") == F.col("b1_cut")) & (F.col("b2") < F.col("b2_cut"))), F.lit(False))
+        return rows.where(~cut).withColumn("extra", before.cast("int")), rows.where(cut)
+
+
+def _odds(id_: Column, seed: str, propensity: Column | None) -> Column:
+    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(id_.cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
+    return u / (1 - u) if propensity is None else u / (1 - u) / propensity
+
+
+def _rows(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: str, propensity: Column | None) -> tuple[Column, ...]:
+    text = F.col(text_col)
+    return F.col(id_col).alias("id"), F.col(source_col).alias("src"), word_count(text).alias("size"), F.xxhash64(text).alias("th"), _odds(F.col(id_col), seed, propensity).alias("odds")
 
 
 def mix_sources(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", propensity: Column | None = None
 ) -> DataFrame:
-    """(id, size, source, source_size, target, taken) of every row.
+    """(id, size, source, source_size, target, taken, copies) of every row.
 
     size counts white-space words (a null text has 0); sources are ordered by code point, null
     last as one source of its own, and take `weights` in turn. taken is a whole number of copies
     of the document, floor or ceiling of target / source_size, so never over `cap` copies;
     a source's taken words differ from its target by half of one document at most. `propensity`
     scales a document's inclusion odds. Ranks come from a hash of `seed` and the id, so
-    reruns agree; rows that repeat an id are equals in the ranking, by size. Empty sources and
-    empty tables give no words.
+    reruns agree; rows that repeat an id are equals in the ranking, by size and text, and rows
+    equal in all of that are counted and not sorted. A source at its cap takes whole copies only
+    and ranks nothing. Empty sources and empty tables give no words.
     """
-    u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 13), 16, 10).cast("double") + 0.5) / F.lit(float(2**52))
-    odds = u / (1 - u)
-    if propensity is not None:
-        odds = odds / propensity
-    sizes = materialize(docs.select(F.col(id_col).alias("id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"), odds.alias("_odds")), "mix-sizes")
-    targets = source_targets(sizes, weights, cap)
-    f = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    targets = targets.withColumn("_copies", F.floor(f)).withColumn("_pi", f - F.floor(f))
-    targets = maybe_broadcast(materialize(targets.withColumn("_rest", F.col("target") - F.col("_copies") * F.col("source_size")).withColumn("_zero", F.lit(0).cast("bigint")).withColumnRenamed("source", "_src"), "mix-targets"))
-    rows = sizes.join(targets, sizes.source.eqNullSafe(targets._src)).drop("_src")
-    pareto = F.col("_odds") / (F.col("_pi") / (1 - F.col("_pi")))
-    rank = F.when(F.col("_pi") > 0, pareto / (1 + pareto)).otherwise(1.0)
-    rows = rows.withColumn("_rank", rank).withColumn("_b1", F.least(F.floor(F.col("_rank") * BUCKETS), F.lit(BUCKETS - 1)))
-    rows = rows.withColumn("_b2", F.floor((F.col("_rank") * BUCKETS - F.col("_b1")) * BUCKETS))
-    first = maybe_broadcast(materialize(_cut(rows, "_b1", "_zero"), "mix-cut1"))
-    rows = rows.join(first, rows.source.eqNullSafe(first._s), "left").drop("_s")
-    second = maybe_broadcast(materialize(_cut(rows.where("_b1 = _b1_cut"), "_b2", "_b1_before"), "mix-cut2"))
-    rows = rows.join(second, rows.source.eqNullSafe(second._s), "left").drop("_s")
-    near = F.coalesce((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") == F.col("_b2_cut")), F.lit(False))
-    before = F.coalesce((F.col("_b1") < F.col("_b1_cut")) | ((F.col("_b1") == F.col("_b1_cut")) & (F.col("_b2") < F.col("_b2_cut"))), F.lit(False))
-    upto = F.sum("size").over(Window.partitionBy("source").orderBy("_rank", "id", "size").rowsBetween(Window.unboundedPreceding, 0)) + F.col("_b2_before")
-    far, close = rows.where(~near).withColumn("_extra", before), rows.where(near).withColumn("_extra", upto * 2 - F.col("size") <= F.col("_rest") * 2)
-    copies = F.col("_copies") + F.col("_extra").cast("int")
-    out = far.unionByName(close).withColumn("taken", (F.col("size") * copies).cast("bigint"))
-    return out.select(F.col("id").alias(id_col), "size", "source", F.coalesce("source_size", F.lit(0)).alias("source_size"), "target", "taken", copies.cast("int").alias("copies"))
-
-
-def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
-    """The rows of `docs`, each as often as the mix takes it.
-
-    Rows that repeat an id, source and size are equals; how often such rows are taken together
-    is right, and spread evenly over them.
+    mix = _Mix(docs.select(*_rows(docs, id_col, text_col, source_col, seed, propensity)), weights, cap)
+    far, _ = mix.decided(mix.sizes)
+    # Rows of a group are equal in every column that is returned, so the group stands for them.
+    close = mix.close.join(mix.sources, F.col("src").eqNullSafe(F.col("s"))).withColumn("i", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("m"))))
+    close = close.withColumn("extra", (F.col("i") <= F.col("k")).cast("int"))
+    names = ["id", "size", "src", "source_size", "target", "copies", "extra"]
+    out = far.select(*names).unionByName(close.select(*names)).withColumn("n", F.col("copies") + F.col("extra"))
+    return out.select(F.col("id").alias(id_col), "size", F.col("src").alias("source"), "source_size", "target", (F.col("size") * F.col("n")).cast("bigint").alias("taken"), F.col("n").cast("int").alias("copies"))
+
+
+def mixed_documents(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (1, 2, 3), cap: float = 3.0, seed: str = "mix", propensity: Column | None = None
+) -> DataFrame:
+    """The rows of `docs`, each as often as the mix takes it; columns are those of `docs`.
+
+    Texts are not shuffled: a row's copies follow from its id, its source's row and, around the
+    cuts, a small table. Rows equal in id, source and text are equals; where a cut falls among
+    them they are numbered, partition by partition, and the first take one copy more.
     """
-    taken = mix_sources(docs, id_col, text_col, source_col, **how).groupBy(F.col(id_col).alias("_id"), F.col("source").alias("_src"), F.col("size").alias("_size"))
-    taken = taken.agg(F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    match = F.col(id_col).eqNullSafe(F.col("_id")) & F.col(source_col).eqNullSafe(F.col("_src")) & (word_count(F.col(text_col)) == F.col("_size"))
-    out = docs.join(taken.where("_copies > 0"), match)
-    # Only repeated rows need a number of their own.
-    several = out.where("_rows > 1").withColumn("_n", F.row_number().over(Window.partitionBy(id_col, source_col, "_size").orderBy(text_col)))
-    several = several.withColumn("_own", F.floor(F.col("_copies") / F.col("_rows")) + (F.col("_n") <= F.col("_copies") % F.col("_rows")).cast("int")).drop("_n")
-    out = out.where("_rows = 1").withColumn("_own", F.col("_copies")).unionByName(several)
-    return out.where("_own > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own").cast("int")))).select(*docs.columns)
+    how = (id_col, text_col, source_col, seed, propensity)
+    mix = _Mix(docs.select(*_rows(docs, *how)), weights, cap)
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    id_, src, size, th, odds = _rows(docs, *how)
+    far, near = mix.decided(docs.select(whole, id_, src, odds, size, th))
+    close = maybe_broadcast(mix.close.select(*[F.col(c).alias(f"c_{c}") for c in mix.close.columns]))
+    same = F.col("src").eqNullSafe(F.col("c_src")) & F.col("id").eqNullSafe(F.col("c_id")) & F.col("th").eqNullSafe(F.col("c_th")) & (F.col("size") == F.col("c_size"))
+    near = near.join(close, same).withColumn("extra", (F.col("c_k") == F.col("c_m")).cast("int"))
+    split = (F.col("c_k") > 0) & (F.col("c_k") < F.col("c_m"))
+    # At most one group of equal rows a source is split by its cut.
+    torn = materialize(near.where(split).select("row", "copies", "src", "c_k", F.monotonically_increasing_id().alias("mono")), "mix-torn")
+    torn = torn.withColumn("part", F.shiftright("mono", 33))
+    parts = torn.groupBy("src", "part").agg(F.count("*").alias("n"))  # a row a partition and source
+    parts = parts.select(F.col("src").alias("p_src"), F.col("part").alias("p_part"), F.coalesce(F.sum("n").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("n_before"))
+    torn = torn.join(F.broadcast(parts), F.col("src").eqNullSafe(F.col("p_src")) & (F.col("part") == F.col("p_part")))
+    inside = F.row_number().over(Window.partitionBy("src", "part").orderBy("mono"))
+    torn = torn.withColumn("extra", (F.col("n_before") + inside <= F.col("c_k")).cast("int"))
+    names = ["row", "copies", "extra"]
+    out = far.select(*names).unionByName(near.where(~split).select(*names)).unionByName(torn.select(*names)).withColumn("n", F.col("copies") + F.col("extra"))
+    out = out.where("n > 0").select("row", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
+    return out.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op5_source_mixing(spark, sf_dir: str) -> DataFrame:
