@@ -1,193 +1,169 @@
 """Operator 6: line deduplication by winnowing over line hashes (DataFrame functions only).
 
-A document is a sequence of lines. Every window of `window` consecutive lines selects its least
-line hash (the rightmost of equals) as fingerprint, so a run of that many lines selects the same
-fingerprint wherever it occurs. Positions of fingerprints that occur once are dismissed. Around
-the others matches are extended to both sides over the windows that the fingerprint stands for,
-and of each repeated run all but the first occurrence are deleted.
-
-That is the query's rule. The pipeline stage (`keep_first_lines`) measures repeated runs in words,
-whatever their number of lines.
+A document is a sequence of lines; lines without words only stand between others. A run of
+consecutive lines of `min_words` words or more in all, with words in its first and its last line,
+is a match if it occurs twice. Winnowing finds matches from few positions: every shortest window of
+lines that reaches `min_words` words, counted on from its first line or back from its last, selects
+the line of its least hash (the rightmost of equals), so equal windows select the same line
+wherever they occur and any match holds a selected line at the same place in both occurrences.
+Selected positions are joined by their line's hash, and those that stand alone are dismissed.
+Around the others matches are extended both ways to the windows that selected the position; those
+that occur earlier as well make up, put together, the later repeated runs, which are deleted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, read_table
+from .common import WORD, materialize, nested, read_table, unnested
 
+MIN_WORDS = 8
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 8) -> DataFrame:
-    """(id, th, starts): for documents with later repeated runs the windows to delete.
 
-    th is the hash of the text; (id, th) names a document.
-    """
-    text = F.col(text_col)
+def _line_hashes(text: Column) -> list[Column]:
+    """Arrays over the lines with words: index, hash, second hash, words."""
     lines = F.split(text, "\n", -1)
-    base = docs.where(text.isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), lines.alias("ls"))
-    base = base.select(
-        "id", "th",
-        F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"),
-        F.transform("ls", lambda x: F.xxhash64(F.lit("second"), x)).alias("h2"),
-        F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws"),
-    )
-    base = base.where(F.size("hs") >= window)
-
-    def one(s):
-        part = F.slice("hs", s + 1, F.lit(window))
-        least = F.array_min(part)
-        return F.struct(
-            s.alias("s"),
-            least.alias("fp"),
-            (s + window - F.array_position(F.reverse(part), least)).cast("int").alias("at"),
-            F.xxhash64(part).alias("g1"),
-            F.xxhash64(F.slice("h2", s + 1, F.lit(window))).alias("g2"),
-            F.aggregate(F.slice("ws", s + 1, F.lit(window)), F.lit(0), lambda a, x: a + x).alias("words"),
-        )
-
-    windows = base.select("id", "th", F.explode(F.transform(F.sequence(F.lit(0), F.size("hs") - window), one)).alias("w")).select("id", "th", "w.*")
-    windows = materialize(windows.where(F.col("words") >= min_words).drop("words"), "lines-windows")
-    # Winnowed positions: overlapping windows that chose the same line count once.
-    picked = windows.groupBy("fp", "id", "th", "at").agg(F.lit(1).alias("_one")).groupBy("fp").agg(F.count("*").alias("n"))
-    shared = materialize(picked.where("n > 1").select("fp"), "lines-shared")
-    live = materialize(windows.join(shared, "fp", "left_semi").select("id", "th", "s", "g1", "g2"), "lines-live")
-    first = live.groupBy("g1", "g2").agg(F.min(F.struct("id", "th", "s")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = materialize(first, "lines-first")
-    later = live.join(first, ["g1", "g2"]).where(~F.struct("id", "th", "s").eqNullSafe(F.col("first")))
-    return later.select("id", "th", "s")
-
-
-def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """(id, th, span): for documents with later repeated runs of `min_words` words the lines to delete.
-
-    span is first line * 2^32 + last line. A run of any length is covered by windows that can't be
-    shorter: those that reach `min_words` with their last line and those that do with their first.
-    They start and end with lines that have words, so they hold at most `min_words` such lines.
-    Lines without words between two long lines take a window of both.
+    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    return [F.filter(numbered, lambda x: x["w"] > 0).alias("ls"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs"), F.transform(lines, lambda x: F.xxhash64(F.lit("second"), x)).alias("h2s")]
+
+
+def _windows(min_words: int) -> tuple[Column, Column]:
+    """`ws`, the words of `ls`, and the shortest windows (first, last) over it that reach `min_words`, from both ends.
+
+    A window starts and ends with a line that has words, so it holds at most `min_words` of them.
+    Two long lines with wordless lines between them take a window of both, so that a match of
+    both covers those as well.
     """
-    text = F.col(text_col)
-    base = docs.where(text.isNotNull() & text.rlike(WORD)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("ls"))
-    base = base.select(
-        "id", "th",
-        F.transform("ls", lambda x: F.xxhash64(x)).alias("hs"),
-        F.transform("ls", lambda x: F.xxhash64(F.lit("second"), x)).alias("h2"),
-        F.transform("ls", lambda x: F.regexp_count(x, F.lit(WORD))).alias("ws"),
-    )
-    base = base.withColumn("ix", F.filter(F.sequence(F.lit(0), F.size("ws") - 1), lambda i: F.get("ws", i) > 0))
-    base = base.withColumn("wx", F.filter("ws", lambda x: x > 0))
-
-    def reach(words):
+
+    def reach(words: Column) -> Column:
         start = F.struct(F.lit(0).alias("sum"), F.lit(0).alias("n"))
         more = lambda a, x: F.struct((a["sum"] + x).alias("sum"), (a["n"] + 1).alias("n"))
         return F.aggregate(words, start, lambda a, x: F.when(a["sum"] >= min_words, a).otherwise(more(a, x)), lambda a: F.when(a["sum"] >= min_words, a["n"]))
 
-    def span(first, last):
-        return F.shiftleft(F.get("ix", first).cast("bigint"), 32) + F.get("ix", last)
-
-    def forward(k):
-        return span(k, k + reach(F.slice("wx", k + 1, F.lit(min_words))) - 1)
+    def pair(first: Column, last: Column) -> Column:
+        return F.when(first.isNotNull() & last.isNotNull(), F.struct(first.alias("first"), last.alias("last")))
 
-    def backward(k):
-        n = F.least(k + 1, F.lit(min_words))
-        return span(k - reach(F.reverse(F.slice("wx", k + 2 - n, n))) + 1, k)
-
-    def gap(k):
-        apart = F.get("ix", k + 1) > F.get("ix", k) + 1
-        return F.when(apart & (F.get("wx", k) >= min_words) & (F.get("wx", k + 1) >= min_words), span(k, k + 1))
+    words = F.transform("ls", lambda x: x["w"])
+    every = F.sequence(F.lit(0), F.size("ls") - 1)
 
-    def one(c):
-        s, n = first_line(c), last_line(c) - first_line(c) + 1
-        return F.struct(c.alias("span"), F.xxhash64(F.slice("hs", s + 1, n)).alias("g1"), F.xxhash64(F.slice("h2", s + 1, n)).alias("g2"))
+    def forward(k: Column) -> Column:
+        return pair(k, k + reach(F.slice("ws", k + 1, F.lit(min_words))) - 1)
 
-    every = F.sequence(F.lit(0), F.size("ix") - 1)
-    spans = F.array_distinct(F.array_compact(F.concat(F.transform(every, forward), F.transform(every, backward), F.transform(every, gap))))
-    base = base.select("id", "th", "hs", "h2", spans.alias("spans"))
-    windows = base.select("id", "th", F.explode(F.transform("spans", one)).alias("w")).select("id", "th", "w.*")
-    windows = materialize(windows, "runs-windows")
-    shared = materialize(windows.groupBy("g1").agg(F.count("*").alias("n")).where("n > 1").select("g1"), "runs-shared")
-    live = materialize(windows.join(shared, "g1", "left_semi"), "runs-live")
-    first = live.groupBy("g1", "g2").agg(F.min(F.struct("id", "th", "span")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    first = materialize(first, "runs-first")
-    later = live.join(first, ["g1", "g2"]).where(~F.struct("id", "th", "span").eqNullSafe(F.col("first")))
-    return later.select("id", "th", "span")
+    def backward(k: Column) -> Column:
+        n = F.least(k + 1, F.lit(min_words))
+        return pair(k - reach(F.reverse(F.slice("ws", k + 2 - n, n))) + 1, k)
 
+    def gap(k: Column) -> Column:
+        apart = F.get("ls", k + 1)["i"] > F.get("ls", k)["i"] + 1
+        return F.when(apart & (F.get("ws", k) >= min_words) & (F.get("ws", k + 1) >= min_words), pair(k, k + 1))
 
-def first_line(span: Column) -> Column:
-    return F.shiftright(span, 32).cast("int")
+    found = F.array_distinct(F.array_compact(F.concat(F.transform(every, forward), F.transform(every, backward), F.transform(every, gap))))
+    return words.alias("ws"), found.alias("windows")
 
 
-def last_line(span: Column) -> Column:
-    return span.bitwiseAND(F.lit(0xFFFFFFFF)).cast("int")
+def _selected(window: Column) -> Column:
+    """The place in `ls` of the least hash of a window, the rightmost of equals."""
+    part = F.slice("ls", window["first"] + 1, window["last"] - window["first"] + 1)
+    return F.array_max(F.transform(part, lambda x, i: F.struct(F.bitwise_not(x["h"]).alias("h"), (window["first"] + i).alias("at"))))["at"]
 
 
-def drop_repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = 8) -> DataFrame:
-    """`docs` with later repeated runs of lines deleted, and _n_lines, _n_removed added.
+def winnowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, at, fp, first, last, g1, g2): every window's selected position and what surrounds it.
 
-    A line goes if it is part of a run of consecutive lines, one or more, with `min_words` words
-    or more in all and words in its first and its last line, that also starts earlier. Order,
-    rows equal in id and text and null texts are as in `drop_repeated_lines`.
+    th is the hash of the text; (id, th) names a document. at is the selected line and fp its
+    hash; the window reaches from line `first` to `last`, and g1, g2 are hashes of all of it.
     """
-    hits = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set("span").alias("_starts"))
-    return _delete(docs, hits, lambda c: F.sequence(first_line(c), last_line(c)), id_col, text_col)
+    text = F.col(text_col).cast("string")
+    words, windows = _windows(min_words)
+    base = docs.where(text.isNotNull() & text.rlike(WORD)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), *_line_hashes(text))
+    base = base.select("*", words).select("*", windows)
+
+    def around(w: Column) -> Column:
+        chosen = F.get("ls", _selected(w))
+        first, last = F.get("ls", w["first"])["i"], F.get("ls", w["last"])["i"]
+        both = [F.xxhash64(F.slice(c, first + 1, last - first + 1)).alias(g) for c, g in (("hs", "g1"), ("h2s", "g2"))]
+        return F.struct(chosen["i"].alias("at"), chosen["h"].alias("fp"), first.alias("first"), last.alias("last"), *both)
+
+    return base.select("id", "th", F.explode(F.transform("windows", around)).alias("x")).select("id", "th", "x.*")
+
+
+def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+    """(id, th, first, last): the later occurrences of repeated windows of lines, ends included."""
+    spots = materialize(winnowed(docs, id_col, text_col, min_words), "lines-spots")
+    # Positions joined by fingerprint: a line that only one place selects has no match around it.
+    place = F.struct("id", "th", "at")
+    shared = spots.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("fp")
+    live = spots.join(materialize(shared, "lines-shared"), "fp", "left_semi").select("id", "th", "first", "last", "g1", "g2")
+    live = materialize(live, "lines-live")
+    one = F.struct("id", "th", "first", "last")
+    earliest = live.groupBy("g1", "g2").agg(F.min(one).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
+    earliest = materialize(earliest, "lines-earliest")
+    later = live.join(earliest, ["g1", "g2"]).where(~one.eqNullSafe(F.col("earliest")))
+    return later.select("id", "th", "first", "last")
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
+    """`docs` with later repeated runs of lines deleted; `counts` names columns for lines and removed lines.
 
-
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 2, min_words: int = 8) -> DataFrame:
-    """`docs` with later repeated runs of lines deleted, and _n_lines, _n_removed added.
-
-    A line goes if it is part of `window` consecutive lines, of `min_words` words or more
-    together, that also start earlier: in a smaller id (null first; rows that repeat an id come
-    in order of their text's hash), or further up in the same text. Rows equal in id and text
-    are one document and get the same result. Null texts stay null, and documents with fewer
-    lines than `window` stay whole. A document that loses every line keeps an empty text.
+    A line goes if it is part of a run of consecutive lines, one or more, with `min_words` words
+    or more in all and words in its first and its last line, that also starts earlier: in a
+    smaller id (null first; rows that repeat an id come in order of their text's hash), or
+    further up in the same text. Rows equal in id and text are one document and get the same
+    result. Null texts stay null and have no lines. A document that loses every line keeps an
+    empty text. Other columns stay, whatever their names; those that `counts` names are replaced.
     """
-    hits = repeated_lines(docs, id_col, text_col, window, min_words).groupBy("id", "th").agg(F.collect_set("s").alias("_starts"))
-    return _delete(docs, hits, lambda s: F.sequence(s, s + window - 1), id_col, text_col)
-
-
-def _delete(docs: DataFrame, hits: DataFrame, lines_of: Callable[[Column], Column], id_col: str, text_col: str) -> DataFrame:
-    """`docs` without the lines of _starts in `hits` (id, th, _starts), with _n_lines and _n_removed."""
-    hits = hits.select(F.col("id").alias("_id"), F.col("th").alias("_th"), "_starts")
-    out = docs.join(hits, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_th")), "left")
-    lines = F.split(F.col(text_col), "\n", -1)
-    n = F.size(lines)
-    gone = F.array_distinct(F.flatten(F.transform("_starts", lines_of)))
-    kept = F.array_except(F.sequence(F.lit(0), n - 1), gone)
-    text = F.when(F.col("_starts").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.element_at("_lines", i + 1)), "\n"))
-    out = out.withColumn("_lines", F.when(F.col("_starts").isNotNull(), lines))
-    return out.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in docs.columns],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(n).cast("bigint").alias("_n_lines"),
-        F.when(F.col("_starts").isNull(), F.lit(0)).otherwise(F.size(gone)).cast("bigint").alias("_n_removed"),
-    )
-
-
-def keep_first_lines(docs: DataFrame, text_col: str = "text", **how) -> DataFrame:
+    hits = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hits = hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "runs")
+    rows = nested(docs, id=F.col(id_col), text=F.col(text_col).cast("string"))
+    out = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_th")), "left")
+    out = out.withColumn("lines", F.split("text", "\n", -1))
+    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
+    out = out.withColumn("gone", F.when(F.col("runs").isNotNull(), gone))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    more = {}
+    if counts:
+        more[counts[0]] = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("bigint")
+        more[counts[1]] = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("bigint")
+    return unnested(out, docs, {text_col: text, **more})
+
+
+def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
     """`docs` without later repeated runs of lines; documents that lose lines and have no word left go."""
-    out = drop_repeated_runs(docs, text_col=text_col, **how)
-    return out.where(~((F.col("_n_removed") > 0) & ~F.col(text_col).rlike(WORD))).drop("_n_lines", "_n_removed")
+    rows = nested(docs, id=F.col(id_col), text=F.col(text_col))
+    out = drop_repeated_lines(rows, "id", "text", counts=("n_lines", "n_removed"), **how)
+    out = out.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)))
+    return unnested(out, docs, {text_col: F.col("text")})
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
-    out = drop_repeated_lines(read_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = drop_repeated_lines(docs, counts=("n_lines", "n_removed"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+# Windows are found here from running word counts: from a line with words on to the first that
+# makes up 8 words, back from it likewise, and two long lines that only wordless ones part.
 OP6_SQL = r"""
-WITH l AS (
-  SELECT doc_id, generate_subscripts(ls, 1) - 1 AS s, unnest(ls) AS line
-  FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL)),
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL),
+l AS (
+  SELECT doc_id, s, line, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n
+  FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS s, unnest(ls) AS line FROM d)),
 w AS (
-  SELECT doc_id, s, line, lead(line) OVER (PARTITION BY doc_id ORDER BY s) AS line2,
-         len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n1,
-         lead(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) OVER (PARTITION BY doc_id ORDER BY s) AS n2
-  FROM l),
+  SELECT doc_id, s, n, sum(n) OVER (PARTITION BY doc_id ORDER BY s) AS upto,
+         lead(s) OVER (PARTITION BY doc_id ORDER BY s) AS s2, lead(n) OVER (PARTITION BY doc_id ORDER BY s) AS n2
+  FROM l WHERE n > 0),
+win AS (
+  SELECT a.doc_id, a.s AS f, b.s AS t FROM w a ASOF JOIN w b ON a.doc_id = b.doc_id AND a.upto - a.n + 8 <= b.upto
+  UNION
+  SELECT b.doc_id, a.s, b.s FROM w b ASOF JOIN w a ON b.doc_id = a.doc_id AND b.upto - 8 >= a.upto - a.n
+  UNION
+  SELECT doc_id, s, s2 FROM w WHERE s2 > s + 1 AND n >= 8 AND n2 >= 8),
 g AS (
-  SELECT doc_id, s, row_number() OVER (PARTITION BY line, line2 ORDER BY doc_id, s) AS k
-  FROM w WHERE line2 IS NOT NULL AND n1 + n2 >= 8),
-gone AS (SELECT doc_id, s FROM g WHERE k > 1 UNION SELECT doc_id, s + 1 FROM g WHERE k > 1),
+  SELECT win.doc_id, f, t, row_number() OVER (PARTITION BY ls[f + 1 : t + 1] ORDER BY win.doc_id, f, t) AS k
+  FROM win JOIN d ON win.doc_id = d.doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(generate_series(f, t)) AS s FROM g WHERE k > 1),
 kept AS (
   SELECT l.doc_id, count(*) AS n_lines, count(gone.s) AS n_removed,
          coalesce(string_agg(line, chr(10) ORDER BY l.s) FILTER (WHERE gone.s IS NULL), '') AS text
