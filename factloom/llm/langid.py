@@ -17,13 +17,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, read_table
+from .common import materialize, pieces, read_table
 
 ORDERS = (3, 4)
-SLOT_BITS, HASHES = 20, 3
-#: Bounds of the fit: labelled documents a language (about; chosen by hash), n-grams kept a language.
-FIT_DOCS, FIT_GRAMS = 4000, 60_000
+#: Hashes an n-gram, and the least and greatest log2 of a filter's slots; 2 ** 22 slots take 32 MB for 64 languages.
+HASHES, SLOT_BITS = 3, (16, 22)
+#: Bound of the fit: labelled documents a language (about; chosen by hash). All their n-grams count.
+FIT_DOCS = 4000
 UNKNOWN = "und"
+#: Least share of a document's n-grams that its language must hold for the pipeline to keep it.
+MIN_RATE = 0.2
 
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 _folded: list[np.ndarray] = []
@@ -65,19 +68,16 @@ def grams(x: np.ndarray) -> np.ndarray:
 class LanguageFilter:
     """Bit-sliced Bloom filters of up to 64 languages a word, with as many words as needed."""
 
-    def __init__(self, langs: list[str], common: str | None):
-        self.langs, self.common = langs, common
+    def __init__(self, langs: list[str], common: str | None, bits: int = SLOT_BITS[0]):
+        self.langs, self.common, self.bits = langs, common, bits
         self.words = max(1, -(-len(langs) // 64))
-        self.slots = np.zeros((self.words, 1 << SLOT_BITS), np.uint64)
+        self.slots = np.zeros((self.words, 1 << bits), np.uint64)
         self.false = np.zeros(len(langs))
 
-    def _slots(self, h: np.ndarray) -> Iterator[np.ndarray]:
+    def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
+        """The slots of n-grams, one array for each hash."""
         for seed in _SEEDS[1 : 1 + HASHES]:
-            yield ((h * seed) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
-
-    def add(self, lang: int, h: np.ndarray) -> None:
-        for at in self._slots(h):
-            self.slots[lang // 64, at] |= np.uint64(1 << lang % 64)
+            yield ((h * seed) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def finish(self) -> LanguageFilter:
         for lang in range(len(self.langs)):
@@ -87,36 +87,38 @@ class LanguageFilter:
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """How many of the n-grams each language's filter holds."""
-        out = np.zeros(len(self.langs))
-        places = list(self._slots(h))
+        out = np.zeros(self.words * 64, np.int64)
+        places = list(self.places(h))
         for w in range(self.words):
             mask = self.slots[w][places[0]]
             for at in places[1:]:
                 mask &= self.slots[w][at]
-            for lang in range(w * 64, min(len(self.langs), w * 64 + 64)):
-                out[lang] = np.count_nonzero(mask & np.uint64(1 << lang % 64))
-        return out
-
-    def predict(self, text: str | None) -> tuple[str, float]:
+            used = -(-min(64, len(self.langs) - w * 64) // 8)  # bytes of a mask that hold languages
+            for i in range(0, len(mask), 65536):
+                bits = np.unpackbits(mask[i : i + 65536].view(np.uint8).reshape(-1, 8)[:, :used], axis=1, bitorder="little")
+                out[w * 64 : w * 64 + used * 8] += bits.sum(axis=0, dtype=np.int64)
+        return out[: len(self.langs)]
+
+    def predict(self, text: str | None) -> tuple[str, float, float]:
+        """The language, its share of all corrected counts, and the corrected share of the n-grams that it holds."""
         x = letters(text)
         if not len(x) or not self.langs:
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, 0.0
         h = grams(x)
         corrected = np.maximum((self.counts(h) - len(h) * self.false) / (1 - np.minimum(self.false, 0.999)), 0)
         total = corrected.sum()
         if total <= 0:
-            return self.common, 0.0
+            return self.common, 0.0, 0.0
         best = int(corrected.argmax())
-        return self.langs[best], float(corrected[best] / total)
+        return self.langs[best], float(corrected[best] / total), float(corrected[best] / len(h))
 
 
-def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, fit_grams: int = FIT_GRAMS, min_count: int = 3, share: float = 0.5) -> LanguageFilter:
+def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", fit_docs: int = FIT_DOCS, share: float = 0.5) -> LanguageFilter:
     """The filter from rows with text and language.
 
     Rows are sampled by a hash of id and text to about `fit_docs` a language. A language holds an
-    n-gram that occurs `min_count` times in it, at `share` or more of the highest rate of any
-    language; of those the `fit_grams` most frequent. The driver gets that many numbers a
-    language at most.
+    n-gram that occurs in it at `share` or more of the highest rate of any language. The filter
+    is put together by Spark, so the driver gets its slots and never the n-grams.
     """
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = {r["lang"]: r["n"] for r in rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()}  # a row a language
@@ -152,35 +154,43 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     counts = materialize(counts, "langid-grams")
     totals = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).collect()}  # a row a language
     per = F.create_map(*[x for i, n in totals.items() for x in (F.lit(i), F.lit(float(n)))]) if totals else F.create_map(F.lit(0), F.lit(1.0))
-    rates = counts.where(F.col("n") >= min_count).withColumn("rate", F.col("n") / F.element_at(per, F.col("lang")))
+    rates = counts.withColumn("rate", F.col("n") / F.element_at(per, F.col("lang")))
     top = rates.groupBy("gram").agg(F.max("rate").alias("top"))
-    chosen = rates.join(top, "gram").where(F.col("rate") >= share * F.col("top"))
-    found = LanguageFilter(langs, max(langs, key=lambda x: (sizes[x], [-c for c in x.encode()])))
-    for lang in range(len(langs)):
-        mine = chosen.where(F.col("lang") == lang).orderBy(F.desc("n"), "gram").limit(fit_grams).select("gram").toArrow()  # bounded by fit_grams
-        found.add(lang, mine.column("gram").to_numpy().view(np.uint64))
+    chosen = materialize(rates.join(top, "gram").where(F.col("rate") >= share * F.col("top")).select("lang", "gram"), "langid-chosen")
+    most = chosen.groupBy("lang").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 1
+    bits = min(SLOT_BITS[1], max(SLOT_BITS[0], int(most * HASHES * 4).bit_length()))
+    found = LanguageFilter(langs, max(langs, key=lambda x: (sizes[x], [-c for c in x.encode()])), bits)
+    empty = LanguageFilter([], None, bits)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lang = batch.column(0).to_numpy()
+            masks = pa.array((np.uint64(1) << (lang % 64).astype(np.uint64)).view(np.int64))
+            for at in empty.places(batch.column(1).to_numpy().view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(lang // 64), pa.array(at), masks], ["word", "slot", "mask"])
+
+    masks = chosen.mapInArrow(slots, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # bounded by the slots
+    found.slots[masks.column("word").to_numpy(), masks.column("slot").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
     return found.finish()
 
 
 def predict(docs: DataFrame, model: LanguageFilter, text_col: str = "text", without: tuple[str, ...] = ()) -> DataFrame:
-    """`docs`, without some columns, with lang_pred and score added.
+    """`docs`, without some columns, with lang_pred and score added; columns of these names are replaced.
 
     A text without a letter, or null, is `und` with score 0.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # 8 MB for each 64 languages
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # 32 MB at most for each 64 languages
+    docs = docs.drop("lang_pred", "score")
+    names = docs.columns
+    at, keep = names.index(text_col), [i for i, c in enumerate(names) if c not in without]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = names.index(text_col)
         for batch in batches:
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
+            for part in pieces(batch, at):
                 found = [shared.value.predict(t.as_py()) for t in part.column(at)]
                 told = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
                 yield pa.RecordBatch.from_arrays([*(part.column(i) for i in keep), *told], [*(names[i] for i in keep), "lang_pred", "score"])
 
-    docs = docs.drop("lang_pred", "score")
-    names = docs.columns
-    keep = [i for i, c in enumerate(names) if c not in without]
     return docs.mapInArrow(run, T.StructType([*(docs.schema.fields[i] for i in keep), T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
@@ -191,21 +201,31 @@ def held_out(id_col: str = "doc_id"):
 def identify_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", without: tuple[str, ...] = (), **how) -> DataFrame:
     """`docs` with held_out, lang_pred and score added, learned from the rows not held out.
 
-    Columns named in `without`, such as the text, are not returned.
-
-    Rows that repeat an id are predicted each by its own text. Without any labelled text every
+    Columns of these three names are replaced; those in `without`, such as the text, are not
+    returned. Rows that repeat an id are predicted each by its own text. Without any labelled text every
     row is `und`.
     """
     model = learn(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **how)
     return predict(docs.withColumn("held_out", held_out(id_col)), model, text_col, without)
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.3, **how) -> DataFrame:
-    """The rows of `docs` whose language is told with `min_score` or more; their columns only."""
-    text_col = how.get("text_col", "text")
-    model = learn(docs.where(~held_out(how.get("id_col", "doc_id"))), **how)
-    found = predict(docs, model, text_col)
-    return found.where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= min_score)).select(*docs.columns)
+def keep_identified(docs: DataFrame, min_rate: float = MIN_RATE, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **how) -> DataFrame:
+    """The rows of `docs` as they are, but for those whose language can't be told.
+
+    Those have no letter, or the best language's filter holds less than `min_rate` of their
+    n-grams, whatever other languages there are. Where nothing was learned no row is told.
+    """
+    model = learn(docs.where(~held_out(id_col)), id_col, text_col, lang_col, **how)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, at):
+                found = [shared.value.predict(t.as_py()) for t in part.column(at)]
+                yield part.filter(pa.array([lang != UNKNOWN and rate >= min_rate for lang, _, rate in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op3_language_id(spark, sf_dir: str) -> DataFrame:
