@@ -20,11 +20,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import pieces, read_table
 
 SPACE = "▁"
-#: Entries of a worker's memo of words and of its memo of pairs; a full memo starts anew.
-MEMO_WORDS, MEMO_PAIRS = 500_000, 500_000
+#: Characters that each of a worker's two memos of spans may hold, and entries of its memo of pairs;
+#: a full memo starts anew, and longer spans than `MEMO_SPAN` are never kept.
+MEMO_CHARS, MEMO_SPAN, MEMO_PAIRS = 30_000_000, 200, 300_000
 
 
 def default_model() -> str:
@@ -57,6 +58,7 @@ class PieceBpe:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model has pieces that hold a space after other characters")
         self.unusual = {*self.byte_of, *self.silent, self.unk}
+        self.plain = {str(i): x for i, x in enumerate(self.surface) if i not in self.unusual}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self._merge(piece) == [piece]:
@@ -65,7 +67,6 @@ class PieceBpe:
         self.known = {p for p in self.ids if len(p) == 1}
         self.pairs: dict[int, bool] = {}
         self.width = [len(p) for p in self.pieces]
-        self.odd: set[str] = set()
         self.words, self.spans = Memo(self, SPACE), Memo(self, "")
         self.newline = self.spans["\n"]
 
@@ -132,9 +133,8 @@ class PieceBpe:
             at = end
         return ids
 
-    def decode_span(self, ids: list[int]) -> str:
-        if not self.unusual.intersection(ids):
-            return "".join([self.surface[i] for i in ids])
+    def decode(self, ids: list[int]) -> str:
+        """The library's decode(ids): control ids are silent, and the dummy prefix goes."""
         out, held = [], bytearray()
         for i in [*ids, None]:
             if i in self.byte_of:
@@ -145,39 +145,40 @@ class PieceBpe:
                 held.clear()
             if i is not None and i not in self.silent:
                 out.append(" ⁇ " if i == self.unk else self.surface[i])
-        return "".join(out)
+        text = "".join(out)
+        return text[1:] if text.startswith(" ") else text
 
-    def decode(self, ids: list[int]) -> str:
-        """The library's decode(ids): control ids are silent, and the dummy prefix goes."""
-        text = self.decode_span(ids)
+    def decode_ids(self, ids: str) -> str:
+        """decode() of ids joined by spaces."""
+        tokens = ids.split(" ")
+        last = tokens.pop() if tokens[-1] == str(self.eos) else None
+        try:
+            text = "".join(map(self.plain.__getitem__, tokens))
+        except KeyError:  # bytes, unknown or control ids
+            return self.decode([int(i) for i in (tokens if last is None else [*tokens, last])])
         return text[1:] if text.startswith(" ") else text
 
     def encode_text(self, text: str | None) -> tuple[str, str]:
-        """The ids of a whole text with the end id, joined by spaces, and what they decode to.
+        """The ids of a whole text with the end id, joined by spaces, and what these ids decode to.
 
-        Both are put together from spans that no merge crosses, each encoded and decoded once
-        for as long as the memo holds it.
+        Ids are put together from spans that no merge crosses, each encoded once for as long as
+        the memo holds it.
         """
         if not text:
             return str(self.eos), ""
         if text[0] == " " or "  " in text or SPACE in text:
             spans = _SPANS.findall(SPACE + text.replace(" ", SPACE))
-            ids = "".join(map(self.spans.__getitem__, spans))
+            out = map(self.spans.__getitem__, spans)
         else:
             first, *lines = text.split("\n")
-            words = spans = first.split(" ")
-            out = list(map(self.words.__getitem__, words))
+            out = list(map(self.words.__getitem__, first.split(" ")))
             for line in lines:
                 out.append(self.newline)
                 head, *words = line.split(" ")
                 out.append(self.spans[head])
                 out += map(self.words.__getitem__, words)
-            ids = "".join(out)
-        if self.odd:  # some span does not decode to itself
-            decoded = self.decode([int(i) for i in ids.split()])
-        else:
-            decoded = text.replace(SPACE, " ")
-        return f"{ids}{self.eos}", decoded
+        ids = f"{''.join(out)}{self.eos}"
+        return ids, self.decode_ids(ids)
 
     def encode(self, text: str | None) -> list[int]:
         """All ids with the end id, as the library gives them."""
@@ -189,16 +190,16 @@ class Memo(dict):
 
     def __init__(self, bpe: PieceBpe, prefix: str):
         super().__init__()
-        self.bpe, self.prefix = bpe, prefix
+        self.bpe, self.prefix, self.held = bpe, prefix, 0
 
     def __missing__(self, span: str) -> str:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        whole = self.prefix + span
-        ids = self.bpe.encode_span(whole)
-        if self.bpe.decode_span(ids) != whole.replace(SPACE, " "):
-            self.bpe.odd.add(whole)
-        value = self[span] = "".join([f"{i} " for i in ids])
+        value = "".join([f"{i} " for i in self.bpe.encode_span(self.prefix + span)])
+        if len(span) <= MEMO_SPAN:
+            self.held += len(span) + len(value) + 150  # and about what an entry takes
+            if self.held > MEMO_CHARS:
+                self.clear()
+                self.held = len(span) + len(value) + 150
+            self[span] = value
         return value
 
 
@@ -249,8 +250,8 @@ def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part, rows = batch.slice(at, 200), []
+            for part in pieces(batch, 1, 200):
+                rows = []
                 for t in part.column(1):
                     id_text, decoded = bpe.encode_text(t.as_py())
                     decoded = decoded.encode("utf-8", "surrogatepass")

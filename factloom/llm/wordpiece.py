@@ -16,11 +16,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import read_table
+from .common import pieces, read_table
 from .piece_bpe import SPACE, default_model
 
-#: Entries of a worker's memo of words; a full memo starts anew.
-MEMO_WORDS = 200_000
+#: Characters that a worker's memo of words may hold, 150 for each entry among them; a full memo
+#: starts anew, and longer words than `MEMO_WORD` are never kept.
+MEMO_CHARS, MEMO_WORD = 30_000_000, 100
 
 
 class CountingTrie:
@@ -58,6 +59,7 @@ class CountingTrie:
                         self.fail[child], self.pops[child] = self.edges[back][c], popped
                 queue.append(child)
         self.memo: dict[str, int] = {}
+        self.held = 0
 
     def count(self, word: str) -> int:
         edges, fail, pops = self.edges, self.fail, self.pops
@@ -85,9 +87,13 @@ class CountingTrie:
         for w in words:
             n = memo.get(w)
             if n is None:
-                if len(memo) >= MEMO_WORDS:
-                    memo.clear()
-                n = memo[w] = self.count(w)
+                n = self.count(w)
+                if len(w) <= MEMO_WORD:
+                    self.held += len(w) + 150
+                    if self.held > MEMO_CHARS:
+                        memo.clear()
+                        self.held = len(w) + 150
+                    memo[w] = n
             total += n
         return len(words), total
 
@@ -122,8 +128,7 @@ def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie = load(path)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
+            for part in pieces(batch, 1):
                 counts = [trie.count_text(t.as_py()) for t in part.column(1)]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64())], [id_col, "n_words", "n_tokens"])
 
