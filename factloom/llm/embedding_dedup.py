@@ -30,12 +30,21 @@ def table_plan(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     return signs, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
+def most_bits(signs: int, tables: int, threshold: float) -> int:
+    """Signs, over all tables, in which a pair at the threshold differs at most, six deviations included."""
+    n, p = signs * tables, math.acos(threshold) / math.pi
+    return math.ceil(n * p + 6 * math.sqrt(n * p * (1 - p)))
+
+
 def link_vectors(reps: DataFrame, threshold: float, signs: int, tables: int, block: int = BLOCK) -> DataFrame:
     """(node, links, root) for the vectors of `reps` (node, mult, v) found within the threshold.
 
-    links adds the multiplicities of linked vectors, each pair counted in the first table in
-    which it meets; root connects the node to the smallest of its links in the bucket.
+    Buckets are dealt out by signatures alone, and only vectors that have another of like
+    signature in their bucket follow them there. links adds the multiplicities of linked
+    vectors, each pair counted in the first table in which it meets; root connects the node to
+    the smallest of its links in the bucket.
     """
+    most = most_bits(signs, tables, threshold)
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes: dict[int, np.ndarray] = {}
@@ -54,12 +63,31 @@ def link_vectors(reps: DataFrame, threshold: float, signs: int, tables: int, blo
                     key = sig + (np.arange(tables) << 24) + (d << 40)
                     all_ = pa.array([x.tobytes() for x in sig.astype(np.int32)], pa.binary())
                     many = pa.array(np.repeat(np.arange(n), tables))
-                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), *(some.column(c).take(many) for c in ("node", "mult", "v")), all_.take(many)], ["key", "node", "mult", "v", "sigs"])
+                    yield pa.RecordBatch.from_arrays([pa.array(key.ravel()), some.column("node").take(many), all_.take(many)], ["key", "node", "sigs"])
 
     def keys_only(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in hashed(batches):
             yield batch.select(["key"])
 
+    def alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The rows that have another of like signature in their bucket."""
+        keys = ["key", "lo", "hi"]
+        for table in key_runs(batches, keys):
+            keep = np.zeros(table.num_rows, bool)
+            sigs = table.column("sigs").combine_chunks()
+            for start, length in zip(*run_lengths(table, keys)):
+                if length < 2:
+                    continue
+                sig = np.frombuffer(b"".join(sigs.slice(start, length).to_pylist()), np.int32).view(np.uint32).reshape(length, -1)
+                for i in range(0, length, 64):
+                    differ = np.zeros((len(sig[i : i + 64]), length), np.int32)
+                    for t in range(tables):
+                        differ += np.bitwise_count(sig[i : i + 64, t, None] ^ sig[None, :, t])
+                    keep[start + i : start + i + 64] |= (differ <= most).sum(axis=1) > 1  # more than itself
+            live = keep.nonzero()[0]
+            if len(live):
+                yield from table.take(pa.array(live)).combine_chunks().to_batches()
+
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "lo", "hi"]
         for table in key_runs(batches, keys):
@@ -91,11 +119,13 @@ def link_vectors(reps: DataFrame, threshold: float, signs: int, tables: int, blo
                 node = run.column("node").to_numpy()
                 yield pa.RecordBatch.from_arrays([pa.array(node[found]), pa.array(links[found]), pa.array(node[label[found]])], ["node", "links", "root"])
 
-    counts = reps.select("node", "mult", "v").mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    counts = reps.select("node", "v").mapInArrow(keys_only, "key long").groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
     hot = maybe_broadcast(materialize(counts, "cosine-hot"))
-    kind = reps.schema["v"].dataType.simpleString()
-    rows = reps.select("node", "mult", "v").mapInArrow(hashed, f"key long, node long, mult long, v {kind}, sigs binary")
-    rows = block_pairs(rows, hot, block).repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
+    rows = block_pairs(reps.select("node", "v").mapInArrow(hashed, "key long, node long, sigs binary"), hot, block)
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    live = materialize(rows.mapInArrow(alike, "key long, node long, sigs binary, lo int, hi int, own int"), "cosine-live")
+    rows = live.join(reps, "node").select("key", "lo", "hi", "own", "node", "mult", "v", "sigs")
+    rows = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "node")
     return rows.mapInArrow(compare, "node long, links long, root long")
 
 

@@ -94,6 +94,20 @@ def _best(queries: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int,
             yield at + i, near, np.sqrt(((rows[near] - q[i]) ** 2).sum(axis=1))
 
 
+def search_plan(gaps: np.ndarray, recall: float, windows: int) -> tuple[int, int]:
+    """(curves, radius) that hold a share `recall` of the pairs with the fewest windows looked at.
+
+    gaps has for each pair of a probe and a true neighbour the windows between them on every
+    curve. A curve's windows are all rows, so no plan costs more than looking at each row once.
+    """
+    best = (windows, 1, windows)
+    at = min(len(gaps) - 1, math.ceil(recall * len(gaps)) - 1)
+    for used in range(1, gaps.shape[1] + 1):
+        radius = int(np.sort(gaps[:, :used].min(axis=1))[at])
+        best = min(best, (used * min(2 * radius + 1, windows), used, radius))
+    return best[1], best[2]
+
+
 def nearest_neighbours(
     table: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 10, recall: float = 0.96, curves: int = 16, dims: int = 8, bits: int = 7, block: int = 512, probes: int = 200
 ) -> DataFrame:
@@ -102,9 +116,10 @@ def nearest_neighbours(
     score is the Euclidean distance in double precision on the original vectors; nearest first,
     ties to the smaller id. A query is no candidate of its own id. Equal vectors are indexed once
     with their k + 1 smallest ids. Every usable row is indexed; projections and grid are fitted
-    on `FIT_ROWS` rows. How many windows of `block` rows a query looks at is measured: `probes`
-    queries are answered by brute force over all rows, and the radius is the smallest that holds
-    a share `recall` of their true neighbours. Vectors that are null, zero, empty or hold null or
+    on `FIT_ROWS` rows. How many curves, and windows of `block` rows on each, a query looks at is
+    measured: `probes` queries are answered by brute force over all rows, and of the plans that
+    hold a share `recall` of their true neighbours the one with the fewest windows is taken, at
+    most those of one curve. Vectors that are null, zero, empty or hold null or
     non-finite components take no part, nor do those of another length than most, nor null ids.
     """
     spark = table.sparkSession
@@ -146,9 +161,9 @@ def nearest_neighbours(
     rows = rows.join(F.broadcast(offsets), "_part").select("curve", "node", "first", "q", "v", F.floor(place / block).cast("int").alias("win"))  # bounded: a row a partition
     last = (n - 1) // block
 
-    # The radius, measured.
+    # How many curves and how wide, measured.
     probe = reps.where("q").orderBy(F.xxhash64("v"), "first").limit(probes).select("node", F.col("v").alias("qv")).toArrow()  # bounded
-    radius = last + 1
+    used, radius = 1, last + 1
     if probe.num_rows and last > 0:
         pq, pnode = spark.sparkContext.broadcast(matrix(probe.column("qv"))), probe.column("node").to_pylist()
 
@@ -165,12 +180,13 @@ def nearest_neighbours(
         wins = rows.select("curve", "node", "win")
         here = wins.join(pairs, "node").select("i", "node", "own", "curve", "win")
         there = wins.join(F.broadcast(own.select(F.col("own").alias("_o")).distinct()), wins.node == F.col("_o")).select("_o", F.col("curve").alias("_c"), F.col("win").alias("_w"))
-        gaps = here.join(there, (here.own == there._o) & (here.curve == there._c)).groupBy("i", "node").agg(F.min(F.abs(F.col("win") - F.col("_w"))).alias("gap"))
-        got = np.sort([r["gap"] for r in gaps.select("gap").collect()])  # bounded by probes * k
-        if len(got):
-            radius = int(got[min(len(got) - 1, math.ceil(recall * len(got)) - 1)])
+        gaps = here.join(there, (here.own == there._o) & (here.curve == there._c)).select("i", "node", "curve", F.abs(F.col("win") - F.col("_w")).alias("gap"))
+        gaps = gaps.groupBy("i", "node").agg(F.array_sort(F.collect_list(F.struct("curve", "gap"))).alias("g")).select("g").collect()  # bounded by probes * k
+        if gaps:
+            used, radius = search_plan(np.array([[x["gap"] for x in g["g"]] for g in gaps]), recall, last + 1)
 
-    # Neighbouring windows: every query goes to those around its own place on each curve.
+    # Neighbouring windows: every query goes to those around its own place on each curve in use.
+    rows = rows.where(F.col("curve") < used)
     spots = rows.where("q").select("curve", F.explode(F.sequence(F.greatest(F.col("win") - radius, F.lit(0)), F.least(F.col("win") + radius, F.lit(last)))).alias("win"), "node", F.lit(None).cast("bigint").alias("first"), "v", F.lit(True).alias("q"))
     both = spots.unionByName(rows.where("first is not null").select("curve", "win", "node", "first", "v", F.lit(False).alias("q")))
     both = both.repartition("curve", "win").sortWithinPartitions("curve", "win", "q", "node")
