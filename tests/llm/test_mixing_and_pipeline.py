@@ -2,8 +2,9 @@ import math
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
-from factloom.llm.mixing import mix_sources, mixed_documents
+from factloom.llm.mixing import _Mix, mix_sources, mixed_documents, word_count
 from factloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.helpers import SF, duck, rows_of
 
@@ -50,6 +51,41 @@ def test_mixed_documents_and_empty_tables(spark):
     assert mix_sources(empty).count() == mixed_documents(empty).count() == 0
 
 
+def test_capped_sources_rank_nothing_and_no_document_is_over_its_cap(spark):
+    rows = [(i, "w " * (i % 4), "big", "x") for i in range(2000)] + [(5000 + i, "v " * (i % 3), "small", "x") for i in range(30)] + [(9000, "", "void", "x"), (9001, None, "void", "x")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mix_sources(docs).collect()
+    assert len(got) == len(rows) and all(r.copies <= 3 for r in got)
+    small = [r for r in got if r.source == "small"]
+    assert {r.copies for r in small} == {3} and sum(r.taken for r in small) == 3 * small[0].source_size == small[0].target
+    assert {r.copies for r in got if r.source == "void"} == {0}
+    mix = _Mix(docs.select(F.col("doc_id").alias("id"), F.col("source").alias("src"), word_count(F.col("text")).alias("size"), F.xxhash64("text").alias("th"), F.lit(1.0).alias("odds")), (1, 2, 3), 3.0)
+    assert {r.src for r in mix.close.collect()} <= {"big"}
+    copies = {}
+    for r in mixed_documents(docs).collect():
+        copies[r.doc_id] = copies.get(r.doc_id, 0) + 1
+    assert copies == {r.doc_id: r.copies for r in got if r.copies}
+
+
+def test_one_id_or_one_text_for_all_rows_is_counted_not_sorted(spark):
+    rows = [(7, "a b c", "s", "x")] * 500 + [(7, f"t{i} u", "s", "x") for i in range(40)] + [(i, "q", "t", "x") for i in range(3000)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = mix_sources(docs).collect()
+    taken = {}
+    for r in got:
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+    assert len(got) == len(rows) and all(abs(taken[r.source] - r.target) <= 2 for r in got)
+    out = mixed_documents(docs).collect()
+    assert len(out) == sum(r.copies for r in got) and sum(r.source == "s" for r in out) == sum(r.copies for r in got if r.source == "s")
+
+
+def test_names_of_other_columns_may_clash(spark):
+    names = "doc_id long, text string, source string, src string, id string, copies string, extra string, row string"
+    docs = spark.createDataFrame([(i, "w w", f"s{i % 2}", "a", "b", "c", "d", "e") for i in range(40)], names)
+    out = mixed_documents(docs)
+    assert out.columns == docs.columns and {r[3:] for r in out.collect()} == {("a", "b", "c", "d", "e")}
+
+
 @pytest.mark.parametrize("name", list(ORACLE_SQL))
 def test_sql(spark, name):
     assert rows_of(QUERIES[name](spark, SF).toPandas()) == rows_of(duck().sql(ORACLE_SQL[name]).df())

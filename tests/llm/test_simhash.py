@@ -6,8 +6,9 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from factloom.llm.alike import BITS, SEGMENTS, proposal_plan
 from factloom.llm.components import connected_components
-from factloom.llm.simhash import STAGE, chain_filter, drop_near_duplicates, fingerprints_of, ring_keys, shingle_hashes, simhash_neardup
+from factloom.llm.simhash import STAGE, chain_filter, drop_near_duplicates, fingerprints_of, link_fingerprints, ring_keys, shingle_hashes, simhash_neardup
 
 SCHEMA = "doc_id long, text string"
 
@@ -68,6 +69,13 @@ def test_components_against_brute_force(spark):
         assert got == brute(rows)
 
 
+def test_rows_that_repeat_an_id_link_their_fingerprints(spark):
+    a, b, c = "first text of some words", "another one that differs wholly", "third of them all and more"
+    rows = [(3, a), (5, a), (5, b), (7, b), (9, c), (8, c), (9, a + " x y"), (20, a + " x y")]
+    got = {(r.id, r.fp.hex(), r.component_id) for r in simhash_neardup(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == brute(rows) and {x for i, _, x in got if i in (3, 5, 7)} == {3} and {x for i, _, x in got if i in (8, 9, 20)} == {8}
+
+
 def test_empty_table_and_null_ids(spark):
     assert simhash_neardup(spark.createDataFrame([], SCHEMA)).count() == 0
     rows = [(None, "a b c d"), (1, "a b c d"), (None, "other words are here"), (1, "a b c d")]
@@ -88,9 +96,9 @@ def test_stage_keeps_one_of_a_group_and_clean_documents(spark):
         w[i * 3], w[200 + i * 3] = f"new{i}", f"old{i}"
         rows.append((i, " ".join(w), "extra"))
     rows += [(100 + i, " ".join(text(200)), "extra") for i in range(60)]
-    docs = spark.createDataFrame(rows, SCHEMA + ", fp string")
+    docs = spark.createDataFrame([(*r, "y") for r in rows], SCHEMA + ", fp string, drop string")
     kept = drop_near_duplicates(docs, **STAGE)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {(r.fp, r["drop"]) for r in kept.collect()} == {("extra", "y")}
     assert sorted(r.doc_id for r in kept.collect()) == [0, *range(100, 160)]
 
 
@@ -104,6 +112,20 @@ def test_connected_components(spark, edges):
     assert got == want
 
 
+def test_fingerprints_propose_most_pairs_at_the_similarity(spark):
+    """Recall of the fingerprints' links alone, without what the exact pass adds."""
+    rng, sets = np.random.default_rng(3), []
+    for _ in range(150):  # 100 and 100 hashes, 89 shared: 0.80
+        common, own = rng.integers(0, 2**63, 89, np.uint64), rng.integers(0, 2**63, 22, np.uint64)
+        sets += [np.concatenate([common, own[:11]]), np.concatenate([common, own[11:]])]
+    fps = fingerprints_of(sets, BITS)
+    tau, lead = proposal_plan(len(sets), 0.8)
+    near = np.bitwise_count(fps[0::2] ^ fps[1::2]).sum(axis=1) <= tau
+    reps = spark.createDataFrame([(i, f.tobytes()) for i, f in enumerate(fps)], "node long, fp binary")
+    found = {(r.src // 2, r.dst // 2) for r in link_fingerprints(reps, tau, SEGMENTS, lead).collect()}
+    assert near.mean() >= 0.9 and sum(a == b for a, b in found) >= 0.5 * len(near) and all(proposal_plan(10**k, 0.8)[1] <= 5 for k in range(14))
+
+
 @pytest.mark.parametrize("block", [1024, 3])
 def test_stage_finds_every_pair_at_the_similarity_and_no_other(spark, block):
     rng = np.random.default_rng(8)

@@ -1,16 +1,19 @@
 import collections
 import hashlib
+import math
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
+import regex
 import sentencepiece
 
 from factloom.llm import suffix_array as sa_module
 from factloom.llm import suffix_dedup
-from factloom.llm.langid import identify_languages, keep_identified
-from factloom.llm.lines import drop_repeated_lines, keep_first_lines
+from factloom.llm.langid import UNKNOWN, held_out, identify_languages, keep_identified, learn
+from factloom.llm.lines import drop_repeated_lines, keep_first_lines, repeated_runs, winnowed
 from factloom.llm.pii import find_personal_data, sanitise, spans_text
 from factloom.llm.piece_bpe import PieceBpe, default_model, piece_tokens
 from factloom.llm.suffix_array import permuted_lcp, suffix_array
@@ -40,7 +43,54 @@ def test_languages_are_told_and_never_from_labels(spark):
     key = lambda r: (r.doc_id, r.text or "")
     assert [r.lang_pred for r in sorted(identify_languages(swapped).collect(), key=key)] == [r.lang_pred for r in sorted(got, key=key)]
     kept = keep_identified(docs)
-    assert kept.columns == docs.columns and kept.count() == len(rows) - 3
+    gone = (1000, 1001, 1002)
+    assert kept.columns == docs.columns and sorted(map(tuple, kept.collect()), key=str) == sorted([r for r in rows if r[0] not in gone], key=str)
+
+
+def test_languages_against_exact_sets(spark):
+    """Plain sets of n-grams in place of the filters, on real texts; all labelled rows are used by both."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rows = docs.withColumn("held", held_out()).collect()
+
+    def fold(text):
+        out = " "
+        for c in text or "":
+            c = c.lower() if unicodedata.category(c)[0] in "LM" and len(c.lower()) == 1 else c if unicodedata.category(c)[0] in "LM" else " "
+            out += "" if c == out[-1] == " " else c
+        out = out if out[-1] == " " else out + " "
+        return out if out.strip() else ""
+
+    def ngrams(text):
+        x = fold(text)
+        return [x[i : i + n] for n in (3, 4) for i in range(len(x) - n + 1)]
+
+    counts = collections.defaultdict(collections.Counter)
+    for r in rows:
+        if not r.held and r.text is not None and r.lang is not None:
+            counts[r.lang].update(ngrams(r.text))
+    rate = {lang: {g: n / sum(c.values()) for g, n in c.items()} for lang, c in counts.items()}
+    own = {lang: {g for g, x in c.items() if x >= 0.5 * max(o.get(g, 0) for o in rate.values())} for lang, c in rate.items()}
+    got = {r.doc_id: r for r in identify_languages(docs, fit_docs=10**9).collect()}
+    differ = right = held = 0
+    for r in rows:
+        hits = {lang: sum(g in s for g in ngrams(r.text)) for lang, s in own.items()}
+        best = max(hits.values())
+        want = UNKNOWN if not fold(r.text) else max(counts, key=lambda x: (hits[x], x)) if best else None
+        if want not in (None, UNKNOWN) and sorted(hits.values())[-2] == best:
+            continue  # a tie
+        differ += want is not None and got[r.doc_id].lang_pred != want
+        if r.held and r.lang is not None and want != UNKNOWN:
+            held, right = held + 1, right + (got[r.doc_id].lang_pred == r.lang)
+        if want not in (None, UNKNOWN):
+            assert abs(got[r.doc_id].score - best / sum(hits.values())) < 0.02 + 2 / sum(hits.values())
+    assert differ <= 0.002 * len(rows) and right >= 0.99 * held > 100
+
+
+def test_all_n_grams_of_the_fit_count_and_filters_hold_many_languages(spark):
+    rows = [(3 * i + k, f"{chr(97 + i // 26)}{chr(97 + i % 26)}{chr(99 + i % 7)} " * 3, f"l{i:03d}") for i in range(150) for k in range(3)]
+    model = learn(spark.createDataFrame(rows, SCHEMA + ", lang string"))
+    assert len(model.langs) == 150 and model.words == 3
+    assert all(model.predict(t)[0] == lang for _, t, lang in rows)
 
 
 def test_languages_without_labels_or_rows(spark):
@@ -52,9 +102,9 @@ def test_languages_without_labels_or_rows(spark):
 # suffix arrays
 
 
-@pytest.mark.parametrize("buckets", [4096, 3])
-def test_suffix_array_and_prefixes(monkeypatch, buckets):
-    monkeypatch.setattr(sa_module, "BUCKETS", buckets)
+@pytest.mark.parametrize("full", [64, 1, 10**9])  # as it is, always whole buckets, always suffix by suffix
+def test_suffix_array_and_prefixes(monkeypatch, full):
+    monkeypatch.setattr(sa_module, "FULL", full)
     r = random.Random(2)
     for _ in range(150):
         data = np.array([r.randrange(r.choice([1, 2, 3, 250])) for _ in range(r.randint(0, 60))], np.uint8)
@@ -103,77 +153,70 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
 # lines
 
 
-def _lines(rows, w=2, least=8):
-    def words(x):
-        return len(re.findall("[^\x20\x09-\x0d]+", x))
-
+def _runs(rows, least=8):
+    """Every later window with words at both ends and `least` words in all goes."""
     seen, out = set(), {}
-    for i, t in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: r[0]):
+    for i, t in sorted(((i, t) for i, t in rows if t is not None), key=lambda r: (r[0] is not None, r[0])):
         ls, gone = t.split("\n"), set()
-        for s in range(len(ls) - w + 1):
-            if sum(map(words, ls[s : s + w])) >= least:
-                key = tuple(ls[s : s + w])
-                if key in seen:
-                    gone |= set(range(s, s + w))
-                seen.add(key)
+        n = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in ls]
+        for s in range(len(ls)):
+            for e in range(s, len(ls)):
+                if n[s] and n[e] and sum(n[s : e + 1]) >= least:
+                    key = tuple(ls[s : e + 1])
+                    gone |= set(range(s, e + 1)) if key in seen else set()
+                    seen.add(key)
         out[i] = ("\n".join(x for k, x in enumerate(ls) if k not in gone), len(ls), len(gone))
     return out
 
 
+def _many_lines():
+    r = random.Random(7)
+    verse = [f"verse line{i} here" for i in range(20)]
+    rows = [(i, "\n".join([f"head {i}", *verse, f"tail {i}"])) for i in range(3)]
+    pool = [" ".join(r.choice("abcd") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 9, 10)] + ["", " "]
+    rows += [(10 + i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(150)]
+    return rows + [(300, "x y z\n" * 20), (301, ""), (302, None), (303, "\n".join(["same words here again and over"] * 300)), (None, "\n".join(verse)), (304, " \n\n")]
+
+
 def test_lines_against_brute_force(spark):
-    r = random.Random(3)
-    pool = [" ".join(r.choice("abcdefgh") * 3 for _ in range(r.randint(0, 9))) for _ in range(12)]
-    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 12)))) for i in range(80)] + [(200, ""), (201, None), (202, "\n".join(["same words here again and over"] * 500))]
-    docs = spark.createDataFrame([(*x, "c") for x in rows], SCHEMA + ", starts string")
-    got = drop_repeated_lines(docs)
-    assert {r.doc_id: (r.text, r._n_lines, r._n_removed) for r in got.collect() if r.text is not None} == _lines(rows)
-    assert got.where("doc_id = 201").first().text is None
+    rows = _many_lines()
+    docs = spark.createDataFrame([(*x, "c", "d") for x in rows], SCHEMA + ", _lines string, th string")
+    want = _runs(rows)
+    got = drop_repeated_lines(docs, counts=("n", "k"))
+    assert {r.doc_id: (r.text, r.n, r.k) for r in got.collect() if r.text is not None} == want and want[1][0] == "head 1\ntail 1"
+    assert got.where("doc_id = 302").first()[1:] == (None, "c", "d", 0, 0)
     kept = keep_first_lines(docs)
-    assert kept.columns == docs.columns
+    assert kept.columns == docs.columns and {(r._lines, r.th) for r in kept.collect()} == {("c", "d")}
+    assert {r.doc_id: r.text for r in kept.collect()} == {302: None} | {i: t for i, (t, _, k) in want.items() if not k or t.split()}
     assert drop_repeated_lines(docs.limit(0)).count() == 0
 
 
+def test_winnowing_selects_few_positions_and_every_match_holds_one(spark):
+    rows = [r for r in _many_lines() if r[0] is not None]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    places = collections.defaultdict(set)
+    for r in winnowed(docs).collect():
+        assert r.first <= r.at <= r.last
+        places[r.fp].add((r.id, r.at))
+    lines = sum(len([x for x in t.split("\n") if x.split()]) for _, t in rows if t)
+    assert sum(map(len, places.values())) < 0.9 * lines
+    found = repeated_runs(docs).collect()
+    assert found and all(any(len(p) > 1 and any(i == r.id and r.first <= at <= r.last for i, at in p) for p in places.values()) for r in found)
+
+
 def test_rows_equal_in_id_and_text_are_one_document(spark):
     text = "one two three four\nfive six seven eight\nnine"
     docs = spark.createDataFrame([(1, text), (1, text), (None, "x\ny"), (2, text)], SCHEMA)
-    assert sorted((r.doc_id or 0, r.text) for r in drop_repeated_lines(docs).collect()) == [(0, "x\ny"), (1, text), (1, text), (2, "nine")]
+    assert sorted((r.doc_id or 0, r.text) for r in drop_repeated_lines(docs).collect()) == [(0, "x\ny"), (1, text), (1, text), (2, "")]
 
 
-def test_one_line_that_repeats_between_other_lines_goes_in_the_pipeline(spark):
+def test_one_line_that_repeats_between_other_lines_goes(spark):
     long = "this passage of ten words or more is one line"
     rows = [(1, f"a\n{long}\nb"), (2, f"c\n{long}\nd"), (3, long), (4, "short line\nother"), (5, "short line\nmore"), (6, f"{long} once")]
     got = {r.doc_id: r.text for r in keep_first_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
     assert got == {i: "c\nd" if i == 2 else t for i, t in rows if i != 3}
 
 
-def _runs(rows, least=8):
-    """Every later window with words at both ends and `least` words in all goes."""
-    seen, out = set(), {}
-    for i, t in sorted(rows, key=lambda r: r[0]):
-        ls, gone = t.split("\n"), set()
-        n = [len(re.findall("[^\x20\x09-\x0d]+", x)) for x in ls]
-        for s in range(len(ls)):
-            for e in range(s, len(ls)):
-                if n[s] and n[e] and sum(n[s : e + 1]) >= least:
-                    key = tuple(ls[s : e + 1])
-                    gone |= set(range(s, e + 1)) if key in seen else set()
-                    seen.add(key)
-        left = "\n".join(x for k, x in enumerate(ls) if k not in gone)
-        if not gone or left.split():
-            out[i] = left
-    return out
-
-
-def test_runs_of_short_lines_count_their_words_together_in_the_pipeline(spark):
-    r = random.Random(7)
-    verse = [f"verse line{i} here" for i in range(20)]
-    rows = [(i, "\n".join([f"head {i}", *verse, f"tail {i}"])) for i in range(3)]
-    pool = [" ".join(r.choice("abcd") for _ in range(n)) for n in (1, 1, 2, 2, 3, 3, 4, 9)] + ["", " "]
-    rows += [(10 + i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 14)))) for i in range(150)] + [(300, "x y z\n" * 20), (301, "")]
-    got = {x.doc_id: x.text for x in keep_first_lines(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert got == _runs(rows) and got[1] == "head 1\ntail 1"
-
-
 # personal data
 
 KINDS = ["email", "ip", "card", "phone"]
@@ -217,6 +260,50 @@ def test_disclosing_terms(spark):
     assert find_personal_data(docs.limit(0)).count() == 0
 
 
+def _disclosing(texts, min_texts=2, min_share=0.8, generalise=0.9, remove=0.98):
+    """Terms and what is done with them, counted over sets of texts."""
+    texts, words, held, outside = sorted({t for t in texts if t is not None}), {}, {}, {}
+    for t in texts:
+        words[t] = set(regex.findall(r"\p{L}{2,}", t))
+        spans = [(m.start(), m.end(), m[0]) for k, p in enumerate(PATTERNS) for m in re.finditer(p, t) if f"{KINDS[k]}:{m.start()}:{m.end()}" in _base(t).split(",")]
+        held[t] = {v for _, _, v in spans}
+        outside[t] = set(regex.findall(r"\p{L}{2,}", "".join(" " if any(a <= i < b for a, b, _ in spans) else c for i, c in enumerate(t))))
+    entity = {v: {t for t in texts if v in held[t]} for v in set().union(*held.values())}
+    out = {}
+    for v, with_v in entity.items():
+        for term in set().union(*(outside[t] for t in with_v)):
+            n_te, n_t = sum(term in outside[t] for t in with_v), sum(term in words[t] for t in texts)
+            if len(with_v) >= min_texts and n_te >= min_texts and n_te / n_t >= min_share:
+                info = -math.log(len(with_v) / len(texts))
+                x = (math.log(n_te / n_t) + info) / info if info > 0 else 0
+                if x >= generalise:
+                    out[term] = max(out.get(term, 0), x)
+    return {t: "remove" if x >= remove else "generalise" for t, x in out.items()}
+
+
+def test_terms_against_counting(spark):
+    r = random.Random(9)
+    names = ["Abel", "Bo", "Cyrus", "Dora", "Élan", "Frida"]
+    mails = [f"{n[:2].lower().replace('é', 'e')}@corp{i}.org" for i, n in enumerate(names)]
+    rows = []
+    for i in range(150):
+        k, words = r.randrange(6), [r.choice("alpha beta gamma delta note memo call x".split()) for _ in range(r.randint(3, 12))]
+        if r.random() < 0.6:
+            words += [mails[k], names[k]] if r.random() < 0.9 else [mails[k]]
+        elif r.random() < 0.08:
+            words.append(names[k])
+        r.shuffle(words)
+        rows.append((i, " ".join(words), "a", "b"))
+    rows += [(200, None, "a", "b"), (201, "", "a", "b"), (202, rows[0][1], "a", "b")]
+    docs = spark.createDataFrame(rows, SCHEMA + ", terms string, th string")
+    want, got = _disclosing([t for _, t, _, _ in rows]), find_personal_data(docs).collect()
+    assert len(want) > 2
+    for row in got:
+        text, taken = row.text or "", [(s.start, s.stop) for s in row.base]
+        terms = [(m.start(), m.end(), want[m[0]]) for m in regex.finditer(r"\p{L}{2,}", text) if m[0] in want and not any(a < m.end() and m.start() < b for a, b in taken)]
+        assert [(s.start, s.stop, s.value) for s in row.spans if s.kind == 4] == terms and (row.terms, row.th) == ("a", "b")
+
+
 def test_disclosing_terms_far_off_short_and_in_few_texts(spark):
     far = " ".join(f"filler{'abcdefghij'[i % 10]} of words" for i in range(40))
     rows = [(i, f"Quorvath {far if i < 3 else 'signs'} this mail qu@corp.org") for i in range(10)]
@@ -244,6 +331,26 @@ def test_pieces_against_the_library(library):
         assert bpe.encode(t) == ids and bpe.encode_text(t)[1] == bpe.decode(ids) == library.decode(ids), t
 
 
+def test_decoded_text_comes_from_the_ids():
+    bpe = PieceBpe(default_model())
+    ids, text = bpe.encode_text("plain words in a row")
+    tokens = ids.split(" ")
+    tokens[1] = str(bpe.ids["▁other"]) if "▁other" in bpe.ids else str(bpe.ids["▁the"])
+    assert text == "plain words in a row" != bpe.decode_ids(" ".join(tokens)) and bpe.decode_ids(ids) == text
+
+
+def test_long_spans_are_not_kept_and_memos_are_bounded():
+    bpe = PieceBpe(default_model())
+    bpe.encode_text("a" * 5000 + " b")
+    assert max(map(len, bpe.words)) <= 200
+    for i in range(200_000):
+        bpe.words[f"w{i}"]
+    assert bpe.words.held <= 30_000_000
+    trie = load(default_model())
+    trie.count_text("x" * 5000)
+    assert max(map(len, trie.memo), default=0) <= 100
+
+
 def test_token_query_rows(spark, library):
     rows = [(i, t) for i, t in enumerate(ODD)] + [(None, None), (3, "again")]
     got = [tuple(r) for r in piece_tokens(spark.createDataFrame(rows, SCHEMA), ids=True).collect()]
