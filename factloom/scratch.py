@@ -52,11 +52,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*tables: DataFrame) -> None:
-    """Deletes materialised tables that no frame still to be run reads."""
+    """Deletes materialised tables that no frame still to be run reads, and finished queries' shuffle files.
+
+    Spark drops shuffle files once the driver's collector finds their queries gone, so it is run.
+    """
     for df in tables:
         path = getattr(df, "_scratch_path", None)
         if path:
             _delete(df.sparkSession, path)
+    if tables:
+        tables[0].sparkSession.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
