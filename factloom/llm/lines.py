@@ -16,16 +16,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize, nested, read_table, unnested
+from ..scratch import discard
+from .common import WORD, materialize, maybe_broadcast, nested, read_table, unnested
 
 MIN_WORDS = 8
 
 
-def _line_hashes(text: Column) -> list[Column]:
-    """Arrays over the lines with words: index, hash, second hash, words."""
-    lines = F.split(text, "\n", -1)
-    numbered = F.transform(lines, lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("w")))
-    return [F.filter(numbered, lambda x: x["w"] > 0).alias("ls"), F.transform(lines, lambda x: F.xxhash64(x)).alias("hs"), F.transform(lines, lambda x: F.xxhash64(F.lit("second"), x)).alias("h2s")]
+def _line_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, th, ls, hs, h2s) of texts with words: of the lines with words (index, hash, words), of all lines two hashes."""
+    text = F.col(text_col).cast("string")
+    lines = docs.where(text.isNotNull() & text.rlike(WORD)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), F.split(text, "\n", -1).alias("lines"))
+    every = F.transform("lines", lambda x, i: F.struct(i.alias("i"), F.xxhash64(x).alias("h"), F.xxhash64(F.lit("second"), x).alias("h2"), F.regexp_count(x, F.lit(WORD)).alias("w")))
+    lines = lines.select("id", "th", every.alias("every"))
+    return lines.select("id", "th", F.filter("every", lambda x: x["w"] > 0).alias("ls"), F.transform("every", lambda x: x["h"]).alias("hs"), F.transform("every", lambda x: x["h2"]).alias("h2s"))
 
 
 def _windows(min_words: int) -> tuple[Column, Column]:
@@ -74,10 +77,8 @@ def winnowed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mi
     th is the hash of the text; (id, th) names a document. at is the selected line and fp its
     hash; the window reaches from line `first` to `last`, and g1, g2 are hashes of all of it.
     """
-    text = F.col(text_col).cast("string")
     words, windows = _windows(min_words)
-    base = docs.where(text.isNotNull() & text.rlike(WORD)).select(F.col(id_col).alias("id"), F.xxhash64(text).alias("th"), *_line_hashes(text))
-    base = base.select("*", words).select("*", windows)
+    base = _line_hashes(docs, id_col, text_col).select("*", words).select("*", windows)
 
     def around(w: Column) -> Column:
         chosen = F.get("ls", _selected(w))
@@ -94,13 +95,17 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # Positions joined by fingerprint: a line that only one place selects has no match around it.
     place = F.struct("id", "th", "at")
     shared = spots.groupBy("fp").agg(F.min(place).alias("low"), F.max(place).alias("high")).where(~F.col("low").eqNullSafe(F.col("high"))).select("fp")
-    live = spots.join(materialize(shared, "lines-shared"), "fp", "left_semi").select("id", "th", "first", "last", "g1", "g2")
+    shared = materialize(shared, "lines-shared")
+    live = spots.join(shared, "fp", "left_semi").select("id", "th", "first", "last", "g1", "g2")
     live = materialize(live, "lines-live")
+    discard(spots, shared)
     one = F.struct("id", "th", "first", "last")
     earliest = live.groupBy("g1", "g2").agg(F.min(one).alias("earliest"), F.count("*").alias("n")).where("n > 1").drop("n")
     earliest = materialize(earliest, "lines-earliest")
     later = live.join(earliest, ["g1", "g2"]).where(~one.eqNullSafe(F.col("earliest")))
-    return later.select("id", "th", "first", "last")
+    later = materialize(later.select("id", "th", "first", "last"), "lines-later")
+    discard(live, earliest)
+    return later
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
@@ -113,8 +118,10 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result. Null texts stay null and have no lines. A document that loses every line keeps an
     empty text. Other columns stay, whatever their names; those that `counts` names are replaced.
     """
-    hits = repeated_runs(docs, id_col, text_col, min_words).groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    hits = hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "runs")
+    later = repeated_runs(docs, id_col, text_col, min_words)
+    hits = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hits = maybe_broadcast(materialize(hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "runs"), "lines-hits"))
+    discard(later)
     rows = nested(docs, id=F.col(id_col), text=F.col(text_col).cast("string"))
     out = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_th")), "left")
     out = out.withColumn("lines", F.split("text", "\n", -1))
