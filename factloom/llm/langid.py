@@ -29,6 +29,8 @@ UNKNOWN = "und"
 MIN_RATE = 0.2
 
 _SEEDS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
+#: The bits of every byte, lowest first.
+_BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").astype(np.int64)
 _folded: list[np.ndarray] = []
 
 
@@ -71,7 +73,8 @@ class LanguageFilter:
     def __init__(self, langs: list[str], common: str | None, bits: int = SLOT_BITS[0]):
         self.langs, self.common, self.bits = langs, common, bits
         self.words = max(1, -(-len(langs) // 64))
-        self.slots = np.zeros((self.words, 1 << bits), np.uint64)
+        width = next(w for w in (8, 16, 32, 64) if w >= min(len(langs), 64))
+        self.slots = np.zeros((self.words, 1 << bits), f"u{width // 8}")
         self.false = np.zeros(len(langs))
 
     def places(self, h: np.ndarray) -> Iterator[np.ndarray]:
@@ -81,22 +84,21 @@ class LanguageFilter:
 
     def finish(self) -> LanguageFilter:
         for lang in range(len(self.langs)):
-            share = ((self.slots[lang // 64] >> np.uint64(lang % 64)) & np.uint64(1)).mean()
+            share = (self.slots[lang // 64] >> self.slots.dtype.type(lang % 64) & self.slots.dtype.type(1)).mean()
             self.false[lang] = share**HASHES
         return self
 
     def counts(self, h: np.ndarray) -> np.ndarray:
         """How many of the n-grams each language's filter holds."""
         out = np.zeros(self.words * 64, np.int64)
-        places = list(self.places(h))
+        places, width = list(self.places(h)), self.slots.dtype.itemsize
         for w in range(self.words):
             mask = self.slots[w][places[0]]
             for at in places[1:]:
                 mask &= self.slots[w][at]
-            used = -(-min(64, len(self.langs) - w * 64) // 8)  # bytes of a mask that hold languages
-            for i in range(0, len(mask), 65536):
-                bits = np.unpackbits(mask[i : i + 65536].view(np.uint8).reshape(-1, 8)[:, :used], axis=1, bitorder="little")
-                out[w * 64 : w * 64 + used * 8] += bits.sum(axis=0, dtype=np.int64)
+            for byte in range(width):  # how often each pattern of eight languages, and so each of its bits
+                found = np.bincount(mask.view(np.uint8)[byte::width], minlength=256)
+                out[w * 64 + byte * 8 : w * 64 + byte * 8 + 8] = found @ _BITS
         return out[: len(self.langs)]
 
     def predict(self, text: str | None) -> tuple[str, float, float]:
@@ -170,7 +172,7 @@ def learn(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
                 yield pa.RecordBatch.from_arrays([pa.array(lang // 64), pa.array(at), masks], ["word", "slot", "mask"])
 
     masks = chosen.mapInArrow(slots, "word int, slot long, mask long").groupBy("word", "slot").agg(F.bit_or("mask").alias("mask")).toArrow()  # bounded by the slots
-    found.slots[masks.column("word").to_numpy(), masks.column("slot").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64)
+    found.slots[masks.column("word").to_numpy(), masks.column("slot").to_numpy()] = masks.column("mask").to_numpy().view(np.uint64).astype(found.slots.dtype)
     return found.finish()
 
 
