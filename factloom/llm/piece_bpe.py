@@ -25,7 +25,7 @@ from .common import pieces, read_table
 SPACE = "▁"
 #: Characters that each of a worker's two memos of spans may hold, and entries of its memo of pairs;
 #: a full memo starts anew, and longer spans than `MEMO_SPAN` are never kept.
-MEMO_CHARS, MEMO_SPAN, MEMO_PAIRS = 30_000_000, 200, 300_000
+MEMO_CHARS, MEMO_SPAN, MEMO_PAIRS = 80_000_000, 200, 300_000
 
 
 def default_model() -> str:
@@ -58,7 +58,8 @@ class PieceBpe:
         if any(SPACE in p.lstrip(SPACE) for p in self.ids):
             raise ValueError("the model has pieces that hold a space after other characters")
         self.unusual = {*self.byte_of, *self.silent, self.unk}
-        self.plain = {str(i): x for i, x in enumerate(self.surface) if i not in self.unusual}
+        # What single ids decode to whatever is beside them; ASCII bytes are characters of their own.
+        self.plain = {str(i): x for i, x in enumerate(self.surface) if i not in self.unusual} | {str(i): chr(b) for i, b in self.byte_of.items() if b < 128}
         self.automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
             if self._merge(piece) == [piece]:
@@ -154,7 +155,7 @@ class PieceBpe:
         last = tokens.pop() if tokens[-1] == str(self.eos) else None
         try:
             text = "".join(map(self.plain.__getitem__, tokens))
-        except KeyError:  # bytes, unknown or control ids
+        except KeyError:  # parts of characters, unknown or control ids
             return self.decode([int(i) for i in (tokens if last is None else [*tokens, last])])
         return text[1:] if text.startswith(" ") else text
 
