@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..types import TX_COLS
+from ..types import TX_COLS, V_COLS
 
 #: Ids up to which a membership test is written into the predicate; more are joined.
 INLINE_IDS = 1000
@@ -169,12 +169,18 @@ def replica_subset(datoms: DataFrame, accepts: FactFilter) -> DataFrame:
 
 @dataclass(frozen=True)
 class TrustPolicy:
-    """Which signers' facts count: `only` some, or those with calibration error up to `max_error`
-    from at least `min_count` verified predictions."""
+    """Which signers' facts count; by default all. Every condition that is given must hold.
+
+    `only`: some signers. `max_error`: signers with that calibration error at most, from at least
+    `min_count` verified predictions. `threshold` (n, signers): facts that n of the signers attest.
+    `custom`: a predicate on the fact's columns.
+    """
 
     only: tuple[bytes, ...] | None = None
     max_error: float | None = None
     min_count: int = 1
+    threshold: tuple[int, tuple[bytes, ...]] | None = None
+    custom: Callable[[], Column] | None = field(default=None, compare=False)
 
 
 def calibration(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
@@ -183,12 +189,31 @@ def calibration(predictions: DataFrame, outcomes: DataFrame) -> DataFrame:
     return both.groupBy("signer").agg(F.avg(F.abs(F.col("predicted") - F.col("actual"))).alias("error"), F.count("*").alias("n"))
 
 
+def _one_of(column: str, values: tuple[bytes, ...]) -> Column:
+    return F.col(column).isin([F.lit(v) for v in values]) if values else F.lit(False)
+
+
 def trust_filter(datoms: DataFrame, signers: DataFrame, policy: TrustPolicy, scores: DataFrame | None = None) -> DataFrame:
-    """Facts whose transaction's signer (tx columns, signer) the policy trusts."""
-    trusted = signers
-    if policy.only is not None:
-        trusted = trusted.where(F.col("signer").isin([F.lit(s) for s in policy.only]) if policy.only else F.lit(False))
-    if policy.max_error is not None:
-        good = scores.where((F.col("error") <= policy.max_error) & (F.col("n") >= policy.min_count))
-        trusted = trusted.join(good, "signer", "left_semi")
-    return datoms.join(trusted.select(*TX_COLS).distinct(), TX_COLS, "left_semi")
+    """Facts that the policy trusts; `signers` has (tx columns, signer), `scores` what calibration gives.
+
+    A signer attests a fact (entity, attribute, value, operation) with every transaction of its
+    own that states it. The decision on a fact never depends on which others are asked for.
+    """
+    out = datoms
+    if policy.only is not None or policy.max_error is not None:
+        trusted = signers
+        if policy.only is not None:
+            trusted = trusted.where(_one_of("signer", policy.only))
+        if policy.max_error is not None:
+            good = scores.where((F.col("error") <= policy.max_error) & (F.col("n") >= policy.min_count))
+            trusted = trusted.join(good, "signer", "left_semi")
+        out = out.join(trusted.select(*TX_COLS).distinct(), TX_COLS, "left_semi")
+    if policy.threshold is not None:
+        n, of = policy.threshold
+        content = F.struct("e", "a", *V_COLS, "op")
+        said = datoms.join(signers.where(_one_of("signer", of)), TX_COLS).select(content.alias("_said"), "signer").distinct()
+        enough = said.groupBy("_said").agg(F.count("*").alias("_n")).where(F.col("_n") >= n).select("_said")
+        out = out.join(enough, content.eqNullSafe(F.col("_said")), "left_semi") if n > 0 else out
+    if policy.custom is not None:
+        out = out.where(policy.custom())
+    return out

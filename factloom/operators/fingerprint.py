@@ -41,6 +41,32 @@ def store_fingerprint(chunks: DataFrame) -> DataFrame:
     return chunks.agg(*_xor("fingerprint")).select(_joined().alias("fingerprint"))
 
 
+def insert_hashes(chunks: DataFrame, inserted: DataFrame, chunk: int = DEFAULT_CHUNK) -> DataFrame:
+    """(chunk, fingerprint, n, dirty): chunk fingerprints after facts (pos, _h) were added; only those are hashed.
+
+    XOR is its own inverse and combines in any order, so a chunk takes in its new facts' digests
+    alone. Chunks that took any in are dirty; a position beyond the last chunk makes a new one.
+    """
+    kept = chunks.select("chunk", "fingerprint", "n", F.coalesce(F.col("dirty"), F.lit(False)).alias("dirty") if "dirty" in chunks.columns else F.lit(False).alias("dirty"))
+    new = inserted.select(F.floor(F.col("pos") / chunk).alias("chunk"), F.col("_h").alias("fingerprint"), F.lit(1).cast("bigint").alias("n"), F.lit(True).alias("dirty"))
+    return kept.unionByName(new).groupBy("chunk").agg(*_xor("fingerprint"), F.sum("n").alias("n"), F.max("dirty").alias("dirty")).select("chunk", _joined().alias("fingerprint"), "n", "dirty")
+
+
+def mark_dirty(chunks: DataFrame, touched: DataFrame) -> DataFrame:
+    """`chunks` with `dirty` set for those of `touched` (chunk) too."""
+    hit = touched.select("chunk").distinct().withColumn("_hit", F.lit(True))
+    old = F.coalesce(F.col("dirty"), F.lit(False)) if "dirty" in chunks.columns else F.lit(False)
+    return chunks.join(hit, "chunk", "left").withColumn("dirty", old | F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
+def dirty_chunks(chunks: DataFrame) -> DataFrame:
+    return chunks.where("dirty").select("chunk")
+
+
+def clear_dirty(chunks: DataFrame) -> DataFrame:
+    return chunks.withColumn("dirty", F.lit(False))
+
+
 def diff_chunks(left: DataFrame, right: DataFrame) -> DataFrame:
     """Chunks whose fingerprints differ; a missing chunk counts as zero."""
     zero = "0" * 64

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.codec import entity_id, tx_bytes
 from ..types import ASSERT, BYTES, DATOM_SCHEMA, INSTANT, KEYWORD, REF, RETRACT, TX_COLS, EmptyTransaction, TxId, big_bytes, lane, value_columns
@@ -46,6 +47,24 @@ class Transaction:
         validate(out, schema)
         return out
 
+    def commit_unchecked(self, spark: SparkSession) -> DataFrame:
+        """The facts as they are, for tests of what validation keeps out."""
+        return self.facts(spark)
+
+
+def together(spark: SparkSession, txs: Sequence[Transaction]) -> DataFrame:
+    """The facts of several transactions in one frame, with the number `n_tx` of theirs; none may be empty."""
+    if not all(tx.rows for tx in txs):
+        raise EmptyTransaction("no facts")
+    return spark.createDataFrame([(*row, i) for i, tx in enumerate(txs) for row in tx.rows], T.StructType([*DATOM_SCHEMA.fields, T.StructField("n_tx", T.IntegerType())]))
+
+
+def stamped(facts: DataFrame, ids: Sequence[TxId], epoch: int) -> DataFrame:
+    """What `together` gives as parts of transactions with these ids and consecutive epochs."""
+    names = facts.sparkSession.createDataFrame([(i, x.phys, x.log, x.node, epoch + i) for i, x in enumerate(ids)], "n_tx int, tx_phys long, tx_log long, tx_node binary, epoch long")
+    out = facts.drop(*TX_COLS, "epoch").join(F.broadcast(names), "n_tx")  # a row a transaction of one commit
+    return out.select(*DATOM_SCHEMA.names)
+
 
 def stamp(datoms: DataFrame, tx: TxId, epoch: int | None = None) -> DataFrame:
     """`datoms` as part of one transaction."""
@@ -113,6 +132,25 @@ def bundles(datoms: DataFrame) -> DataFrame:
     )
 
 
+def bundle_contents(datoms: DataFrame) -> DataFrame:
+    """(tx columns, facts, signature, signer, predecessors): each transaction's user facts and what its metadata holds.
+
+    The facts of one transaction are together in a row, so this is for transactions, not for bulk loads.
+    """
+    meta = F.col("a").startswith("tx/")
+    content = F.struct("e", "a", "v_tag", "v_str", "v_long", "v_dbl", "v_bin", "op")
+
+    def held(attribute: str) -> Column:
+        return F.max(F.when(F.col("a") == attribute, F.col("v_bin")))
+
+    return datoms.groupBy(*TX_COLS).agg(
+        F.array_sort(F.collect_list(F.when(~meta, content))).alias("facts"),
+        held("tx/signature").alias("signature"),
+        held("tx/signer").alias("signer"),
+        F.array_sort(F.collect_list(F.when(F.col("a") == "tx/predecessor", F.col("v_bin")))).alias("predecessors"),
+    )
+
+
 def matching_transactions(datoms: DataFrame, accepts) -> DataFrame:
     """Facts of the transactions of which the filter accepts a user fact: those facts, and all
     metadata; `complete` tells whether every user fact of the transaction came along."""

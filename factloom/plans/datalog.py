@@ -20,7 +20,7 @@ from ..scratch import materialize
 from ..types import QueryError, lane
 
 PREDICATES = {"=": "__eq__", "!=": "__ne__", "<": "__lt__", "<=": "__le__", ">": "__gt__", ">=": "__ge__"}
-AGGREGATES = {"count": lambda c: F.count_distinct(c), "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg}
+AGGREGATES = {"count": lambda c: F.count_distinct(c), "sum": F.sum, "min": F.min, "max": F.max, "avg": F.avg, "exists": lambda c: F.count(c) > 0}
 
 
 @dataclass(frozen=True)

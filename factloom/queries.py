@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from .functions import provenance as prov
 from .functions.clock import frontier, merge_frontiers
-from .functions.codec import content_hash, crc32_of, entity_id, hex_of
-from .operators import chunks, filters, fingerprint, graph, indexes, live, scans, schema, setops, txn
+from .functions.codec import canonical_bytes, content_hash, crc32_of, entity_id, hex_of
+from .operators import antientropy, chunks, filters, fingerprint, graph, indexes, live, scans, schema, setops, txn
+from .operators.state import FactStore
 from .plans import datalog, federation
 from .scratch import materialize, scratch_dir
-from .sources.mapping import event_facts, facts, node_of, reference_facts, replicas, scalar_facts, table
-from .streaming.views import apply_delta, commit_stream, delta_since, keep_live, live_stream
+from .sources.mapping import canonical, event_facts, facts, node_of, reference_facts, replicas, scalar_facts, table
+from .sources.store import Database, Peer, cold_start, pull
+from .sources.wire import decode_facts, into_trusted, rejected
+from .streaming.views import Observer, apply_delta, commit_stream, delta_since, keep_live, kept_live, live_stream, windowed_counts
 from .types import ASSERT, DOUBLE, EAVT, INSTANT, KEYWORD, LONG, REF, STRING, TX_COLS, TxId, node_id
 
 QUERIES: dict = {}
@@ -94,10 +97,10 @@ def point_get(spark, sf):
     return portable(scans.point_get(event_facts(spark, sf), e=entity_id(F.lit("user/1")), a="event/click"))
 
 
-@register("contains", f"WITH {D} SELECT count(*)::BIGINT AS n FROM d WHERE l % 3 = 2")
+@register("contains", f"WITH {D} SELECT {ROW} FROM d WHERE l % 3 = 2")
 def contains(spark, sf):
     a, b = replicas(spark, sf)
-    return scans.contains(a, b).agg(F.count("*").alias("n"))
+    return portable(scans.contains(a, b))
 
 
 @register("entity_exists", f"WITH {D} SELECT sha256('user/' || c_custkey) AS e, sha256('user/' || c_custkey) IN (SELECT e FROM d) AS present FROM customer")
@@ -442,8 +445,8 @@ def sketch_merge(spark, sf):
 
 @register("bijection_check", f"WITH {D}, {HASHED}, f AS ({_fp('h', 'hash')}) SELECT unnest(['eavt', 'aevt', 'vaet', 'avet']) AS layout, (SELECT count(*) FROM h)::BIGINT AS n, fingerprint FROM f")
 def bijection_check(spark, sf):
-    d = event_facts(spark, sf)
-    return fingerprint.bijection_check({o: scans.scan(d, o) for o in ("eavt", "aevt", "vaet", "avet")})
+    d = event_facts(spark, sf)  # each order is written as files of its own and checked as read back
+    return fingerprint.bijection_check({o: materialize(scans.scan(d, o), f"layout-{o}") for o in ("eavt", "aevt", "vaet", "avet")})
 
 
 # transactions
@@ -638,7 +641,12 @@ register("dl_param", "SELECT DISTINCT sha256('customer/' || c_custkey) AS c FROM
 register("dl_constant", "SELECT DISTINCT sha256('order/' || o_orderkey) AS o FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_orderstatus = 'F' AND c_mktsegment = 'MACHINERY'")(
     _ask('[:find ?o :where [?o order/status "F"] [?o order/customer ?c] [?c customer/segment "MACHINERY"]]', ("o",))
 )
-register("dl_not", "SELECT DISTINCT sha256('customer/' || c_custkey) AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")(_ask("[:find ?c :where [?c customer/segment ?s] (not [?o order/customer ?c])]", ("c",)))
+register("dl_not", "SELECT DISTINCT sha256('customer/' || c_custkey) AS c FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')")(
+    _ask('[:find ?c :where [?c customer/segment ?s] (not [?o order/customer ?c] [?o order/status "P"])]', ("c",))
+)
+register("dl_exists", "SELECT sha256('nation/' || c_nationkey) AS n, true AS exists_c FROM customer WHERE c_mktsegment = 'BUILDING' GROUP BY 1")(
+    _ask('[:find ?n (exists ?c) :where [?c customer/nation ?n] [?c customer/segment "BUILDING"]]', ("n",))
+)
 register("dl_count", "SELECT sha256('nation/' || c_nationkey) AS n, count(*)::BIGINT AS count_c FROM customer GROUP BY c_nationkey")(_ask("[:find ?n (count ?c) :where [?c customer/nation ?n]]", ("n",)))
 register("dl_sum", "SELECT c_mktsegment AS s, sum(epoch_us(o_orderdate) // 1000)::BIGINT AS sum_d FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")(_ask("[:find ?s (sum ?d) :where [?o order/date ?d] [?o order/customer ?c] [?c customer/segment ?s]]"))
 register("dl_minmax", "SELECT o_orderstatus AS s, min(o_totalprice) AS min_t, max(o_totalprice) AS max_t FROM orders GROUP BY 1")(_ask("[:find ?s (min ?t) (max ?t) :where [?o order/status ?s] [?o order/total ?t]]"))
@@ -680,11 +688,15 @@ def observer_delta(spark, sf):
 @register("commit_stream", f"WITH {D}, {LIVE} SELECT e, a, v FROM live")
 def commit_stream_live(spark, sf):
     """Commits as files, LIVE kept by a stream over them."""
-    spark_dir = f"{scratch_dir(spark)}/commits-{uuid.uuid4().hex}"
-    event_facts(spark, sf).repartition(4, "epoch").write.parquet(spark_dir)
-    name = f"live_{uuid.uuid4().hex}"
-    keep_live(commit_stream(spark, spark_dir, max_files=2), name).awaitTermination()
-    return spark.table(name).where("live").select(hex_of(F.col("e")).alias("e"), "a", F.col("v_long").alias("v"))
+    folder = f"{scratch_dir(spark)}/commits-{uuid.uuid4().hex}"
+    event_facts(spark, sf).repartition(4, "epoch").write.parquet(f"{folder}/in")
+    keep_live(commit_stream(spark, f"{folder}/in", max_files=2), f"{folder}/live", f"{folder}/state").awaitTermination()
+    return kept_live(spark, f"{folder}/live").where("live").select(hex_of(F.col("e")).alias("e"), "a", F.col("v_long").alias("v"))
+
+
+@register("windowed_counts", f"WITH {D} SELECT epoch_us(date_trunc('hour', make_timestamp(p * 1000))) // 1000 AS start, a, count(*)::BIGINT AS n FROM d GROUP BY 1, 2")
+def windowed(spark, sf):
+    return windowed_counts(event_facts(spark, sf)).select(F.unix_millis("start").alias("start"), "a", "n")
 
 
 @register("incremental_live", f"WITH {D}, {LIVE} SELECT e, a, v FROM live")
@@ -748,3 +760,320 @@ def vector_search(spark, sf):
     vectors = table(spark, sf, "embeddings")
     first = vectors.orderBy("vec_id").select("embedding").first()[0]
     return indexes.vector_search(vectors, first, 10).withColumn("score", F.round("score", 6))
+
+
+# more of positions, runs and symbols
+
+_POS = "row_number() OVER (ORDER BY e, a, v, p, l, n, op) - 1 AS pos"
+
+
+@register("from_sorted", f"WITH {D} SELECT {ROW}, {_POS} FROM d")
+def from_sorted(spark, sf):
+    d = materialize(scans.scan(event_facts(spark, sf)).coalesce(1), "presorted")  # one file, which is read in its order
+    return portable(scans.from_sorted(d), "pos")
+
+
+@register("canonical", f"WITH {D} SELECT {ROW} FROM d")
+def canonical_facts(spark, sf):
+    a, b = replicas(spark, sf)
+    return portable(canonical(a.unionByName(b)))
+
+
+@register("run_of", f"WITH {D} SELECT {_POS}, dense_rank() OVER (ORDER BY e) - 1 AS run, e FROM d")
+def run_of(spark, sf):
+    d = event_facts(spark, sf)
+    return scans.run_of(scans.entity_runs(d), scans.positions(d)).select("pos", "run", hex_of(F.col("e")).alias("e"))
+
+
+_RUNS = f"{D}, q AS (SELECT e, {_POS} FROM d), r AS (SELECT e, dense_rank() OVER (ORDER BY e) - 1 AS run, pos FROM q)"
+
+
+@register("run_range", f"WITH {_RUNS} SELECT e, min(pos) AS start, max(pos) + 1 AS stop FROM r WHERE run = 3 GROUP BY e")
+def run_range(spark, sf):
+    return scans.run_range(scans.entity_runs(event_facts(spark, sf)), 3).select(hex_of(F.col("e")).alias("e"), "start", "stop")
+
+
+@register("entity_at", f"WITH {_RUNS} SELECT run, e FROM r WHERE pos = 100")
+def entity_at(spark, sf):
+    return scans.entity_at(scans.entity_runs(event_facts(spark, sf)), 100).select("run", hex_of(F.col("e")).alias("e"))
+
+
+@register("run_counts", f"WITH {D} SELECT count(DISTINCT e)::BIGINT AS n_runs, count(*)::BIGINT AS n_facts FROM d")
+def run_counts(spark, sf):
+    return scans.run_counts(scans.entity_runs(event_facts(spark, sf)))
+
+
+@register("symbol_select", f"WITH {D}, q AS (SELECT a, {_POS} FROM d) SELECT pos FROM q WHERE a = 'event/click' ORDER BY pos LIMIT 1 OFFSET 10")
+def symbol_select(spark, sf):
+    return scans.symbol_select(scans.positions(event_facts(spark, sf)), "a", "event/click", 10)
+
+
+@register("symbol_access", f"WITH {D}, q AS (SELECT a, {_POS} FROM d) SELECT pos, a AS symbol FROM q WHERE pos < 100")
+def symbol_access(spark, sf):
+    return scans.symbol_access(scans.positions(event_facts(spark, sf)), "a", spark.range(100).select(F.col("id").alias("pos")))
+
+
+@register("attr_intern", f"WITH {D}, o AS (SELECT a FROM d WHERE a < 'event/p' GROUP BY a), m AS (SELECT a FROM d WHERE a >= 'event/p' GROUP BY a) SELECT (row_number() OVER (ORDER BY a) - 1)::INT AS attr_id, a FROM o UNION ALL SELECT (row_number() OVER (ORDER BY a) - 1 + (SELECT count(*) FROM o))::INT, a FROM m")
+def attr_intern(spark, sf):
+    d = event_facts(spark, sf)
+    return scans.intern_attributes(scans.attribute_dim(d.where("a < 'event/p'")), d.select("a"))
+
+
+@register("attr_resolve", f"WITH {D}, o AS (SELECT a, (row_number() OVER (ORDER BY a) - 1)::INT AS i FROM d GROUP BY a) SELECT k::INT AS attr_id, a FROM range(6) t(k) LEFT JOIN o ON i = k")
+def attr_resolve(spark, sf):
+    return scans.resolve_attributes(scans.attribute_dim(event_facts(spark, sf)), spark.range(6).select(F.col("id").cast("int").alias("attr_id")))
+
+
+@register("is_live", f"WITH {D}, {LIVE}, q AS (SELECT *, {_POS} FROM d) SELECT pos, EXISTS (SELECT 1 FROM live w WHERE (w.e, w.a, w.v, w.l, w.op) = (q.e, q.a, q.v, q.l, q.op)) AS is_live FROM q")
+def is_live(spark, sf):
+    d = scans.positions(event_facts(spark, sf))
+    on = ["e", "a", "v_tag", "v_long", *TX_COLS]
+    flagged = d.join(live.live_set(d).select(*on, F.lit(0).cast("tinyint").alias("op"), F.lit(True).alias("_live")), [*on, "op"], "left")
+    return flagged.select("pos", F.coalesce("_live", F.lit(False)).alias("is_live"))
+
+
+# incremental fingerprints, stores as values, anti-entropy
+
+
+@register(
+    "insert_hashes",
+    f"WITH {D}, {HASHED}, q AS (SELECT hash, l, (row_number() OVER (ORDER BY e, a, v, p, l, n, op) - 1) // 1024 AS chunk FROM h), f AS ({_fp('q', 'hash', 'chunk')}) SELECT chunk, fingerprint, count(*)::BIGINT AS n, bool_or(l > 90 AND l % 7 = 0) AS dirty FROM f JOIN q USING (chunk) GROUP BY chunk, fingerprint",
+)
+def insert_hashes(spark, sf):
+    placed = fingerprint.fact_hashes(scans.positions(event_facts(spark, sf)))
+    new = (F.col("tx_log") > 90) & (F.col("tx_log") % 7 == 0)
+    old = placed.where(~new).select("pos", "_h")
+    first = fingerprint.clear_dirty(fingerprint.insert_hashes(spark.createDataFrame([], "chunk long, fingerprint string, n long"), old))
+    return fingerprint.insert_hashes(first, placed.where(new).select("pos", "_h"))
+
+
+@register("state_merge", "SELECT 7::BIGINT AS epoch, 1::BIGINT AS node, (SELECT count(*) FROM events)::BIGINT AS n, 0::BIGINT AS conflicts")
+def state_merge(spark, sf):
+    a, b = replicas(spark, sf)
+    known = schema.genesis(spark)
+    one, two = FactStore(a, known, 7, node_id(2)), FactStore(b, known, 4, node_id(1))
+    both, conflicts = one.merge(two)
+    row = both.size().withColumns({"epoch": F.lit(both.epoch).cast("bigint"), "node": F.lit(int.from_bytes(both.node, "big")).cast("bigint")})
+    return row.crossJoin(conflicts.agg(F.count("*").alias("conflicts"))).select("epoch", "node", "n", "conflicts")  # one row each
+
+
+@register("state_insert", f"WITH {D} SELECT {ROW} FROM d WHERE l % 3 <> 0 OR e = sha256('user/1')")
+def state_insert(spark, sf):
+    d = event_facts(spark, sf)
+    one = d.where(F.col("e") == entity_id(F.lit("user/1")))
+    return portable(FactStore.from_facts(replicas(spark, sf)[0]).insert(one).insert(one).facts)
+
+
+@register("state_replay", f"WITH {D} SELECT {ROW}, (SELECT max(epoch) FROM d WHERE epoch < 3) AS epoch FROM d WHERE epoch < 3")
+def state_replay(spark, sf):
+    d = event_facts(spark, sf)
+    batches = [(i, d.where(F.col("epoch") == i)) for i in range(3) if not d.where(F.col("epoch") == i).isEmpty()]
+    found = FactStore.genesis(spark).replay(batches)
+    return portable(found.facts.drop("epoch")).withColumn("epoch", F.lit(found.epoch).cast("bigint"))
+
+
+@register("anti_entropy", f"WITH {D} SELECT {ROW}, side FROM d, (VALUES ('a'), ('b')) s(side)")
+def anti_entropy(spark, sf):
+    a, b = antientropy.reconcile(*replicas(spark, sf))
+    return portable(a).withColumn("side", F.lit("a")).unionByName(portable(b).withColumn("side", F.lit("b")))
+
+
+@register("anti_entropy_diff", f"WITH {D}, k AS (SELECT substr(md5(unhex(e)), 1, 3) AS b FROM d GROUP BY e HAVING bool_or(l % 3 <> 2)) SELECT {ROW} FROM d WHERE l % 3 <> 0 AND substr(md5(unhex(e)), 1, 3) IN (SELECT b FROM k)")
+def anti_entropy_diff(spark, sf):
+    a, b = replicas(spark, sf)
+    return portable(antientropy.diff(a, antientropy.summary(b)))
+
+
+@register("merge_provenance", "SELECT 0::BIGINT AS lost, 0::BIGINT AS foreign")
+def merge_provenance(spark, sf):
+    a, b = replicas(spark, sf)
+    return antientropy.provenance_kept(setops.merge(a, b), a, b)
+
+
+@register("trust_threshold", f"WITH {D} SELECT {ROW} FROM d WHERE (e, a, v, op) IN (SELECT (e, a, v, op) FROM d WHERE n IN (0, 1, 2) GROUP BY e, a, v, op HAVING count(DISTINCT n) >= 2)")
+def trust_threshold(spark, sf):
+    d = event_facts(spark, sf)
+    signers = d.select(*TX_COLS, F.col("tx_node").alias("signer")).distinct()
+    return portable(filters.trust_filter(d, signers, filters.TrustPolicy(threshold=(2, tuple(node_id(i) for i in range(3))))))
+
+
+@register("trust_custom", f"WITH {D} SELECT {ROW} FROM d WHERE a = 'event/click' AND n IN (1, 2)")
+def trust_custom(spark, sf):
+    d = event_facts(spark, sf)
+    signers = d.select(*TX_COLS, F.col("tx_node").alias("signer")).distinct()
+    policy = filters.TrustPolicy(only=(node_id(1), node_id(2)), custom=lambda: F.col("a") == "event/click")
+    return portable(filters.trust_filter(d, signers, policy))
+
+
+@register("tx_bundle_contents", f"WITH {D} SELECT e, a, v, p AS tx_phys, l AS tx_log, n AS node, 0::BIGINT AS n_predecessors FROM d")
+def tx_bundle_contents(spark, sf):
+    d = event_facts(spark, sf)
+    whole = d.unionByName(txn.tx_metadata(d.select(*TX_COLS).distinct()))
+    rows = txn.bundle_contents(whole).select(*TX_COLS, F.size("predecessors").cast("bigint").alias("n_predecessors"), F.explode("facts").alias("f"))
+    return portable(rows.select(*TX_COLS, "n_predecessors", "f.e", "f.a", "f.v_long", "f.op"), "n_predecessors").drop("op")
+
+
+# the trust boundary
+
+
+@register("decode_facts", f"WITH {D} SELECT {ROW} FROM d")
+def decoded_facts(spark, sf):
+    return portable(decode_facts(event_facts(spark, sf).select(canonical_bytes().alias("data"))))
+
+
+def _damaged(d):
+    """Every tenth fact loses something that a fact must have."""
+    k = F.col("tx_log") % 40
+    d = d.withColumn("v_long", F.when(k == 0, F.lit(None)).otherwise(F.col("v_long"))).withColumn("v_tag", F.when(k == 10, F.lit(12)).otherwise(F.col("v_tag")).cast("tinyint"))
+    return d.withColumn("op", F.when(k == 20, F.lit(2)).otherwise(F.col("op")).cast("tinyint")).withColumn("e", F.when(k == 30, F.substring("e", 1, 31)).otherwise(F.col("e")))
+
+
+@register("wire_rejected", f"WITH {D} SELECT l AS tx_log, CASE l % 40 WHEN 0 THEN 'value' WHEN 10 THEN 'value type' WHEN 20 THEN 'operation' ELSE 'entity' END AS problem FROM d WHERE l % 10 = 0")
+def wire_rejected(spark, sf):
+    return rejected(_damaged(event_facts(spark, sf))).select("tx_log", "problem")
+
+
+@register("wire_trusted", f"WITH {D} SELECT {ROW} FROM d WHERE l % 10 <> 0")
+def wire_trusted(spark, sf):
+    return portable(into_trusted(_damaged(event_facts(spark, sf)).where("tx_log % 10 <> 0")))
+
+
+# stores in a folder: commits, checkpoints, recovery, observers, peers
+
+
+def _define(db, name: str, kind: str) -> txn.Transaction:
+    e = _eid(f"def/{name}")
+    t = txn.Transaction(db.node).assert_fact(e, "db/ident", KEYWORD, name)
+    return t.assert_fact(e, "db/valueType", KEYWORD, f"db.type/{kind}").assert_fact(e, "db/cardinality", KEYWORD, "db.cardinality/one")
+
+
+def _eid(text: str) -> bytes:
+    import hashlib
+
+    return hashlib.sha256(text.encode()).digest()
+
+
+def _nation_store(spark, sf, upto: int = 25):
+    """A store with a commit a nation, in key order, after one that defines the attribute; 25 rows."""
+    db = Database(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", node_id(1))
+    db.transact(_define(db, "nation/name", "string"))
+    rows = table(spark, sf, "nation").orderBy("n_nationkey").limit(upto).collect()
+    db.batch_transact([txn.Transaction(db.node).assert_fact(_eid(f"nation/{r.n_nationkey}"), "nation/name", STRING, r.n_name) for r in rows])
+    return db
+
+
+def _names(rows):
+    return rows.where("a = 'nation/name'").select(hex_of(F.col("e")).alias("e"), F.col("v_str").alias("name"))
+
+
+_NATION = "SELECT sha256('nation/' || n_nationkey) AS e, n_name AS name FROM nation"
+
+
+@register("store_batch_commit", "SELECT sha256('nation/' || n_nationkey) AS e, n_name AS name, (row_number() OVER (ORDER BY n_nationkey) + 1)::BIGINT AS epoch FROM nation")
+def store_batch_commit(spark, sf):
+    db = _nation_store(spark, sf)
+    return db.datoms().where("a = 'nation/name'").select(hex_of(F.col("e")).alias("e"), F.col("v_str").alias("name"), "epoch")
+
+
+@register("store_recover", f"{_NATION}")
+def store_recover(spark, sf):
+    """Opened anew from its batches; files of a commit without a manifest stay unseen."""
+    db = _nation_store(spark, sf)
+    db.datoms().withColumn("v_str", F.lit("torn")).write.parquet(f"{db.files.root}/batches/epoch-torn")
+    again, level = cold_start(spark, db.files.root, node_id(1))
+    assert level == "batches" and again.epoch == db.epoch
+    return _names(live.live_resolve(again.datoms()))
+
+
+@register("store_checkpoint", f"{_NATION}")
+def store_checkpoint(spark, sf):
+    db = _nation_store(spark, sf)
+    db.checkpoint()
+    db.verify_checkpoint()
+    again, level = cold_start(spark, db.files.root, node_id(1))
+    assert level == "checkpoint" and again.epoch == db.epoch
+    return _names(live.live_resolve(again.datoms()))
+
+
+def _changed_store(spark, sf):
+    """Checkpointed, then nation 0 retracted; before the checkpoint nation 1 was renamed."""
+    db = _nation_store(spark, sf, 5)
+    name = {r.n_nationkey: r.n_name for r in table(spark, sf, "nation").where("n_nationkey < 5").collect()}
+    db.transact(txn.Transaction(db.node).retract_fact(_eid("nation/1"), "nation/name", STRING, name[1]).assert_fact(_eid("nation/1"), "nation/name", STRING, "NEW"))
+    db.checkpoint()
+    db.transact(txn.Transaction(db.node).retract_fact(_eid("nation/0"), "nation/name", STRING, name[0]))
+    return db
+
+
+@register("store_live_first", "SELECT sha256('nation/' || n_nationkey) AS e, CASE WHEN n_nationkey = 1 THEN 'NEW' ELSE n_name END AS name FROM nation WHERE n_nationkey BETWEEN 1 AND 4")
+def store_live_first(spark, sf):
+    return _names(live.live_resolve(_changed_store(spark, sf).live_first()))
+
+
+@register("store_history", "SELECT sha256('nation/1') AS e, n_name AS name, op::BIGINT AS op FROM nation, (VALUES (0), (1)) o(op) WHERE n_nationkey = 1")
+def store_history(spark, sf):
+    return _changed_store(spark, sf).history().where("a = 'nation/name'").select(hex_of(F.col("e")).alias("e"), F.col("v_str").alias("name"), F.col("op").cast("bigint").alias("op"))
+
+
+@register("store_replay", "SELECT sha256('nation/' || n_nationkey) AS e, n_name AS name, 6::BIGINT AS epoch FROM nation WHERE n_nationkey < 5")
+def store_replay(spark, sf):
+    db = _nation_store(spark, sf, 5)
+    found = FactStore.genesis(spark, db.node).replay(db.batches())
+    assert found.schema.where("attr = 'nation/name'").count() == 1
+    return _names(found.live()).withColumn("epoch", F.lit(found.epoch).cast("bigint"))
+
+
+@register("store_snapshots", "SELECT k::BIGINT AS epoch, greatest(k - 1, 0)::BIGINT AS n FROM range(7) t(k)")
+def store_snapshots(spark, sf):
+    db, out = _nation_store(spark, sf, 5), None
+    for k in range(7):
+        row = db.snapshot(k).agg(F.count(F.when(F.col("a") == "nation/name", 1)).alias("n")).select(F.lit(k).cast("bigint").alias("epoch"), "n")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+@register("store_observer", "SELECT k::BIGINT AS epoch, CASE WHEN k = 1 THEN 0 ELSE 1 END::BIGINT AS n, CASE WHEN k = 1 THEN 'catch-up' ELSE 'commit' END AS how FROM range(1, 7) t(k)")
+def store_observer(spark, sf):
+    db = Database(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", node_id(1))
+    db.transact(_define(db, "nation/name", "string"))
+    seen = []
+
+    def note(how):
+        return lambda epoch, rows: seen.append((epoch, rows.where("a = 'nation/name'").count(), how))
+
+    Observer(note("commit"), note("catch-up")).register(db)
+    for r in table(spark, sf, "nation").orderBy("n_nationkey").limit(5).collect():
+        db.transact(txn.Transaction(db.node).assert_fact(_eid(f"nation/{r.n_nationkey}"), "nation/name", STRING, r.n_name))
+    return spark.createDataFrame(seen, "epoch long, n long, how string")
+
+
+@register("store_novel", "SELECT sha256('nation/' || n_nationkey) AS e, n_name AS name FROM nation WHERE n_nationkey >= 5")
+def store_novel(spark, sf):
+    db, other = _nation_store(spark, sf, 5), _nation_store(spark, sf)
+    clock = db.datoms().select("e", "a", "v_str", *TX_COLS)
+    rows = other.datoms().drop(*TX_COLS).join(clock, ["e", "a", "v_str"], "left")
+    offered = rows.select(*[F.coalesce(c, F.lit(0 if c != "tx_node" else bytes(16))).alias(c) if c in TX_COLS else F.col(c) for c in other.datoms().columns])
+    return _names(db.novel(offered))
+
+
+@register("store_pull", f"{_NATION} UNION SELECT sha256('region/' || r_regionkey), r_name FROM region")
+def store_pull(spark, sf):
+    """Facts of two stores together, the peer's filtered at its scan."""
+    mine = Database(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", node_id(2))
+    mine.transact(_define(mine, "region/name", "string"))
+    rows = table(spark, sf, "region").collect()  # five rows
+    mine.batch_transact([txn.Transaction(mine.node).assert_fact(_eid(f"region/{r.r_regionkey}"), "region/name", STRING, r.r_name) for r in rows])
+    both = pull(mine, Peer(_nation_store(spark, sf)), filters.AttributeNamespace(("nation/",)))
+    return live.live_resolve(both.where("a like '%/name'")).select(hex_of(F.col("e")).alias("e"), F.col("v_str").alias("name"))
+
+
+@register("chunk_table", f"WITH {D} SELECT e || '|' || a || '|' || l AS key, 'kept' AS what FROM d UNION ALL SELECT 'chunks', 'none left' WHERE true")
+def chunk_table(spark, sf):
+    tree = chunks.build_tree(_pairs(event_facts(spark, sf)))
+    held = chunks.ChunkTable(spark).put(tree.chunks).put(tree.chunks)
+    assert held.has(held.all()).where("not present").isEmpty() and held.all().count() == tree.chunks.count()
+    rows = chunks.read_tree(held.get(held.all()), tree.root).select(F.col("key").cast("string").alias("key"), F.lit("kept").alias("what"))
+    rows = materialize(rows, "chunk-rows")
+    gone = held.delete(tree.chunks.select("addr"))
+    left = gone.all().agg(F.count("*").alias("n")).select(F.lit("chunks").alias("key"), F.when(F.col("n") == 0, "none left").otherwise("some left").alias("what"))
+    return rows.unionByName(left)

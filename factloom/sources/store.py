@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import threading
 import uuid
+from collections import deque
 from dataclasses import dataclass
 
 from py4j.protocol import Py4JJavaError
@@ -18,11 +19,15 @@ from ..operators import schema as schemas
 from ..operators.filters import All, FactFilter
 from ..operators.fingerprint import fingerprint
 from ..operators.live import live_set, snapshot
+from ..operators.schema import validate
 from ..operators.setops import merge
-from ..operators.txn import Receipt, Transaction, federation_metadata, splice, stamp, tx_metadata
+from ..operators.state import FactStore
+from ..operators.txn import Receipt, Transaction, federation_metadata, stamp, stamped, together, tx_metadata
 from ..types import DATOM_SCHEMA, ID_COLS, TX_COLS, V_COLS, Backpressure, CorruptionError, EmptyTransaction, StorageError, TxId, same_value
 
 MAX_WRITERS = 64
+#: Commits that late observers catch up on without reading the store.
+RECENT = 1024
 
 
 class Files:
@@ -99,6 +104,7 @@ class Database:
         self.node, self.clock = node, HybridClock(node, now)
         self._lock, self._writers = threading.Lock(), threading.Semaphore(MAX_WRITERS)
         self.observers: list = []
+        self.recent: deque[tuple[int, DataFrame]] = deque(maxlen=RECENT)
         last = self.manifest.last
         if last:
             self.clock.receive(TxId(last[0], last[1], bytes.fromhex(last[2])))
@@ -120,22 +126,50 @@ class Database:
     def epoch(self) -> int:
         return self.manifest.epoch
 
-    def _read(self, m: Manifest, live_only: bool = False) -> DataFrame:
+    def _read(self, m: Manifest) -> DataFrame:
         paths = [f"{self.files.root}/{b}" for b in m.batches]
         out = self.spark.read.schema(DATOM_SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], DATOM_SCHEMA)
         if m.checkpoint:
             kept = self.spark.read.parquet(f"{self.files.root}/{m.checkpoint}/datoms")
-            kept = kept.where("is_live = 1") if live_only else kept
             out = kept.select(*DATOM_SCHEMA.names).unionByName(out)
         return out
 
     def datoms(self) -> DataFrame:
         return self._read(self.manifest)
 
+    def _checkpointed(self, m: Manifest, live: bool) -> DataFrame:
+        kept = self.spark.read.parquet(f"{self.files.root}/{m.checkpoint}/datoms")
+        return kept.where(f"is_live = {int(live)}").select(*DATOM_SCHEMA.names)
+
     def live_first(self) -> DataFrame:
-        """The LIVE partition of the checkpoint and later batches: enough for current values
-        unless a later batch retracts; history() gives the rest."""
-        return self._read(self.manifest, live_only=True)
+        """Enough for current values: the checkpoint's LIVE partition, later batches, and of the
+        checkpoint's history only what concerns values that these batches touch."""
+        m = self.manifest
+        later = self._read(Manifest(m.epoch, m.batches, None, m.last))
+        if not m.checkpoint:
+            return later
+        out = self._checkpointed(m, True).unionByName(later)
+        if not m.batches:
+            return out
+        value = F.struct("e", "a", *V_COLS)
+        touched = later.select(value.alias("_touched")).distinct()
+        return out.unionByName(self._checkpointed(m, False).join(touched, value.eqNullSafe(F.col("_touched")), "left_semi"))
+
+    def history(self) -> DataFrame:
+        """The checkpoint's facts that are not LIVE in it; with its LIVE ones and later batches, everything."""
+        m = self.manifest
+        return self._checkpointed(m, False) if m.checkpoint else self.spark.createDataFrame([], DATOM_SCHEMA)
+
+    def batches(self) -> list[tuple[int, DataFrame]]:
+        """(epoch, facts) of the commits since the checkpoint, in order, to be replayed."""
+        m = self.manifest
+        rows = self._read(Manifest(m.epoch, m.batches, None, m.last))
+        epochs = sorted(r["epoch"] for r in rows.select("epoch").distinct().collect())  # a row a commit since the checkpoint
+        return [(i, rows.where(F.col("epoch") == i)) for i in epochs]
+
+    def state(self) -> FactStore:
+        """The whole store as a value."""
+        return FactStore(self.datoms(), self.schema(), self.epoch, self.node)
 
     def snapshot(self, epoch: int | None = None) -> DataFrame:
         return self.datoms() if epoch is None else snapshot(self.datoms(), epoch)
@@ -148,15 +182,15 @@ class Database:
 
     # writing
 
-    def transact(self, tx: Transaction, provenance: str = "observed", secret: bytes | None = None) -> Receipt:
-        """Validates, stamps, adds metadata, writes, publishes, then tells the observers."""
-        return self._commit([tx], provenance, secret)[0]
+    def transact(self, tx: Transaction, provenance: str = "observed", secret: bytes | None = None, checked: bool = True) -> Receipt:
+        """Validates, stamps, adds metadata, writes, publishes, then tells the observers; not `checked`, facts aren't validated."""
+        return self._commit([tx], provenance, secret, checked)[0]
 
     def batch_transact(self, txs: list[Transaction]) -> list[Receipt]:
         """Several transactions, each with its epoch, in one append."""
         return self._commit(txs, None, None)
 
-    def _commit(self, txs: list[Transaction], provenance: str | None, secret: bytes | None) -> list[Receipt]:
+    def _commit(self, txs: list[Transaction], provenance: str | None, secret: bytes | None, validated: bool = True) -> list[Receipt]:
         if not txs:
             raise EmptyTransaction("no transactions")
         if not self._writers.acquire(blocking=False):
@@ -166,11 +200,14 @@ class Database:
                 raise Backpressure("another commit is under way")
             try:
                 m, schema = self.manifest, self.schema()
-                checked = [tx.commit(self.spark, schema) for tx in txs]
+                facts = together(self.spark, txs)
+                if validated:
+                    validate(facts.drop("n_tx"), schema)
                 ids = [self.clock.tick() for _ in txs]
-                rows = splice(list(zip(checked, ids)), m.epoch + 1)
+                facts = stamped(facts, ids, m.epoch + 1)
+                rows = facts.unionByName(tx_metadata(facts.select(*TX_COLS, "epoch").distinct()))
                 if provenance is not None:
-                    rows = rows.unionByName(self._federation(checked[0], ids[0], m.epoch + 1, provenance, secret))
+                    rows = rows.unionByName(self._federation(facts, ids[0], m.epoch + 1, provenance, secret))
                 schemas.evolve(rows, check=True)
                 batch = f"batches/epoch-{m.epoch + 1:012d}-{uuid.uuid4().hex[:8]}"
                 rows.dropDuplicates(ID_COLS).sortWithinPartitions(*ID_COLS).write.parquet(f"{self.files.root}/{batch}")
@@ -184,6 +221,7 @@ class Database:
         written = self.spark.read.schema(DATOM_SCHEMA).parquet(f"{self.files.root}/{batch}")
         receipts = [Receipt(m.epoch + 1 + i, tx, written.where(F.col("epoch") == m.epoch + 1 + i)) for i, tx in enumerate(ids)]
         for r in receipts:
+            self.recent.append((r.epoch, r.facts))
             for observer in list(self.observers):
                 observer.publish(r.epoch, r.facts, self)
         return receipts
@@ -202,6 +240,15 @@ class Database:
             signature = sign(secret, message)
         return federation_metadata(one, before, provenance, signature, signer)
 
+    def novel(self, rows: DataFrame) -> DataFrame:
+        """The facts of `rows`, each once, that the store lacks; a summary of its digests spares most a look."""
+        known = self.datoms()
+        rows = rows.dropDuplicates(ID_COLS)
+        marked = DedupFilter(self.spark).insert(known).probably_contains(rows)
+        maybe = marked.where("maybe").select(*rows.columns)
+        on = [F.col(f"m.{c}").eqNullSafe(F.col(f"k.{c}")) for c in ID_COLS]
+        return marked.where("not maybe").select(*rows.columns).unionByName(maybe.alias("m").join(known.alias("k"), on, "left_anti"))
+
     # checkpoints
 
     def checkpoint(self) -> str:
@@ -227,6 +274,43 @@ class Database:
                 raise CorruptionError("the checkpoint's facts differ from its fingerprint")
 
 
+class DedupFilter:
+    """A Bloom filter of facts, 64 KB with four hashes: it never denies a fact that was put in.
+
+    Spark sets the bits, so the driver gets 8192 words at most, and tests are plain expressions.
+    """
+
+    WORDS, HASHES = 8192, 4
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.words, self.inserted = spark, [0] * self.WORDS, 0
+
+    def _bits(self) -> list:
+        return [F.pmod(F.xxhash64(F.lit(i), *ID_COLS), F.lit(self.WORDS * 64)) for i in range(self.HASHES)]
+
+    def insert(self, facts: DataFrame) -> DedupFilter:
+        bits = facts.select(F.explode(F.array(*self._bits())).alias("bit"))
+        rows = bits.groupBy(F.shiftright("bit", 6).alias("w")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("m")).collect()  # bounded by the words
+        for r in rows:
+            self.words[r["w"]] |= r["m"] & (2**64 - 1)
+        self.inserted += facts.count()
+        return self
+
+    def probably_contains(self, facts: DataFrame) -> DataFrame:
+        """`facts` with `maybe`, false where a fact is surely new."""
+        held = self.spark.createDataFrame([([w - 2**64 if w >= 2**63 else w for w in self.words],)], "words array<long>")
+        ok = F.lit(True)
+        for bit in self._bits():
+            ok = ok & (F.getbit(F.get("words", F.shiftright(bit, 6).cast("int")), bit.bitwiseAND(63).cast("int")) == 1)
+        return facts.crossJoin(F.broadcast(held)).select(*facts.columns, ok.alias("maybe"))  # one row of 64 KB
+
+    def count(self) -> int:
+        return self.inserted
+
+    def clear(self) -> None:
+        self.words, self.inserted = [0] * self.WORDS, 0
+
+
 def cold_start(spark: SparkSession, root: str, node: bytes = bytes(16)) -> tuple[Database, str]:
     """Opens a store and tells from what: checkpoint+batches, checkpoint, batches or genesis."""
     db = Database(spark, root, node)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..operators.filters import All, FactFilter
 from ..operators.live import EAV
-from ..scratch import scratch_dir
+from ..scratch import materialize
 from ..types import DATOM_SCHEMA, FactError
 
 
@@ -57,11 +57,16 @@ class Observer:
         self.last_epoch = epoch
 
     def publish(self, epoch: int, facts: DataFrame, db) -> None:
+        """Once for each commit; missed ones come from the writer's recent commits, older ones from the store."""
         if epoch <= self.last_epoch:
             return
         if epoch > self.last_epoch + 1:
-            self._catch_up(epoch, db)
-            return
+            missed = [(i, f) for i, f in db.recent if self.last_epoch < i < epoch]
+            if [i for i, _ in missed] != list(range(self.last_epoch + 1, epoch)):
+                self._catch_up(epoch, db)
+                return
+            for i, f in missed:
+                self.on_commit(i, self.accepts.apply(f))
         self.on_commit(epoch, self.accepts.apply(facts))
         self.last_epoch = epoch
 
@@ -87,18 +92,37 @@ def live_stream(stream: DataFrame) -> DataFrame:
     return latest.withColumn("live", F.col("_key").endswith("1"))
 
 
-def keep_live(stream: DataFrame, name: str, checkpoint: str | None = None, once: bool = True):
-    """Runs live_stream into a table in memory, complete after every batch."""
-    rows = live_stream(stream)
-    folder = checkpoint or f"{scratch_dir(stream.sparkSession)}/stream-{name}"
-    writer = rows.writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", folder)
+def keep_live(stream: DataFrame, path: str, checkpoint: str, once: bool = True):
+    """Runs live_stream into a folder: each batch writes the values it changed, under its own number.
+
+    A batch that is run again replaces what it wrote, so each counts once. Nothing passes the driver.
+    """
+
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.select(*EAV, "_key").write.mode("overwrite").parquet(f"{path}/batch={batch}")
+
+    writer = live_stream(stream).writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer).start()
 
 
+def kept_live(spark: SparkSession, path: str) -> DataFrame:
+    """(e, a, v columns, live) of what keep_live wrote: each value's latest batch decides."""
+    rows = spark.read.parquet(path).groupBy(*EAV).agg(F.max("_key").alias("_key"))
+    return rows.withColumn("live", F.col("_key").endswith("1"))
+
+
 def apply_delta(latest: DataFrame, delta: DataFrame) -> DataFrame:
-    """A materialised (e, a, v, _key) table after more facts: only the delta is aggregated anew."""
-    new = delta.groupBy(*EAV).agg(F.max(causal_key()).alias("_key"))
-    return latest.select(*EAV, "_key").unionByName(new).groupBy(*EAV).agg(F.max("_key").alias("_key"))
+    """A materialised (e, a, v, _key) table after more facts: only values that the delta touches are folded anew.
+
+    The table itself is read once and not shuffled where Spark broadcasts the delta's values.
+    """
+    new = materialize(delta.groupBy(*EAV).agg(F.max(causal_key()).alias("_key")), "live-delta")
+    value = F.struct(*EAV)
+    touched = new.select(value.alias("_v"))
+    old = latest.select(*EAV, "_key")
+    same = value.eqNullSafe(F.col("_v"))
+    changed = old.join(touched, same, "left_semi").unionByName(new).groupBy(*EAV).agg(F.max("_key").alias("_key"))
+    return old.join(touched, same, "left_anti").unionByName(changed)
 
 
 def windowed_counts(stream: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:

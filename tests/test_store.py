@@ -1,13 +1,15 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import chunks, graph, schema, txn
+from factloom.functions.codec import canonical_bytes
+from factloom.operators import antientropy, chunks, graph, scans, schema, txn
 from factloom.operators.filters import AttributeNamespace
 from factloom.operators.live import live_resolve, live_set
 from factloom.plans import datalog, federation
-from factloom.sources.store import Database, Peer, cold_start, pull
+from factloom.sources.store import Database, DedupFilter, Peer, cold_start, pull
+from factloom.sources.wire import decode_facts, into_trusted, rejected
 from factloom.streaming.views import Observer, commit_stream, observe
-from factloom.types import KEYWORD, LONG, REF, STRING, EmptyTransaction, PeerUnreachable, QueryError, SchemaViolation, UnknownAttribute, node_id
+from factloom.types import DOUBLE, KEYWORD, LONG, REF, STRING, ChunkError, EmptyTransaction, PeerUnreachable, QueryError, SchemaViolation, UnknownAttribute, ValidationError, node_id
 from tests.helpers import eid, fact, frame
 
 
@@ -128,7 +130,7 @@ def test_graph_cycles_end(spark):
 
 
 def test_trees_forget_their_history(spark):
-    rows = [(f"k{i:03d}".encode(), str(i % 7).encode()) for i in range(300)]
+    rows = [(f"k{i:03d}".encode(), str(i % 7).encode()) for i in range(900)]
     one = chunks.build_tree(spark.createDataFrame(rows, "key binary, value binary"), 4)
     two = chunks.build_tree(spark.createDataFrame(rows[::-1], "key binary, value binary").repartition(7), 4)
     assert one.root == two.root and chunks.diff_trees(one, two).count() == 0
@@ -142,6 +144,94 @@ def test_trees_forget_their_history(spark):
     assert chunks.parse_manifest(chunks.manifest({"live": one.root}))["live"] == one.root
 
 
+def test_chunks_have_bounds_and_partitions_change_nothing(spark, monkeypatch):
+    rows = [(f"k{i:05d}".encode(), str(i % 7).encode()) for i in range(6000)]
+    pairs = spark.createDataFrame(rows, "key binary, value binary")
+    one = chunks.build_tree(pairs, 5)
+    sizes = [r.n for r in one.chunks.where("level = 0").orderBy("first").select(F.size("entries").alias("n")).collect()]
+    assert sum(sizes) == 6000 and all(chunks.MIN_ENTRIES <= n <= chunks.MAX_ENTRIES for n in sizes[:-1]) and len(sizes) > 20
+    monkeypatch.setattr(chunks, "PART_ENTRIES", 700)
+    assert chunks.build_tree(pairs, 5).root == one.root
+    wide = chunks.build_tree(pairs, 40)  # no key ends a chunk: all have the most entries
+    assert [r.n for r in wide.chunks.where("level = 0").orderBy("first").select(F.size("entries").alias("n")).collect()] == [1024] * 5 + [880]
+
+
+def test_descent_opens_only_what_differs_and_heights_may_differ(spark):
+    rows = [(f"k{i:05d}".encode(), b"x") for i in range(9000)]
+    big = chunks.build_tree(spark.createDataFrame(rows, "key binary, value binary"), 4)
+    changed = chunks.build_tree(spark.createDataFrame([*rows[:4000], (rows[4000][0], b"y"), *rows[4001:]], "key binary, value binary"), 4)
+    small = chunks.build_tree(spark.createDataFrame(rows[:50], "key binary, value binary"), 4)
+    assert [(bytes(r.key), r.kind) for r in chunks.diff_trees(big, changed).collect()] == [(rows[4000][0], "modified")]
+    assert big.height > small.height
+    assert chunks.diff_trees(big, small).where("kind = 'left_only'").count() == chunks.diff_trees(small, big).where("kind = 'right_only'").count() == 8950
+    empty = chunks.build_tree(spark.createDataFrame([], "key binary, value binary"))
+    assert chunks.diff_trees(small, empty).count() == 50 and chunks.diff_trees(empty, empty).count() == 0
+    # without the chunks that both share the difference is found all the same
+    shared = big.chunks.join(changed.chunks.select("addr"), "addr", "left_semi").where("level = 0").select("addr")
+    cut = [chunks.Tree(t.root, t.chunks.join(shared, "addr", "left_anti"), t.height) for t in (big, changed)]
+    assert chunks.diff_trees(*cut).count() == 1
+
+
+def test_chunk_codec():
+    rows = [(b"b", b"1"), (b"a", b""), (b"", b"2")]
+    data = chunks.PairCodec.encode(rows)
+    assert chunks.PairCodec.decode(data) == sorted(rows) and chunks.PairCodec.boundary_key(data) == b"" and data[:5] == b"\x01\x03\0\0\0"
+    inner = chunks.encode_chunk(2, [(b"a", bytes(32)), (b"b", bytes(32))])
+    assert chunks.decode_chunk(inner) == (2, [(b"a", bytes(32)), (b"b", bytes(32))])
+    for bad in (b"", b"\x03", data[:-1], data + b"x", chunks.encode_chunk(0, [(b"b", b""), (b"a", b"")])):
+        with pytest.raises(ChunkError):
+            chunks.decode_chunk(bad)
+    with pytest.raises(ChunkError):
+        chunks.PairCodec.encode([(b"a", b"1"), (b"a", b"2")])
+    with pytest.raises(ChunkError):
+        chunks.PairCodec.decode(inner)
+    assert chunks.entries_fingerprint(rows) == chunks.entries_fingerprint(rows[::-1]) != chunks.entries_fingerprint(rows[:2])
+
+
+def test_presorted_facts_are_checked(spark):
+    d = scans.scan(frame(spark, [fact(f"x{i}", "n", i, 1) for i in range(30)])).coalesce(1)
+    assert [r.pos for r in scans.from_sorted(d).orderBy("pos").collect()] == list(range(30))
+    for bad in (d.unionByName(d), frame(spark, [fact("b", "n", 1, 1), fact("a", "n", 1, 1), fact("b", "n", 1, 1)]).coalesce(1)):
+        with pytest.raises(ValidationError):
+            scans.from_sorted(bad)
+
+
+def test_wire_and_filter_of_duplicates(spark):
+    good = frame(spark, [fact("a", "n", 1, 1), fact("b", "n", 2.0, 1, tag=DOUBLE)])
+    assert into_trusted(good).count() == 2 and rejected(good).count() == 0
+    bad = good.withColumn("v_dbl", F.lit(float("nan")))
+    assert rejected(bad).count() == 2
+    with pytest.raises(Exception, match="no fact"):
+        into_trusted(bad).collect()
+    back = decode_facts(good.select(canonical_bytes().alias("data")))
+    assert sorted(map(str, back.drop("epoch").collect())) == sorted(map(str, good.drop("epoch").collect()))
+    with pytest.raises(Exception, match="trailing|early"):
+        decode_facts(spark.createDataFrame([(b"123",)], "data binary")).collect()
+    seen = DedupFilter(spark).insert(good)
+    other = frame(spark, [fact(f"o{i}", "n", i, 1) for i in range(200)])
+    assert seen.count() == 2 and seen.probably_contains(good).where("maybe").count() == 2 and seen.probably_contains(other).where("maybe").count() <= 2
+    seen.clear()
+    assert seen.probably_contains(good).where("maybe").count() == 0
+
+
+def test_an_exchange_makes_stores_equal_and_late_observers_catch_up(spark, tmp_path):
+    a, b = frame(spark, [fact("a", "n", i, 1) for i in range(9)]), frame(spark, [fact("a", "n", i, 1) for i in range(4, 12)])
+    for x in antientropy.reconcile(a, b):
+        assert x.count() == 12
+    assert antientropy.diff(a, antientropy.summary(a)).count() == 0 and antientropy.NoExchange.diff(a).count() == 0
+    db = Database(spark, f"file://{tmp_path}/s", node_id(1))
+    define(db, "user/n", "long")
+    got, late = [], Observer(lambda epoch, df: got.append((epoch, df.where("a = 'user/n'").count())))
+    late.register(db)
+    db.observers.remove(late)  # misses two commits
+    for i in range(2):
+        db.transact(txn.Transaction(db.node).assert_fact(eid("u"), "user/n", LONG, i))
+    db.observers.append(late)
+    db.transact(txn.Transaction(db.node).assert_fact(eid("u"), "user/n", LONG, 7))
+    assert got == [(1, 0), (2, 1), (3, 1), (4, 1)]
+    assert db.transact(txn.Transaction(db.node).assert_fact(eid("u"), "no/such", LONG, 7), checked=False).epoch == 5
+
+
 def test_filtered_observers_get_empty_batches(spark, tmp_path):
     frame(spark, [fact("a", "x/n", 1, 1)]).write.parquet(f"file://{tmp_path}/in")
     got = []
