@@ -80,10 +80,11 @@ def link_vectors(reps: DataFrame, threshold: float, signs: int, tables: int, blo
                     continue
                 sig = np.frombuffer(b"".join(sigs.slice(start, length).to_pylist()), np.int32).view(np.uint32).reshape(length, -1)
                 for i in range(0, length, 64):
-                    differ = np.zeros((len(sig[i : i + 64]), length), np.int32)
+                    some = sig[i : i + 64]
+                    differ = np.zeros((len(some), length), np.int32)
                     for t in range(tables):
-                        differ += np.bitwise_count(sig[i : i + 64, t, None] ^ sig[None, :, t])
-                    keep[start + i : start + i + 64] |= (differ <= most).sum(axis=1) > 1  # more than itself
+                        differ += np.bitwise_count(some[:, t, None] ^ sig[None, :, t])
+                    keep[start + i : start + i + len(some)] = (differ <= most).sum(axis=1) > 1  # more than itself
             live = keep.nonzero()[0]
             if len(live):
                 yield from table.take(pa.array(live)).combine_chunks().to_batches()
@@ -155,3 +156,20 @@ def embedding_neardup(table: DataFrame, id_col: str = "vec_id", vector_col: str
 
 def op2_embedding_near_dedup(spark, sf_dir: str) -> DataFrame:
     return embedding_neardup(read_table(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
+OP2_SQL = r"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, x, sqrt(list_dot_product(x, x)) AS norm
+  FROM (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings)
+  WHERE len(x) > 0 AND len(list_filter(x, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(x, lambda c: c <> 0)) > 0),
+l AS (
+  SELECT a.vec_id AS s, b.vec_id AS t
+  FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x)
+  WHERE CASE WHEN len(a.x) = len(b.x) THEN list_dot_product(a.x, b.x) / (a.norm * b.norm) >= 0.95 END),
+r AS (SELECT vec_id AS s, vec_id AS t FROM embeddings UNION SELECT r.s, l.t FROM r JOIN l ON r.t = l.s),
+n AS (SELECT s, count(*) AS n FROM l GROUP BY s),
+c AS (SELECT s, min(t) AS component_id FROM r GROUP BY s)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id::BIGINT AS component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.s = vec_id LEFT JOIN n ON n.s = vec_id
+"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .embedding_dedup import op2_embedding_near_dedup
+from .embedding_dedup import OP2_SQL, op2_embedding_near_dedup
 from .hilbert import op9_nearest_neighbours
 from .langid import op3_language_id
 from .lines import OP6_SQL, op6_line_dedup
@@ -27,6 +27,7 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op2_embedding_near_dedup": OP2_SQL,
     "op5_source_mixing": OP5_SQL,
     "op6_line_dedup": OP6_SQL,
 }

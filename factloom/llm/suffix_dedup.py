@@ -17,16 +17,19 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import key_runs, materialize, read_table, run_lengths
+from ..scratch import discard
+from .common import key_runs, materialize, pieces, read_table, run_lengths
 from .suffix_array import permuted_lcp, suffix_array
 
 LENGTH, GRAM = 400, 32
-#: Bytes of one shard's text, and of one name's segments beyond which they are told by window digests.
-SHARD, HOT = 1 << 20, 1 << 20
+#: Bytes of one shard's text, and of one name's segments beyond which they are named more finely.
+SHARD, HOT = 1 << 20, 1 << 18
+#: Words of a passage that another document repeats, and of the runs that tell it.
+PASSAGE, RUN = 51, 32
 
 _BYTE = np.random.default_rng(4).integers(0, 2**64, 256, np.uint64)
 _MULT = 0x9E3779B97F4A7C15
@@ -48,18 +51,73 @@ def segments(data: bytes, length: int = LENGTH, gram: int = GRAM) -> Iterator[tu
     if len(data) < length:
         return
     h = _gram_hashes(np.frombuffer(data, np.uint8), gram)
-    window, m, width = length - gram + 1, h, 1
-    while width * 2 <= window:
-        m = np.minimum(m[:-width], m[width:])
-        width *= 2
-    if width < window:
-        m = np.minimum(m[: len(m) - (window - width)], m[window - width :])
+    window = length - gram + 1
+    m = _least(h, window)
     cuts = np.concatenate([[0], (m[1:] != m[:-1]).nonzero()[0] + 1, [len(m)]])
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         twice = b - a > window or np.count_nonzero(h[a : b + window - 1] == m[a]) > 1
         yield int(m[a].view(np.int64)), a, b - a, bool(twice)
 
 
+_SPACE = np.zeros(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 32]] = True
+_PLACE = np.random.default_rng(5).integers(0, 2**64, 64, np.uint64) | np.uint64(1)
+
+
+def passage_marks(data: bytes, passage: int = PASSAGE, run: int = RUN) -> np.ndarray:
+    """Hashes of runs of `run` words (a power of two) of which every passage of `passage` words holds one, the same wherever it is."""
+    b = np.frombuffer(data, np.uint8)
+    inside = ~_SPACE[b]
+    starts = (inside & ~np.concatenate([[False], inside[:-1]])).nonzero()[0]
+    if len(starts) < passage:
+        return np.empty(0, np.uint64)
+    chars = inside.nonzero()[0]
+    first = np.searchsorted(chars, starts)
+    place = np.arange(len(chars)) - np.repeat(first, np.diff(np.append(first, len(chars))))
+    h, mult, width = np.add.reduceat(_BYTE[b[chars]] * _PLACE[place & 63], first), _MULT, 1
+    while width < run:
+        h = h[:-width] * np.uint64(mult) + h[width:]
+        mult, width = mult * mult % 2**64, width * 2
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique(_least(h ^ (h >> np.uint64(29)), passage - run + 1))
+
+
+def _least(h: np.ndarray, window: int) -> np.ndarray:
+    """The minimum of every `window` neighbours."""
+    width = 1
+    while width * 2 <= window:
+        h = np.minimum(h[:-width], h[width:])
+        width *= 2
+    return np.minimum(h[: len(h) - (window - width)], h[window - width :]) if width < window else h
+
+
+def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", passage: int = PASSAGE, run: int = RUN) -> DataFrame:
+    """(k, n_passages): documents, as hash of id and text, that share passages of `passage` words with others.
+
+    n_passages counts the marks (`passage_marks`) that another document has too: one at least
+    for a shared passage, and none for less than `run` shared words. White space may differ.
+    """
+    rows = _keyed(docs, id_col, text_col).select(_number().alias("k"), "t")
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in pieces(batch, 1):
+                found = [passage_marks(t.as_py().encode(), passage, run) for t in part.column(1)]
+                many = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in found]))
+                yield pa.RecordBatch.from_arrays([part.column(0).take(many), pa.array(np.concatenate(found).view(np.int64))], ["k", "f"])
+
+    marks = materialize(rows.mapInArrow(mark, "k long, f long"), "suffix-marks")
+    shared = marks.groupBy("f").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low <> high").select("f")
+    out = materialize(marks.join(shared, "f", "left_semi").groupBy("k").agg(F.count("*").alias("n_passages")), "suffix-passages")
+    discard(marks)
+    return out
+
+
+def _number() -> Column:
+    return F.xxhash64("d", "th")
+
+
 def _ranges(flags: np.ndarray) -> list[list[int]]:
     edge = np.diff(np.concatenate([[0], flags.astype(np.int8), [0]]))
     return np.stack([(edge > 0).nonzero()[0], (edge < 0).nonzero()[0]], axis=1).tolist()
@@ -97,8 +155,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 200):
-                part = batch.slice(at, 200)
+            for part in pieces(batch, batch.schema.get_field_index("t"), 200):
                 owner, name, first, n, twice, digest = [], [], [], [], [], []
                 for i, t in enumerate(part.column("t")):
                     data = t.as_py().encode()
@@ -121,6 +178,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     live = materialize(found.join(shared, "h", "left_semi"), "suffix-live")
     # Distinct segments, each with how often it occurs and where one of its occurrences is.
     place = F.min(F.struct("d", "th", "s")).alias("at")
+    discard(found)
     distinct = materialize(live.groupBy("h", "g", "n").agg(F.count("*").alias("c"), F.max("twice").alias("twice"), place), "suffix-distinct")
     names = distinct.groupBy("h").agg(F.count("*").alias("k"), F.sum(F.col("n").cast("bigint") + length - 1).alias("size"), F.max("twice").alias("x"), F.min("c").alias("least"))
     names = materialize(names.where("least = 1 and (k > 1 or x)").select("h", (F.col("size") > HOT).alias("hot")), "suffix-names")
@@ -128,7 +186,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     # The texts of the segments to compare, cut from their documents.
     wanted = mixed.groupBy("at.d", "at.th").agg(F.collect_list(F.struct("h", "g", "at.s", "n", "hot")).alias("cuts"))
-    pieces = rows.join(wanted.withColumnsRenamed({"d": "_d", "th": "_th"}), F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("t", "cuts")
+    cut_from = rows.join(wanted.withColumnsRenamed({"d": "_d", "th": "_th"}), F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th"))).select("t", "cuts")
 
     def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -162,13 +220,14 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield shard(hs, gs, bs)
 
 
-    pieces = materialize(pieces.mapInArrow(pick, "h long, g binary, hot boolean, x binary"), "suffix-pieces")
-    cold = pieces.where("not hot").select("h", "g", "x").repartition("h").sortWithinPartitions("h", "g")
+    pieces_ = materialize(cut_from.mapInArrow(pick, "h long, g binary, hot boolean, x binary"), "suffix-pieces")
+    cold = pieces_.where("not hot").select("h", "g", "x").repartition("h").sortWithinPartitions("h", "g")
     cold = cold.mapInArrow(compare, "h long, g binary, r array<array<int>>").where("size(r) > 0")
-    hot = _hot_ranges(pieces.where("hot").select("h", "g", "x"), length, gram)
+    hot = _hot_ranges(pieces_.where("hot").select("h", "g", "x"), length, gram)
     often = distinct.where("c > 1").select("h", "g", F.array(F.array(F.lit(0), F.col("n"))).alias("r"))
     ranges = often.unionByName(cold.unionByName(hot).join(often.select("h", "g"), ["h", "g"], "left_anti"))
     ranges = materialize(ranges, "suffix-ranges")
+    discard(pieces_, distinct, names)
     hits = live.select("h", "g", "d", "th", "s").join(ranges, ["h", "g"])
     spans = F.transform("r", lambda x: F.struct((F.col("s") + x[0]).alias("a"), (F.col("s") + x[1] + length - 1).alias("b")))
     hits = materialize(hits.select("d", "th", spans.alias("x")), "suffix-hits")
@@ -250,22 +309,29 @@ def _hot_ranges(segs: DataFrame, length: int, gram: int) -> DataFrame:
     return found.mapInArrow(joined, "h long, g binary, r array<array<int>>")
 
 
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = False) -> DataFrame:
-    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with `texts` also kept (binary).
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, texts: bool = False, passages: bool = False) -> DataFrame:
+    """(id, n_bytes, n_removed, n_spans, kept_sha256) of every row, with `texts` also kept (binary), with `passages` n_passages.
 
     Every byte covered by a string of `length` bytes that starts anywhere else too goes, all
     occurrences alike; overlaps count and matches stay within documents. A null text is empty.
     Rows that repeat an id, or id and text, are documents of their own. Texts shorter than
-    `length` stay whole.
+    `length` stay whole. n_passages tells of shared passages of many words, which may be shorter
+    than `length` (`repeated_passages`); it removes nothing.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, gram).withColumnsRenamed({"d": "_d", "th": "_th"})
+    spans = repeated_spans(docs, id_col, text_col, length, gram).withColumn("k", _number()).withColumnsRenamed({"d": "_d", "th": "_th"})
+    if passages:
+        spans = spans.join(repeated_passages(docs, id_col, text_col), "k", "full_outer")
+    else:
+        spans = spans.withColumn("n_passages", F.lit(0).cast("bigint"))
+    spans = spans.withColumnRenamed("k", "_k")
     rows = _keyed(docs, id_col, text_col)
-    rows = rows.join(spans, F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")), "left").select("d", "t", "spans")
+    own = F.col("_th").isNull() | (F.col("d").eqNullSafe(F.col("_d")) & (F.col("th") == F.col("_th")))
+    rows = rows.join(spans, (_number() == F.col("_k")) & own, "left").select("d", "t", "spans", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part, out = batch.slice(at, 500), []
+            for part in pieces(batch, batch.schema.get_field_index("t")):
+                out = []
                 for t, found in zip(part.column("t"), part.column("spans")):
                     data, kept, n, end = t.as_py().encode(), [], 0, 0
                     begin = None
@@ -279,13 +345,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     kept = b"".join([*kept, data[end:]])
                     out.append((len(data), len(data) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
                 cols = [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()))]
-                yield pa.RecordBatch.from_arrays([part.column("d"), *cols[: 4 + texts]], [f.name for f in schema])
+                more = [part.column("n_passages")] if passages else []
+                yield pa.RecordBatch.from_arrays([part.column("d"), *cols[: 4 + texts], *more], [f.name for f in schema])
 
     schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept_sha256", T.StringType())])
     if texts:
         schema = schema.add("kept", T.BinaryType())
+    if passages:
+        schema = schema.add("n_passages", T.LongType())
     return rows.mapInArrow(finish, schema)
 
 
 def op4_suffix_array_dedup(spark, sf_dir: str) -> DataFrame:
-    return remove_repeats(read_table(spark, sf_dir, "documents"))
+    return remove_repeats(read_table(spark, sf_dir, "documents"), passages=True)

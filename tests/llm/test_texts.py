@@ -150,6 +150,23 @@ def test_repeats_against_brute_force(spark, monkeypatch, hot):
     assert remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_documents_that_share_a_passage_of_over_fifty_words(spark):
+    r = random.Random(11)
+
+    def words(n):
+        return ["".join(r.choice("abcdefghij") for _ in range(r.randint(1, 9))) for _ in range(n)]
+
+    passages = [words(n) for n in (51, 51, 60, 200, 31, 20)]
+    rows = []
+    for i, p in enumerate(passages):
+        for k in range(3):
+            rows.append((10 * i + k, " ".join(words(r.randint(0, 80))) + r.choice([" ", "\n", "\t  "]) + r.choice([" ", "\n "]).join(p) + " " + " ".join(words(r.randint(0, 80)))))
+    twice = " ".join(words(60))
+    rows += [(100, f"{twice} x {twice}"), (101, " ".join(words(300))), (102, None), (103, " "), (104, " ".join(words(51))), (105, " ".join(passages[3])), (106, "é" * 3000 + " ß" * 100)]
+    got = {x.doc_id: x.n_passages for x in remove_repeats(spark.createDataFrame(rows, SCHEMA), passages=True).collect()}
+    assert {i for i, n in got.items() if n} == {10 * i + k for i in range(4) for k in range(3)} | {105} and all(n is not None for n in got.values())
+
+
 # lines
 
 
