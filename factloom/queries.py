@@ -19,7 +19,7 @@ from .operators.state import FactStore
 from .plans import datalog, federation
 from .scratch import materialize, scratch_dir
 from .sources.mapping import canonical, event_facts, facts, node_of, reference_facts, replicas, scalar_facts, table
-from .sources.store import Database, Peer, cold_start, pull
+from .sources.store import Database, Peer, cold_start, create, pull
 from .sources.wire import decode_facts, into_trusted, rejected
 from .streaming.views import Observer, apply_delta, commit_stream, delta_since, keep_live, kept_live, live_stream, windowed_counts
 from .types import ASSERT, DOUBLE, EAVT, INSTANT, KEYWORD, LONG, REF, STRING, TX_COLS, TxId, node_id
@@ -1077,3 +1077,14 @@ def chunk_table(spark, sf):
     gone = held.delete(tree.chunks.select("addr"))
     left = gone.all().agg(F.count("*").alias("n")).select(F.lit("chunks").alias("key"), F.when(F.col("n") == 0, "none left").otherwise("some left").alias("what"))
     return rows.unionByName(left)
+
+
+@register("store_create", f"WITH {D}, {LIVE} SELECT {LIVE_ROW}, (SELECT max(epoch) FROM d) AS epoch FROM live")
+def store_create(spark, sf):
+    """A store value written as a folder's first checkpoint, opened anew; its LIVE partition is enough for current values."""
+    d = event_facts(spark, sf)
+    top = d.agg(F.max("epoch")).first()[0]
+    db = create(spark, f"{scratch_dir(spark)}/store-{uuid.uuid4().hex}", FactStore(d, schema.genesis(spark), top), node_id(1))
+    again, level = cold_start(spark, db.files.root, node_id(1))
+    assert level == "checkpoint" and again.datoms().count() == d.count()
+    return _live_row(live.live_set(again.live_first())).withColumn("epoch", F.lit(again.epoch).cast("bigint"))

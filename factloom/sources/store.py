@@ -253,16 +253,19 @@ class Database:
 
     def checkpoint(self) -> str:
         """Folds all batches into one sorted table partitioned by is_live, and publishes it."""
-        m, rows = self.manifest, self.datoms()
+        m = self.manifest
+        return self._write_checkpoint(self.datoms(), m.epoch, m.last)
+
+    def _write_checkpoint(self, rows: DataFrame, epoch: int, last: tuple[int, int, str] | None) -> str:
         live = live_set(rows).select("e", "a", *V_COLS, *TX_COLS).withColumn("_live", F.lit(True))
         on = [F.col("d.e") == F.col("l.e"), F.col("d.a") == F.col("l.a"), same_value("d", "l"), *[F.col(f"d.{c}") == F.col(f"l.{c}") for c in TX_COLS], F.col("d.op") == 0]
         marked = rows.alias("d").join(live.alias("l"), on, "left").select("d.*", F.when(F.col("l._live"), 1).otherwise(0).alias("is_live"))
-        name = f"checkpoints/{m.epoch:012d}-{uuid.uuid4().hex[:8]}"
+        name = f"checkpoints/{epoch:012d}-{uuid.uuid4().hex[:8]}"
         marked.dropDuplicates(ID_COLS).repartitionByRange("e").sortWithinPartitions(*ID_COLS).write.partitionBy("is_live").parquet(f"{self.files.root}/{name}/datoms")
         print_ = fingerprint(self.spark.read.parquet(f"{self.files.root}/{name}/datoms").select(*DATOM_SCHEMA.names)).first()[0]
-        self.files.write(f"{name}/meta.json", json.dumps({"epoch": m.epoch, "fingerprint": print_}))
-        new = Manifest(m.epoch, (), name, m.last)  # its name sorts after that of the epoch's commit
-        self.files.write(f"_commits/{m.epoch:012d}z.json", new.text())
+        self.files.write(f"{name}/meta.json", json.dumps({"epoch": epoch, "fingerprint": print_}))
+        new = Manifest(epoch, (), name, last)  # its name sorts after that of the epoch's commit
+        self.files.write(f"_commits/{epoch:012d}z.json", new.text())
         return name
 
     def verify_checkpoint(self) -> None:
@@ -274,6 +277,19 @@ class Database:
                 raise CorruptionError("the checkpoint's facts differ from its fingerprint")
 
 
+def create(spark: SparkSession, root: str, state: FactStore | None = None, node: bytes = bytes(16)) -> Database:
+    """A new store in a folder that holds none: empty, or with a store value's facts and epoch as its first checkpoint."""
+    db = Database(spark, root, node)
+    if db.files.names("_commits"):
+        raise StorageError(f"{root} holds a store already")
+    if state is not None:
+        last = state.facts.agg(F.max(F.struct(*TX_COLS)).alias("t")).first()["t"]
+        db._write_checkpoint(state.facts, state.epoch, (last["tx_phys"], last["tx_log"], bytes(last["tx_node"]).hex()) if last else None)
+        if last:
+            db.clock.receive(TxId(last["tx_phys"], last["tx_log"], bytes(last["tx_node"])))
+    return db
+
+
 class DedupFilter:
     """A Bloom filter of facts, 64 KB with four hashes: it never denies a fact that was put in.
 
