@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..scratch import discard
-from .common import WORD, materialize, maybe_broadcast, nested, read_table, unnested
+from .common import WORD, materialize, nested, read_table, unnested
 
 MIN_WORDS = 8
 
@@ -108,6 +108,25 @@ def repeated_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return later
 
 
+def _without_repeats(docs: DataFrame, id_col: str, text_col: str, min_words: int) -> DataFrame:
+    """(row, lines, gone, kept): every row of `docs`, whole, its lines, the numbers of those to delete, and the text left.
+
+    The text is in `row` alone where rows are shuffled.
+    """
+    later = repeated_runs(docs, id_col, text_col, min_words)
+    hits = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
+    hits = materialize(hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "runs"), "lines-hits")
+    discard(later)
+    rows = nested(docs)
+    whole = F.col(f"row.`{text_col}`").cast("string")
+    out = rows.join(hits, F.col(f"row.`{id_col}`").eqNullSafe(F.col("hit_id")) & (F.xxhash64(whole) == F.col("hit_th")), "left")
+    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
+    out = out.select("row", F.split(whole, "\n", -1).alias("lines"), F.when(F.col("runs").isNotNull(), gone).alias("gone"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    left = F.when(F.col("gone").isNull(), whole).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
+    return out.select("row", "lines", "gone", left.alias("kept"))
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, counts: tuple[str, str] | None = None) -> DataFrame:
     """`docs` with later repeated runs of lines deleted; `counts` names columns for lines and removed lines.
 
@@ -118,30 +137,17 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     result. Null texts stay null and have no lines. A document that loses every line keeps an
     empty text. Other columns stay, whatever their names; those that `counts` names are replaced.
     """
-    later = repeated_runs(docs, id_col, text_col, min_words)
-    hits = later.groupBy("id", "th").agg(F.collect_set(F.struct("first", "last")).alias("runs"))
-    hits = maybe_broadcast(materialize(hits.select(F.col("id").alias("hit_id"), F.col("th").alias("hit_th"), "runs"), "lines-hits"))
-    discard(later)
-    rows = nested(docs, id=F.col(id_col), text=F.col(text_col).cast("string"))
-    out = rows.join(hits, F.col("id").eqNullSafe(F.col("hit_id")) & (F.xxhash64("text") == F.col("hit_th")), "left")
-    out = out.withColumn("lines", F.split("text", "\n", -1))
-    gone = F.array_distinct(F.flatten(F.transform("runs", lambda r: F.sequence(r["first"], r["last"]))))
-    out = out.withColumn("gone", F.when(F.col("runs").isNotNull(), gone))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    more = {}
+    out, more = _without_repeats(docs, id_col, text_col, min_words), {}
     if counts:
-        more[counts[0]] = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("bigint")
+        more[counts[0]] = F.when(F.col("lines").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("bigint")
         more[counts[1]] = F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("gone")).cast("bigint")
-    return unnested(out, docs, {text_col: text, **more})
+    return unnested(out, docs, {text_col: F.col("kept"), **more})
 
 
-def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
+def keep_first_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """`docs` without later repeated runs of lines; documents that lose lines and have no word left go."""
-    rows = nested(docs, id=F.col(id_col), text=F.col(text_col))
-    out = drop_repeated_lines(rows, "id", "text", counts=("n_lines", "n_removed"), **how)
-    out = out.where(~((F.col("n_removed") > 0) & ~F.col("text").rlike(WORD)))
-    return unnested(out, docs, {text_col: F.col("text")})
+    out = _without_repeats(docs, id_col, text_col, min_words)
+    return unnested(out.where(F.col("gone").isNull() | F.col("kept").rlike(WORD)), docs, {text_col: F.col("kept")})
 
 
 def op6_line_dedup(spark, sf_dir: str) -> DataFrame:
