@@ -30,6 +30,16 @@ def table_plan(rows: int, threshold: float, recall: float) -> tuple[int, int]:
     return signs, max(1, math.ceil(math.log(1 - recall) / math.log(1 - agree)))
 
 
+def scaled(x: np.ndarray) -> np.ndarray:
+    """Rows whose squares leave the doubles' range, scaled by a power of two; the cosine stays."""
+    most = np.abs(x).max(axis=1, initial=0)
+    odd = (most > 2.0**400) | (most < 2.0**-400)
+    if odd.any():
+        x = x.copy()
+        x[odd] = np.ldexp(x[odd], -np.frexp(most[odd])[1][:, None])
+    return x
+
+
 def most_bits(signs: int, tables: int, threshold: float) -> int:
     """Signs, over all tables, in which a pair at the threshold differs at most, six deviations included."""
     n, p = signs * tables, math.acos(threshold) / math.pi
@@ -59,7 +69,7 @@ def link_vectors(reps: DataFrame, threshold: float, signs: int, tables: int, blo
                 for at in range(0, part.num_rows, 1000):
                     some = part.slice(at, 1000)
                     n = some.num_rows
-                    sig = ((matrix(some.column("v")) @ planes[d]) > 0).reshape(n, tables, signs) @ weights
+                    sig = ((scaled(matrix(some.column("v"))) @ planes[d]) > 0).reshape(n, tables, signs) @ weights
                     key = sig + (np.arange(tables) << 24) + (d << 40)
                     all_ = pa.array([x.tobytes() for x in sig.astype(np.int32)], pa.binary())
                     many = pa.array(np.repeat(np.arange(n), tables))
@@ -97,7 +107,7 @@ def link_vectors(reps: DataFrame, threshold: float, signs: int, tables: int, blo
                     continue
                 run = table.slice(start, length)
                 t = int(run.column("key")[0].as_py() >> 24) & 0xFFFF
-                x = matrix(run.column("v"))
+                x = scaled(matrix(run.column("v")))
                 unit = x / np.linalg.norm(x, axis=1)[:, None]
                 own = run.column("own").to_numpy()
                 i, j = np.nonzero(np.triu(unit @ unit.T >= threshold - 1e-9, 1))

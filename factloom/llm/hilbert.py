@@ -62,6 +62,8 @@ class Curves:
     def __init__(self, sample: np.ndarray, curves: int, dims: int, bits: int):
         rng = np.random.default_rng([SEED, sample.shape[1]])
         dims = min(dims, sample.shape[1])
+        self.scale = int(np.frexp(np.abs(sample).max(initial=0))[1])  # any power of two; keeps projections in range
+        sample = np.ldexp(sample, -self.scale)
         self.bits, self.axes, self.shift, self.low, self.step = bits, [], [], [], []
         for _ in range(curves):
             axes = np.linalg.qr(rng.standard_normal((sample.shape[1], dims)))[0]
@@ -74,15 +76,27 @@ class Curves:
 
     def keys(self, x: np.ndarray) -> np.ndarray:
         """The curve places of every row (n by curves)."""
-        out = []
+        out, x = [], np.ldexp(x, -self.scale)
         for axes, low, step, shift in zip(self.axes, self.low, self.step, self.shift):
-            cells = np.clip((x @ axes - low) * step + shift, 0, 2**self.bits - 1)
+            cells = np.clip(np.nan_to_num((x @ axes - low) * step + shift), 0, 2**self.bits - 1)
             out.append(hilbert_index(cells.astype(np.int64), self.bits))
         return np.stack(out, axis=1)
 
 
 def _best(queries: np.ndarray, rows: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """For each query the rows no farther than its k-th nearest, with exact distances."""
+    most = max(np.abs(queries).max(initial=0), np.abs(rows).max(initial=0))
+    if most > 2.0**400 or 0 < most < 2.0**-400:  # squares leave the doubles' range: row by row, scaled where needed
+        for i, q in enumerate(queries):
+            gap = rows - q
+            far = np.abs(gap).max(axis=1, initial=0)
+            odd = (far > 2.0**400) | ((far > 0) & (far < 2.0**-400))
+            by = np.where(odd, far, 1.0)
+            dist = np.sqrt(((gap / by[:, None]) ** 2).sum(axis=1)) * by
+            edge = np.partition(dist, k - 1)[k - 1] if len(rows) > k else np.inf
+            near = (dist <= edge).nonzero()[0]
+            yield i, near, dist[near]
+        return
     norms = (rows**2).sum(axis=1)
     for at in range(0, len(queries), 256):
         q = queries[at : at + 256]

@@ -1,7 +1,7 @@
 import numpy as np
 
 from factloom.llm.embedding_dedup import embedding_neardup, table_plan
-from factloom.llm.hilbert import hilbert_index, nearest_neighbours
+from factloom.llm.hilbert import hilbert_index, nearest_neighbours, search_plan
 
 SCHEMA = "vec_id long, embedding array<float>, score string"
 
@@ -73,6 +73,27 @@ def test_neighbours_against_brute_force(spark):
         assert [j for _, j in got[200]] == [1, *range(201, 210)]  # copies: ties to the smaller id
 
 
+def test_long_and_huge_vectors(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((12, 3000))
+    x[1], x[2], x[3] = x[0] * 1e200, x[0] * 1e-250, x[0] + 1e-3 * x[4]
+    x[5] *= 1e250
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {r.id: (r.n_links, r.component_id) for r in embedding_neardup(table).collect()}
+    assert all(got[i] == (3, 0) for i in range(4)) and all(got[i] == (0, i) for i in range(4, 12))
+    near = {r.rank: (r.id, r.score) for r in nearest_neighbours(table, table.where("vec_id = 0"), k=11).collect()}
+    want = sorted((np.ldexp(np.sqrt((np.ldexp(v - x[0], -900) ** 2).sum()), 900) if i in (1, 5) else np.sqrt(((v - x[0]) ** 2).sum()), i) for i, v in enumerate(x) if i)
+    assert [near[r + 1][0] for r in range(11)] == [i for _, i in want] and np.allclose([near[r + 1][1] for r in range(9)], [d for d, _ in want[:9]], rtol=1e-9) and np.isfinite(near[11][1])
+
+
+def test_plans_look_at_no_row_twice():
+    rng = np.random.default_rng(6)
+    for gaps in (rng.integers(0, 100, (500, 16)), rng.integers(0, 3, (500, 16)), np.zeros((5, 16), int)):
+        used, radius = search_plan(gaps, 0.96, 100)
+        assert used * min(2 * radius + 1, 100) <= 100 and (gaps[:, :used].min(axis=1) <= radius).mean() >= 0.96
+    assert search_plan(np.zeros((5, 16), int), 0.96, 100) == (1, 0)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], SCHEMA)
     assert embedding_neardup(empty).count() == 0 and nearest_neighbours(empty, empty).count() == 0
