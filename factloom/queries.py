@@ -1088,3 +1088,22 @@ def store_create(spark, sf):
     again, level = cold_start(spark, db.files.root, node_id(1))
     assert level == "checkpoint" and again.datoms().count() == d.count()
     return _live_row(live.live_set(again.live_first())).withColumn("epoch", F.lit(again.epoch).cast("bigint"))
+
+
+@register("filter_custom", f"WITH {D} SELECT {ROW} FROM d WHERE v % 2 = 0 AND a <> 'event/click'")
+def filter_custom(spark, sf):
+    even = filters.Custom("even", lambda: F.col("v_long") % 2 == 0, monotone=True)
+    return portable(filters.And((even, filters.Not(filters.AttributeNamespace(("event/click",))))).apply(event_facts(spark, sf)))
+
+
+@register("tree_proofs", f"WITH {D} SELECT e || '|' || a || '|' || l AS key, true AS proven FROM d WHERE l IN (7, 8, 9)")
+def tree_proofs(spark, sf):
+    """Three entries proven by their paths to the root, which is all a light client holds."""
+    pairs = _pairs(event_facts(spark, sf))
+    tree = chunks.build_tree(pairs)
+    root, _ = chunks.commitment(tree)
+    out = []
+    for r in _pairs(event_facts(spark, sf).where(F.col("tx_log").isin(7, 8, 9))).collect():
+        proof = chunks.inclusion_proof(tree, bytes(r.key))
+        out.append((r.key.decode(), chunks.check_proof(proof, root, bytes(r.key), bytes(r.value)) and not chunks.check_proof(proof, root, bytes(r.key), b"other")))
+    return spark.createDataFrame(out, "key string, proven boolean")

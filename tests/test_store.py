@@ -9,7 +9,7 @@ from factloom.plans import datalog, federation
 from factloom.sources.store import Database, DedupFilter, Peer, cold_start, pull
 from factloom.sources.wire import decode_facts, into_trusted, rejected
 from factloom.streaming.views import Observer, commit_stream, observe
-from factloom.types import DOUBLE, KEYWORD, LONG, REF, STRING, ChunkError, EmptyTransaction, PeerUnreachable, QueryError, SchemaViolation, UnknownAttribute, ValidationError, node_id
+from factloom.types import DOUBLE, KEYWORD, LONG, REF, STRING, ChunkError, EmptyTransaction, FactError, PeerUnreachable, QueryError, SchemaViolation, UnknownAttribute, ValidationError, node_id
 from tests.helpers import eid, fact, frame
 
 
@@ -229,6 +229,9 @@ def test_an_exchange_makes_stores_equal_and_late_observers_catch_up(spark, tmp_p
     db.observers.append(late)
     db.transact(txn.Transaction(db.node).assert_fact(eid("u"), "user/n", LONG, 7))
     assert got == [(1, 0), (2, 1), (3, 1), (4, 1)]
+    late.observe(4)
+    with pytest.raises(FactError):
+        late.observe(3)
     assert db.transact(txn.Transaction(db.node).assert_fact(eid("u"), "no/such", LONG, 7), checked=False).epoch == 5
 
 
