@@ -28,7 +28,6 @@ class TxOrder:
     node_bits: int
     wide: bool
     nodes: DataFrame
-    n_nodes: int
 
     @staticmethod
     def of(datoms: DataFrame) -> TxOrder:
@@ -36,11 +35,13 @@ class TxOrder:
         s = datoms.agg(F.min("tx_phys").alias("lo"), F.max("tx_phys").alias("hi"), F.max("tx_log").alias("log"), F.count_distinct("tx_node").alias("nodes")).first()
         lo, span = s["lo"] or 0, (s["hi"] or 0) - (s["lo"] or 0)
         log_bits, node_bits = max(1, (s["log"] or 0).bit_length()), max(1, int(s["nodes"]).bit_length())
+        # Ranked, and read, only if there are few: more nodes are compared by their ids in the wide key.
         nodes = datoms.select("tx_node").distinct().select("tx_node", (F.row_number().over(Window.orderBy("tx_node")) - 1).alias("_node"))
-        return TxOrder(lo, log_bits, node_bits, span.bit_length() + log_bits + node_bits + 1 > 63, nodes, s["nodes"])
+        wide = span.bit_length() + log_bits + node_bits + 1 > 63 or s["nodes"] > BROADCAST_NODES
+        return TxOrder(lo, log_bits, node_bits, wide, nodes)
 
     def _ranks(self) -> DataFrame:
-        return F.broadcast(self.nodes) if self.n_nodes <= BROADCAST_NODES else self.nodes
+        return F.broadcast(self.nodes)  # BROADCAST_NODES rows at most
 
     def keyed(self, datoms: DataFrame) -> DataFrame:
         """`datoms` with the key `_k`."""
