@@ -8,22 +8,25 @@ joined yet is found exactly: all sets are ordered by one global order; two alike
 shingle among the first n - ceil(similarity * n) + 1 of each, so buckets by those shingles hold
 every alike pair whatever the order is. Shingles that a sample of the documents shows often come
 last, which keeps buckets small. Pairs whose parity bitmaps differ in more bits than the sets may
-in shingles can't be alike; what is left is verified as well.
+in shingles can't be alike; what is left is verified as well. Bitmaps have as many bits as their
+sets have shingles, or else those of long texts would rule out nothing. Bitmaps and sets are joined
+to pairs in parts of bounded bytes, and texts are filtered by ids that every executor has.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..scratch import discard
-from .common import block_pairs, key_runs, materialize, maybe_broadcast, pieces, run_lengths
+from ..scratch import collect_garbage, discard
+from .common import BROADCAST_BYTES, block_pairs, key_runs, materialize, maybe_broadcast, pieces, run_lengths
 from .components import connected_components
 from .simhash import BLOCK, SEED, fingerprints_of, link_fingerprints, shingle_hashes
 
@@ -33,8 +36,10 @@ SAMPLE, OFTEN, TOLD = 20_000, 8, 200_000
 EPS = 1e-9
 #: The fingerprints that propose pairs: bits, and the ring's segments.
 BITS, SEGMENTS = 64, 16
-#: Bits of the parity bitmap of a set; each shingle flips one, so bitmaps differ in no more bits than sets in shingles.
+#: Least bits of the parity bitmap of a set; each shingle flips one, so bitmaps differ in no more bits than sets in shingles.
 PARITY = 1024
+#: Pairs are looked up in parts of about this share of the bytes of all sets, and of so many bytes at least.
+PART, PART_BYTES = 1 / 16, 256 << 20
 
 
 def shingle_set(text: str | None, shingle: int) -> np.ndarray:
@@ -47,15 +52,37 @@ def set_digest(hashes: np.ndarray) -> int:
 
 
 def parity_bitmap(hashes: np.ndarray) -> np.ndarray:
-    return np.packbits((np.bincount(hashes & (PARITY - 1), minlength=PARITY) & 1).astype(np.uint8)).view(np.int64)
+    """One bit for each shingle or more, a power of two; the first half xor the second is the bitmap of half the bits."""
+    bits = max(PARITY, 1 << (len(hashes) - 1).bit_length() if len(hashes) else 0)
+    return np.packbits((np.bincount(hashes & (bits - 1), minlength=bits) & 1).astype(np.uint8)).view(np.int64)
 
 
-def possible_pairs(pairs: DataFrame, bitmaps: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (a, b) that the bitmaps (node, size, bits) don't rule out; no alike pair goes."""
+def in_parts(pairs: DataFrame, weight: Column, limit: float, rows: int | None = None) -> Iterator[DataFrame]:
+    """A table's pairs (a, b) in as many parts as keep the sum of `weight` in each at about `limit`, and the rows at `rows`."""
+    n, total = pairs.agg(F.count("*"), F.sum(weight)).first()
+    parts = max(1, math.ceil((total or 0) / limit), math.ceil(n / rows) if rows else 1)
+    for i in range(parts):
+        yield pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i) if parts > 1 else pairs
+
+
+def possible_pairs(pairs: DataFrame, bitmaps: DataFrame, similarity: float, limit: float = PART_BYTES) -> DataFrame:
+    """The pairs (a, b), with n_a and n_b, that sizes and bitmaps (node, size, bits) don't rule out; no alike pair goes."""
     for end in "ab":
-        pairs = pairs.join(bitmaps.select(F.col("node").alias(end), F.col("size").alias(f"n_{end}"), F.col("bits").alias(f"bits_{end}")), end)
-    differ = F.expr("aggregate(zip_with(bits_a, bits_b, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
-    return pairs.where(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + EPS).select("a", "b")
+        pairs = pairs.join(bitmaps.select(F.col("node").alias(end), F.col("size").alias(f"n_{end}")), end)
+    sized = materialize(pairs.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similarity - EPS), "near-sized")
+    # Sizes so near have bitmaps of equal length, or one has twice the other's.
+    short = "least(size(bits_a), size(bits_b))"
+    a, b = (f"if(size(bits_{e}) > {short}, zip_with(slice(bits_{e}, 1, {short}), slice(bits_{e}, {short} + 1, {short}), (x, y) -> x ^ y), bits_{e})" for e in "ab")
+    differ = F.expr(f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)")
+    kept = None
+    for part in in_parts(sized, F.col("n_a") + F.col("n_b") + 2 * PARITY, 8 * limit):
+        for end in "ab":
+            part = part.join(bitmaps.select(F.col("node").alias(end), F.col("bits").alias(f"bits_{end}")), end)
+        found = materialize(part.where(differ <= (F.col("n_a") + F.col("n_b")) * ((1 - similarity) / (1 + similarity)) + EPS).select("a", "b", "n_a", "n_b"), "near-possible")
+        kept = found if kept is None else kept.union(found)
+        collect_garbage(sized)
+    discard(sized)
+    return kept
 
 
 def proposal_plan(rows: int, similarity: float) -> tuple[int, int]:
@@ -140,8 +167,10 @@ def alike_links(docs: DataFrame, reps: DataFrame, sets_once: DataFrame, buckets:
     checked g * g / 2 times.
     """
     bitmaps = sets_once.select("node", "size", "bits")
-    hot = buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    dealt = block_pairs(buckets, maybe_broadcast(materialize(hot, "near-hot")), block)
+    limit = max(PART_BYTES, 8 * PART * (sets_once.agg(F.sum("size")).first()[0] or 0))
+    hot = materialize(buckets.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > block), "near-hot")
+    collect_garbage(hot)
+    dealt = block_pairs(buckets, maybe_broadcast(hot), block)
 
     def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["key", "lo", "hi"]
@@ -153,6 +182,7 @@ def alike_links(docs: DataFrame, reps: DataFrame, sets_once: DataFrame, buckets:
 
     dealt = dealt.select("key", "node", "size", "at", "lo", "hi").repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     rows = live = materialize(dealt.mapInArrow(alone, "key long, node long, size long, at long, lo int, hi int"), "near-live")
+    discard(hot)
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,31 +190,43 @@ def alike_links(docs: DataFrame, reps: DataFrame, sets_once: DataFrame, buckets:
                 found = [shingle_set(t.as_py(), shingle) for t in part.column(0)]
                 yield pa.RecordBatch.from_arrays([pa.array([set_digest(s) for s in found], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["node", "s"])
 
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
+    def verified_part(pairs: DataFrame, name: str) -> DataFrame:
         nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        wanted = materialize(reps.join(nodes, "node", "left_semi"), f"near-wanted-{name}")
-        texts = docs.join(wanted.select(F.col("id").alias("_id")).distinct(), docs.id == F.col("_id"), "left_semi").select("text")
+        wanted = materialize(reps.join(nodes, "node", "left_semi").select("node", "id"), f"near-wanted-{name}")
+        ids = F.broadcast(wanted.select(F.col("id").alias("_id")).distinct())  # at most BROADCAST_BYTES, or else whole texts would be shuffled
+        texts = docs.join(ids, docs.id == F.col("_id"), "left_semi").select("text")
         # An id may have further rows with other texts: only the wanted sets stay, each once.
         found = texts.mapInArrow(sets, "node long, s array<long>").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
         found = materialize(found, f"near-sets-{name}")
-        both = pairs.join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.select("a", "b").join(found.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(found.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
         both = both.select("a", "b", F.size(F.array_intersect("sa", "sb")).alias("o"), (F.size("sa") + F.size("sb")).alias("t"))
         both = materialize(both.where(F.col("o") + EPS >= (F.col("t") - F.col("o")) * similarity).select("a", "b"), f"near-links-{name}")
         discard(wanted, found)
         return both
 
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        parts = in_parts(pairs, 8 * (F.col("n_a") + F.col("n_b")), limit, BROADCAST_BYTES // 32)
+        return reduce(DataFrame.union, [verified_part(part, name) for part in parts])
+
     tau, lead = proposal_plan(sets_once.count(), similarity)
     proposed = link_fingerprints(sets_once.where("size > 0").select("node", "fp"), tau, SEGMENTS, lead, block)
-    proposed = proposed.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b"))
+    proposed = by_print = materialize(proposed.select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")), "near-by-print")
+    collect_garbage(by_print)
     live = live.join(sets_once.select("node", "fold"), "node")
     proposed = proposed.union(_pairs(live.withColumn("label", F.col("node")), similarity, True)).distinct()
-    first = materialize(possible_pairs(proposed, bitmaps, similarity), "near-pairs-first")
+    proposed = materialize(proposed, "near-proposed")
+    discard(by_print)
+    first = materialize(possible_pairs(proposed, bitmaps, similarity, limit), "near-pairs-first")
+    discard(proposed)
     links = verified(first, "first")
     label = connected_components(links, "a", "b").select("node", F.col("component").alias("label"))
     labelled = live.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    further = materialize(possible_pairs(_pairs(labelled, similarity), bitmaps, similarity).join(first, ["a", "b"], "left_anti"), "near-pairs-further")
-    links = links.union(verified(further, "further"))
-    discard(rows, first, further)
+    further = materialize(_pairs(labelled, similarity).join(first.select("a", "b"), ["a", "b"], "left_anti"), "near-further")
+    discard(rows)
+    left = materialize(possible_pairs(further, bitmaps, similarity, limit), "near-pairs-further")
+    discard(further)
+    links = links.union(verified(left, "further"))
+    discard(first, left)
     return links.join(reps.select(F.col("node").alias("a"), F.col("id").alias("src")), "a").join(reps.select(F.col("node").alias("b"), F.col("id").alias("dst")), "b").select("src", "dst")
 
 
@@ -218,9 +260,10 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                 )
 
     rows = materialize(docs.mapInArrow(run, "id long, node long, size long, fp binary, fold binary, bits array<long>, first array<long>"), "near-rows")
-    reps = materialize(rows.groupBy("node").agg(F.min("id").alias("id")), "near-reps")
-    # Of equal sets one row goes into the buckets.
-    one = materialize(rows.join(reps, ["node", "id"], "left_semi").dropDuplicates(["node"]), "near-one")
+    # Of equal sets one row goes into the buckets, that of the smallest id.
+    row = F.struct(*[c for c in rows.columns if c != "node"])
+    one = materialize(rows.groupBy("node").agg(F.min_by(row, "id").alias("row")).select("node", "row.*"), "near-one")
+    reps = one.select("node", "id")
     copies = rows.select("node", F.col("id").alias("dst")).join(reps, "node").where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()
     copies = materialize(copies, "near-copies")
     discard(rows)

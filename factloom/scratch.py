@@ -61,7 +61,12 @@ def discard(*tables: DataFrame) -> None:
         if path:
             _delete(df.sparkSession, path)
     if tables:
-        tables[0].sparkSession.sparkContext._jvm.System.gc()
+        collect_garbage(tables[0])
+
+
+def collect_garbage(df: DataFrame) -> None:
+    """Has the driver's collector run, after which Spark drops the shuffle files of finished queries."""
+    df.sparkSession.sparkContext._jvm.System.gc()
 
 
 def release(spark: SparkSession) -> None:
