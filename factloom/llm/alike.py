@@ -6,8 +6,8 @@ whole sets. At a similarity of 0.8 fingerprints of 64 bits differ in 10 bits on
 budget that prunes finds every such pair. What fingerprints miss between documents that are not
 joined yet is found exactly: all sets are ordered by one global order; two alike sets then share a
 shingle among the first n - ceil(similarity * n) + 1 of each, so buckets by those shingles hold
-every alike pair whatever the order is. Shingles that a sample of the documents shows often come
-last, which keeps buckets small. Pairs whose parity bitmaps differ in more bits than the sets may
+every alike pair whatever the order is. Shingles are ordered by how many documents have one in
+their slot, counted over all documents, so frequent ones come last, which keeps buckets small. Pairs whose parity bitmaps differ in more bits than the sets may
 in shingles can't be alike; what is left is verified as well. Bitmaps have as many bits as their
 sets have shingles, or else those of long texts would rule out nothing. Bitmaps and sets are joined
 to pairs in parts of bounded bytes, and texts are filtered by ids that every executor has.
@@ -16,6 +16,7 @@ to pairs in parts of bounded bytes, and texts are filtered by ids that every exe
 from __future__ import annotations
 
 import math
+import zlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -30,9 +31,9 @@ from .common import BROADCAST_BYTES, block_pairs, key_runs, materialize, maybe_b
 from .components import connected_components
 from .simhash import BLOCK, SEED, fingerprints_of, link_fingerprints, shingle_hashes
 
-#: Documents that tell which shingles are frequent, texts that make one so, and how many are told.
-#: They shape the order only: no pair is lost by them.
-SAMPLE, OFTEN, TOLD = 20_000, 8, 200_000
+#: Slots, by the highest bits of their hashes, in which the shingles of all documents are counted, and blocks of slots.
+#: They shape the order only: no pair is lost where a rare shingle shares a frequent one's slot.
+SLOT_BITS, SLOT_BLOCKS = 22, 64
 EPS = 1e-9
 #: The fingerprints that propose pairs: bits, and the ring's segments.
 BITS, SEGMENTS = 64, 16
@@ -100,19 +101,36 @@ def prefix_length(n: int, similarity: float) -> int:
     return n - int(np.ceil(similarity * n - EPS)) + 1
 
 
-def frequent_shingles(texts: DataFrame, shingle: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes that OFTEN or more of about SAMPLE texts hold, sorted, and their counts."""
-    deal = max(1, texts.count() // SAMPLE)
+def slots_of(hashes: np.ndarray) -> np.ndarray:
+    return (hashes.view(np.uint64) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def slot_ranks(texts: DataFrame, shingle: int) -> np.ndarray:
+    """For each slot a byte that rises with its shingles, summed over the sets of all rows: 10 * log2(1 + n)."""
+    width = (1 << SLOT_BITS) // SLOT_BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(1 << SLOT_BITS, np.uint32)
+        for batch in batches:
+            for part in pieces(batch, 0):
+                if part.num_rows:
+                    np.add.at(n, slots_of(np.concatenate([shingle_set(t.as_py(), shingle) for t in part.column(0)])), 1)
+        blocks = [(i, zlib.compress(b.tobytes(), 1)) for i, b in enumerate(n.reshape(SLOT_BLOCKS, width)) if b.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in blocks], pa.int32()), pa.array([b for _, b in blocks], pa.binary())], ["block", "n"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
         for batch in batches:
-            for t in batch.column(0):
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(t.as_py(), shingle))], ["h"])
+            for i, b in zip(batch.column(0).to_pylist(), batch.column(1)):
+                n = np.frombuffer(zlib.decompress(b.as_py()), np.uint32)
+                sums[i] = sums[i] + n if i in sums else n.astype(np.int64)
+        ranks = [np.minimum(10 * np.log2(1 + n), 255).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array(ranks, pa.binary())], ["block", "ranks"])
 
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(deal)) == 0).select("text").distinct()
-    counts = sample.mapInArrow(run, "h long").groupBy("h").agg(F.count("*").alias("n")).where(F.col("n") >= OFTEN)
-    rows = sorted((r.h, r.n) for r in counts.orderBy(F.desc("n"), "h").limit(TOLD).collect())
-    return np.array([h for h, _ in rows], np.int64), np.array([n for _, n in rows], np.int64)
+    out = np.zeros((SLOT_BLOCKS, width), np.uint8)
+    for r in texts.select("text").mapInArrow(count, "block int, n binary").repartition("block").mapInArrow(add, "block int, ranks binary").collect():
+        out[r.block] = np.frombuffer(r.ranks, np.uint8)
+    return out.ravel()
 
 
 def folded(bits: np.ndarray) -> bytes:
@@ -238,7 +256,7 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     their shingles, and equal sets told by a 64-bit digest.
     """
     docs = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    told, often = frequent_shingles(docs, shingle)
+    ranks = slot_ranks(docs, shingle)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -250,9 +268,7 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
                     sizes.append(len(s))
                     bits.append(parity_bitmap(s))
                     folds.append(folded(bits[-1]))
-                    if len(told) and len(s):
-                        where = np.minimum(np.searchsorted(told, s), len(told) - 1)
-                        s = s[np.lexsort((s, np.where(told[where] == s, often[where], 0)))]
+                    s = s[np.argsort(ranks[slots_of(s)], kind="stable")]
                     firsts.append(s[: prefix_length(len(s), similarity)])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(nodes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([f.tobytes() for f in fps], pa.binary()), pa.array(folds, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(firsts, pa.list_(pa.int64()))],

@@ -2,7 +2,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from factloom.llm import alike
-from factloom.llm.alike import alike_components, parity_bitmap, possible_pairs
+from factloom.llm.alike import alike_components, parity_bitmap, possible_pairs, shingle_set, slot_ranks, slots_of
 
 SCHEMA = "doc_id long, text string"
 
@@ -45,3 +45,15 @@ def test_pairs_in_parts_have_the_same_components(spark, monkeypatch):
     pairs = spark.range(100).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     parts = list(alike.in_parts(pairs, F.lit(1), 1e9, 30))
     assert len(parts) == 4 and sorted(r.a for p in parts for r in p.collect()) == list(range(100))
+
+
+def test_shingles_are_counted_in_all_documents(spark):
+    texts = [None, "", "a b"] + [f"one passage of six words here and own{i} more{i} of it{i}" for i in range(5)] + [f"t{i} u{i} v{i} w{i} x{i} y{i}" for i in range(1000)]
+    want = np.zeros(1 << alike.SLOT_BITS, np.int64)
+    for t in texts:
+        np.add.at(want, slots_of(shingle_set(t, 5)), 1)
+    ranks = slot_ranks(spark.createDataFrame([(t,) for t in texts], "text string").repartition(5), 5)
+    assert (ranks == (10 * np.log2(1 + want)).astype(np.uint8)).all()
+    passage = slots_of(shingle_set("one passage of six words", 5))  # in five documents, which no sample told of
+    assert (ranks[passage] > ranks[slots_of(shingle_set("t7 u7 v7 w7 x7", 5))]).all()
+    assert not slot_ranks(spark.createDataFrame([], "text string"), 5).any()
