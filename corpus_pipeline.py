@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from factloom.llm.common import materialize, read_table
+from factloom.llm.common import bound_batches, materialize, read_table
 from factloom.llm.langid import keep_identified
 from factloom.llm.lines import keep_first_lines
 from factloom.llm.mixing import mixed_documents
@@ -16,6 +16,7 @@ from factloom.scratch import discard
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter and those of which no language holds a fifth of the n-grams go."""
+    bound_batches(spark)
     return keep_identified(docs)
 
 
@@ -26,6 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents alike in five-word shingles to 0.8 or more the one with the smallest id stays; fingerprints propose, sets decide."""
+    bound_batches(spark)
     return drop_near_duplicates(docs, **STAGE)
 
 
@@ -36,6 +38,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every copy, as count and digests, and what they decode to."""
+    bound_batches(spark)
     return piece_tokens(docs)
 
 

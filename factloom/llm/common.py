@@ -19,11 +19,25 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 #: Largest table, by the bytes of its values, that is handed to every executor.
 BROADCAST_BYTES = 16 << 20
 
+#: Rows of a batch of texts that Python gets at a time.
+BATCH_ROWS = 2000
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS) -> None:
+    """From now on the session hands Python batches of at most `rows` rows.
+
+    Spark's 10,000 whole texts are held by the JVM, outside its heap and doubled as they grow, and
+    by the worker at the same time, in every task. The setting is read when a frame is run, so it stays.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def nested(docs: DataFrame, **columns: Column) -> DataFrame:
     """`docs` with each whole row in one struct column `row`, beside the columns named.
 

@@ -23,9 +23,10 @@ from pyspark.sql import types as T
 from .common import pieces, read_table
 
 SPACE = "▁"
-#: Characters that each of a worker's two memos of spans may hold, and entries of its memo of pairs;
-#: a full memo starts anew, and longer spans than `MEMO_SPAN` are never kept.
-MEMO_CHARS, MEMO_SPAN, MEMO_PAIRS = 80_000_000, 200, 300_000
+#: Bytes (about) that each of a worker's two memos of spans may hold, and entries of its memo of pairs;
+#: a full memo starts anew, and longer spans than `MEMO_SPAN` are never kept. Memos last for one task, as
+#: workers stay for later stages, whose memory they would take.
+MEMO_CHARS, MEMO_SPAN, MEMO_PAIRS = 32_000_000, 200, 300_000
 
 
 def default_model() -> str:
@@ -181,6 +182,12 @@ class PieceBpe:
         ids = f"{''.join(out)}{self.eos}"
         return ids, self.decode_ids(ids)
 
+    def forget(self) -> None:
+        """Empties the memos."""
+        for memo in (self.words, self.spans, self.pairs):
+            memo.clear()
+        self.words.held = self.spans.held = 0
+
     def encode(self, text: str | None) -> list[int]:
         """All ids with the end id, as the library gives them."""
         return [int(i) for i in self.encode_text(text)[0].split()]
@@ -239,17 +246,10 @@ def load(model_path: str) -> PieceBpe:
     return _loaded[model_path]
 
 
-def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, ids: bool = False) -> DataFrame:
-    """Every row of `docs` (id, then) n_tokens, ids_sha256, decoded_sha256, with `ids` also ids, decoded.
-
-    A null text counts as empty, which encodes to the end id alone. Rows stay apart even if they
-    repeat an id. Long texts are encoded whole; memory is a few times one text, and the memos
-    are bounded. `model_path` must exist on every executor.
-    """
-    path = model_path or default_model()
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = load(path)
+def encode_batches(bpe: PieceBpe, batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns `names` of a task's batches (id, text), of which there are four, or six with the ids; memos are empty afterwards."""
+    ids, kinds = len(names) > 4, [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
+    try:
         for batch in batches:
             for part in pieces(batch, 1, 200):
                 rows = []
@@ -258,9 +258,23 @@ def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                     decoded = decoded.encode("utf-8", "surrogatepass")
                     row = [id_text.count(" ") + 1, hashlib.sha256(id_text.encode()).hexdigest(), hashlib.sha256(decoded).hexdigest()]
                     rows.append(row + ([list(map(int, id_text.split())), decoded.decode()] if ids else []))
-                kinds = [pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.string()]
                 cols = [pa.array(c, k) for c, k in zip(zip(*rows), kinds)]
                 yield pa.RecordBatch.from_arrays([part.column(0), *cols], names)
+    finally:
+        bpe.forget()
+
+
+def piece_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", model_path: str | None = None, ids: bool = False) -> DataFrame:
+    """Every row of `docs` (id, then) n_tokens, ids_sha256, decoded_sha256, with `ids` also ids, decoded.
+
+    A null text counts as empty, which encodes to the end id alone. Rows stay apart even if they
+    repeat an id. Long texts are encoded whole; memory is a few times one text, and the memos
+    are bounded and go when a task ends. `model_path` must exist on every executor.
+    """
+    path = model_path or default_model()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from encode_batches(load(path), batches, names)
 
     fields = [T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())]
     if ids:
