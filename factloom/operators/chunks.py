@@ -5,7 +5,7 @@ least and `MAX_ENTRIES` at most, so boundaries follow from the sorted keys alone
 give equal trees whatever their history. Where a chunk ends depends on where the one before did;
 range partitions tell for each of the possible numbers of entries since the last boundary how
 they would go on, the driver strings these tables together (one a partition), and then all
-partitions are cut at once. Parents are built the same way over (first key, address) of the children.
+partitions are cut at once, each as a stream. Parents are built the same way over (first key, address) of the children.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ MIN_ENTRIES, MAX_ENTRIES = 32, 1024
 KINDS = ["primary", "live", "schema", "frontier", "meta"]
 #: Entries of one range partition, about.
 PART_ENTRIES = 250_000
+#: Keys that are hashed at once, and entries that a worker gathers before it sends chunks on.
+HASH_KEYS, SENT_ENTRIES = 4096, 8192
 
 LEAF, INNER = 1, 2
 ENTRIES = "array<struct<key:binary,value:binary>>"
@@ -40,7 +42,14 @@ _GEAR = np.array([int.from_bytes(hashlib.sha256(b"gear/" + bytes([b])).digest()[
 
 
 def gear_hashes(keys: list[bytes]) -> np.ndarray:
-    """For each key the hash that rotates left by one bit and takes in a byte's number, byte by byte."""
+    """For each key the hash that rotates left by one bit and takes in a byte's number, byte by byte.
+
+    Several numbers of 8 bytes are held for each byte of a key, and so only for `HASH_KEYS` at a time.
+    """
+    return np.concatenate([np.zeros(0, np.uint64), *[_gear_hashes(keys[at : at + HASH_KEYS]) for at in range(0, len(keys), HASH_KEYS)]])
+
+
+def _gear_hashes(keys: list[bytes]) -> np.ndarray:
     lengths = np.array([len(k) for k in keys], np.int64)
     out = np.zeros(len(keys), np.uint64)
     full = lengths.nonzero()[0]
@@ -198,57 +207,148 @@ def _cuts(flags: np.ndarray, since: int) -> list[int]:
 # trees
 
 
+def _by_part(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """A sorted batch in slices of one range partition each."""
+    parts = batch.column("_part").to_numpy(zero_copy_only=False)
+    edges = [0, *((np.diff(parts).nonzero()[0] + 1).tolist()), len(parts)]
+    for a, b in pairwise(edges):
+        if a < b:
+            yield int(parts[a]), batch.slice(a, b - a)
+
+
+def _entry_lists(column: pa.ListArray) -> Iterator[list[tuple[bytes, bytes]]]:
+    """The entries of each chunk in turn; of one chunk at a time there are objects."""
+    for x in column:
+        yield list(zip(x.values.field(0).to_pylist(), x.values.field(1).to_pylist()))
+
+
+def _entry_column(keys: list[bytes], values: list[bytes], sizes: list[int]) -> pa.ListArray:
+    rows = pa.StructArray.from_arrays([pa.array(keys, pa.binary()), pa.array(values, pa.binary())], ["key", "value"])
+    return pa.ListArray.from_arrays(pa.array([0, *np.cumsum(sizes)], pa.int32()), rows)
+
+
+@dataclass
+class _Cutter:
+    """Cuts the sorted entries of one task and holds no more than an open chunk and `SENT_ENTRIES` entries to send.
+
+    `entry` and `before` tell for each range partition how many entries precede it since the last
+    boundary and how many chunks end before it.
+    """
+
+    level: int
+    width: int
+    entry: dict[int, int]
+    before: dict[int, int]
+    alone: bool
+
+    def __post_init__(self):
+        self.keys, self.values, self.rows = [], [], []
+
+    def pieces(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pieces of chunks; `whole` ones have all entries of theirs and so an address."""
+        part, start = None, 0
+        for batch in batches:
+            for now, rows in _by_part(batch):
+                if now != part:
+                    self._end(part, start, self.alone)
+                    if len(self.keys) >= SENT_ENTRIES:
+                        yield self._sent()
+                    part, since, number, whole = now, self.entry[now], self.before[now], self.alone or self.entry[now] == 0
+                    start = len(self.keys)
+                keys, values, done = rows.column("key").to_pylist(), rows.column("value").to_pylist(), 0
+                ends = _cuts(boundary_keys(keys, self.width), since)
+                for end in ends:
+                    self.keys += keys[done : end + 1]
+                    self.values += values[done : end + 1]
+                    self._note(part, number, start, whole)
+                    number, whole, done = number + 1, True, end + 1
+                    if len(self.keys) >= SENT_ENTRIES:
+                        yield self._sent()
+                    start = len(self.keys)
+                since = len(keys) - 1 - ends[-1] if ends else since + len(keys)
+                self.keys += keys[done:]
+                self.values += values[done:]
+                self.number = number
+        self._end(part, start, self.alone)
+        if self.rows:
+            yield self._sent()
+
+    def _end(self, part: int | None, start: int, whole: bool) -> None:
+        """A partition's last entries, whose chunk may go on in the next one."""
+        if part is not None and start < len(self.keys):
+            self._note(part, self.number, start, whole)
+
+    def _note(self, part: int, number: int, start: int, whole: bool) -> None:
+        addr = chunk_address(encode_chunk(self.level, list(zip(self.keys[start:], self.values[start:])))) if whole else None
+        self.rows.append((number, part, whole, self.keys[start], addr, len(self.keys) - start))
+
+    def _sent(self) -> pa.RecordBatch:
+        number, part, whole, first, addr, sizes = zip(*self.rows)
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(number, pa.int64()), pa.array(part, pa.int32()), pa.array(whole), pa.array([self.level] * len(first), pa.int32()), pa.array(first, pa.binary()), pa.array(addr, pa.binary()), _entry_column(self.keys, self.values, sizes)],
+            ["chunk", "part", "whole", "level", "first", "addr", "entries"],
+        )
+        self.keys, self.values, self.rows = [], [], []
+        return out
+
+
 def _level(rows: DataFrame, n: int, level: int, width: int) -> DataFrame:
-    """Chunks (level, first, addr, entries) of n rows (key, value)."""
+    """Chunks (level, first, addr, entries) of n rows (key, value), written.
+
+    Workers read sorted rows as a stream and hold no partition whole.
+    """
     parts = max(1, -(-n // PART_ENTRIES))
     if parts == 1:
-        ranged, entry, before = rows.withColumn("_part", F.lit(0)), {0: 0}, {0: 0}
+        dealt, entry, before = rows.withColumn("_part", F.lit(0)).repartition(1).sortWithinPartitions("key"), {0: 0}, {0: 0}
     else:
         ranged = rows.repartitionByRange(parts, "key").withColumn("_part", F.spark_partition_id())
         ranged = materialize(ranged, "chunks-ranged")
 
-        def tables(key: tuple, table: pa.Table) -> pa.Table:
-            keys = table.column("key").combine_chunks().sort().to_pylist()
-            left, many = passages(boundary_keys(keys, width))
-            return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "left": pa.array([left.tolist()], pa.list_(pa.int64())), "many": pa.array([many.tolist()], pa.list_(pa.int64()))})
+        def tables(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            part, flags = None, []
 
-        found = ranged.select("_part", "key").groupBy("_part").applyInArrow(tables, "part int, left array<long>, many array<long>").collect()  # one row a partition
+            def told() -> pa.RecordBatch:
+                left, many = passages(np.concatenate(flags))
+                return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([left.tolist()], pa.list_(pa.int64())), pa.array([many.tolist()], pa.list_(pa.int64()))], ["part", "left", "many"])
+
+            for batch in batches:
+                for now, keys in _by_part(batch):
+                    if now != part and flags:
+                        yield told()
+                        flags = []
+                    part = now
+                    flags.append(boundary_keys(keys.column("key").to_pylist(), width))
+            if flags:
+                yield told()
+
+        found = ranged.select("_part", "key").repartition("_part").sortWithinPartitions("_part", "key").mapInArrow(tables, "part int, left array<long>, many array<long>").collect()  # one row a partition
         entry, before, since, total = {}, {}, 0, 0
         for row in sorted(found, key=lambda r: r.part):
             entry[row.part], before[row.part] = since, total
             total += row.many[since]
             since = row.left[since]
+        dealt = ranged.repartition("_part").sortWithinPartitions("_part", "key")
 
-    def cut(key: tuple, table: pa.Table) -> pa.Table:
-        """Pieces of chunks; `whole` ones have all entries of theirs."""
-        part = key[0].as_py()
-        table = table.sort_by("key")
-        keys, values = table.column("key").to_pylist(), table.column("value").to_pylist()
-        ends = [x + 1 for x in _cuts(boundary_keys(keys, width), entry[part])]
-        edges = [0, *ends, *([len(keys)] if not ends or ends[-1] < len(keys) else [])]
-        spans = list(pairwise(edges))
-        last = len(ends) - 1
-        held = [[{"key": k, "value": v} for k, v in zip(keys[a:b], values[a:b])] for a, b in spans]
-        whole = [parts == 1 or ((i > 0 or entry[part] == 0) and i <= last) for i in range(len(spans))]
-        kind = pa.list_(pa.struct([("key", pa.binary()), ("value", pa.binary())]))
-        return pa.table({"chunk": pa.array([before[part] + i for i in range(len(spans))], pa.int64()), "part": pa.array([part] * len(spans), pa.int32()), "whole": pa.array(whole), "entries": pa.array(held, kind)})
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _Cutter(level, width, entry, before, parts == 1).pieces(batches)
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            entries = batch.column("entries")
-            lists = [[(e["key"], e["value"]) for e in x] for x in entries.to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([level] * len(lists), pa.int32()), pa.array([x[0][0] for x in lists], pa.binary()), pa.array([chunk_address(encode_chunk(level, x)) for x in lists], pa.binary()), entries], ["level", "first", "addr", "entries"]
-            )
-
-    pieces = ranged.select("_part", "key", "value").groupBy("_part").applyInArrow(cut, f"chunk long, part int, whole boolean, entries {ENTRIES}")
-    chunks = pieces.select("entries")
-    if parts > 1:
-        pieces = materialize(pieces, "chunks-pieces")
-        # What crosses partitions: at most two pieces of each, of chunks of `MAX_ENTRIES` entries.
-        across = pieces.where("not whole").groupBy("chunk").agg(F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
-        chunks = pieces.where("whole").select("entries").unionByName(across.select("entries"))
-    return chunks.mapInArrow(finish, f"level int, first binary, addr binary, entries {ENTRIES}")
+            column, first, addr = batch.column("entries"), [], []
+            for entries in _entry_lists(column):
+                first.append(entries[0][0])
+                addr.append(chunk_address(encode_chunk(level, entries)))
+            yield pa.RecordBatch.from_arrays([pa.array([level] * len(first), pa.int32()), pa.array(first, pa.binary()), pa.array(addr, pa.binary()), column], ["level", "first", "addr", "entries"])
+
+    names = ["level", "first", "addr", "entries"]
+    pieces = materialize(dealt.select("_part", "key", "value").mapInArrow(cut, f"chunk long, part int, whole boolean, level int, first binary, addr binary, entries {ENTRIES}"), "chunks-pieces")
+    if parts == 1:
+        return pieces.select(*names)
+    discard(ranged)
+    # What crosses partitions: at most two pieces of each, of chunks of `MAX_ENTRIES` entries.
+    across = pieces.where("not whole").groupBy("chunk").agg(F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries"))
+    across = materialize(across.select("entries").mapInArrow(finish, f"level int, first binary, addr binary, entries {ENTRIES}"), "chunks-across")
+    return pieces.where("whole").select(*names).unionByName(across)
 
 
 @dataclass(frozen=True)
@@ -263,7 +363,7 @@ def build_tree(pairs: DataFrame, width: int = WIDTH) -> Tree:
     rows, level, out = pairs.select(F.col("key").cast("binary").alias("key"), F.col("value").cast("binary").alias("value")), 0, None
     n = rows.count()
     while True:
-        chunks = materialize(_level(rows, n, level, width), "chunks-level")
+        chunks = _level(rows, n, level, width)
         out = chunks if out is None else out.unionByName(chunks)
         n = chunks.count()
         if n <= 1:
