@@ -437,8 +437,8 @@ class ChunkTable:
 
         def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for row in batch.to_pylist():
-                    if chunk_address(encode_chunk(row["level"], [(e["key"], e["value"]) for e in row["entries"]])) != row["addr"]:
+                for level, addr, entries in zip(batch.column("level").to_pylist(), batch.column("addr").to_pylist(), _entry_lists(batch.column("entries"))):
+                    if chunk_address(encode_chunk(level, entries)) != addr:
                         raise CorruptionError("a chunk's content isn't that of its address")
                 yield batch
 

@@ -3,8 +3,10 @@
 import tracemalloc
 
 import pyarrow as pa
+import pytest
 
 from factloom.operators import chunks
+from factloom.types import CorruptionError
 
 
 def peak(run):
@@ -37,3 +39,33 @@ def test_partitions_are_cut_as_streams():
             pieces.setdefault(number, []).extend(k for k, _ in entries)
     ends = [x + 1 for x in chunks._cuts(chunks.boundary_keys([k for _, k in rows]), 0)]
     assert [pieces[i] for i in sorted(pieces)] == [[k for _, k in rows[a:b]] for a, b in zip([0, *ends], [*ends, len(rows)]) if a < b]
+
+
+class Rows:
+    """Stands for the frames of a chunk table and keeps the function given to mapInArrow."""
+
+    columns, schema = ["level", "first", "addr", "entries"], ""
+
+    def join(self, *_):
+        return self
+
+    select = join
+    distinct = join
+
+    def mapInArrow(self, function, _):
+        self.function = function
+        return self
+
+
+def test_chunks_are_checked_one_at_a_time():
+    keys = [b"%060d" % i for i in range(256)]
+    column = chunks._entry_column(keys * 800, keys * 800, [256] * 800)
+    addr = chunks.chunk_address(chunks.encode_chunk(0, list(zip(keys, keys))))
+
+    def read(addrs):
+        batch = pa.RecordBatch.from_arrays([pa.array([0] * 800, pa.int32()), pa.array([keys[0]] * 800), pa.array(addrs), column], Rows.columns)
+        return list(chunks.ChunkTable(None, Rows()).get(Rows()).function(iter([batch])))
+
+    assert peak(lambda: read([addr] * 800)) < 10  # MB; the batch as rows takes over 100
+    with pytest.raises(CorruptionError):
+        read([addr] * 799 + [bytes(32)])
