@@ -34,22 +34,31 @@ def entity_exists(datoms: DataFrame, entities: DataFrame) -> DataFrame:
     return entities.join(known, "e", "left").select("e", F.coalesce("_in", F.lit(False)).alias("present"))
 
 
+#: Rows of one window in which rows are compared with those before them.
+ORDER_BLOCK = 1 << 16
+
+
 def from_sorted(datoms: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """`datoms`, which must lie in strictly rising order, with their rank `pos`; nothing is sorted or shuffled.
+    """`datoms`, which must lie in strictly rising order, with their rank `pos`; the facts returned are not sorted or shuffled.
 
-    The order is checked inside each partition and between partitions, where only borders are
-    compared; rows out of order or repeated raise.
+    The order is that of the frame's partitions and of the rows inside each. It is checked in blocks of
+    `ORDER_BLOCK` rows, whose last row is looked at in the next block too, and between partitions, where
+    only borders are compared; rows out of order or repeated raise.
     """
     order = order or EAVT
     rows = datoms.withColumn("_id", F.monotonically_increasing_id())
     rows = materialize(rows.withColumn("_part", F.shiftright("_id", 33)).withColumn("_at", F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id"), "scan-presorted")
-    key = F.struct(*order)
-    falls = F.lag(key).over(Window.partitionBy("_part").orderBy("_at")) >= key
-    borders = rows.groupBy("_part").agg(F.count("*").alias("_n"), F.min_by(key, "_at").alias("_low"), F.max_by(key, "_at").alias("_high"))
-    apart = borders.withColumn("_bad", F.lag("_high").over(Window.orderBy("_part")) >= F.col("_low")).where("_bad")  # a row a partition
-    if not rows.select(falls.alias("_bad")).where("_bad").isEmpty() or not apart.isEmpty():
+    block = F.floor(F.col("_at") / ORDER_BLOCK)
+    blocks = F.when((F.col("_at") + 1) % ORDER_BLOCK == 0, F.array(block, block + 1)).otherwise(F.array(block))
+    keyed = rows.select("_part", "_at", F.struct(*order).alias("_key"))
+    falls = F.lag("_key").over(Window.partitionBy("_part", "_block").orderBy("_at")) >= F.col("_key")
+    counts = rows.groupBy("_part").agg(F.count("*").alias("_n"))  # a row a partition, as is what follows
+    ends = keyed.join(F.broadcast(counts), "_part").where((F.col("_at") == 0) | (F.col("_at") == F.col("_n") - 1))
+    borders = ends.groupBy("_part").agg(F.min_by("_key", "_at").alias("_low"), F.max_by("_key", "_at").alias("_high"))
+    apart = borders.withColumn("_bad", F.lag("_high").over(Window.orderBy("_part")) >= F.col("_low")).where("_bad")
+    if not keyed.withColumn("_block", F.explode(blocks)).select(falls.alias("_bad")).where("_bad").isEmpty() or not apart.isEmpty():
         raise ValidationError("facts are not in strictly rising order")
-    return rows.join(before_each(borders, "_part", "_n"), "_part").select(*datoms.columns, (F.col("_at") + F.col("_n")).alias("pos"))
+    return rows.join(before_each(counts, "_part", "_n"), "_part").select(*datoms.columns, (F.col("_at") + F.col("_n")).alias("pos"))
 
 
 def unique_entities(datoms: DataFrame) -> DataFrame:

@@ -769,8 +769,7 @@ _POS = "row_number() OVER (ORDER BY e, a, v, p, l, n, op) - 1 AS pos"
 
 @register("from_sorted", f"WITH {D} SELECT {ROW}, {_POS} FROM d")
 def from_sorted(spark, sf):
-    d = materialize(scans.scan(event_facts(spark, sf)).coalesce(1), "presorted")  # one file, which is read in its order
-    return portable(scans.from_sorted(d), "pos")
+    return portable(scans.from_sorted(scans.scan(event_facts(spark, sf))), "pos")  # the sort's partitions follow each other
 
 
 @register("canonical", f"WITH {D} SELECT {ROW} FROM d")
