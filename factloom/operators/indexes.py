@@ -5,11 +5,27 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import materialize
+
 
 def text_index(live: DataFrame, attribute: str) -> DataFrame:
-    """(term, e): lower-cased words of a text attribute."""
+    """(term, e): lower-cased words of a text attribute.
+
+    A text's words are made distinct in its row. Only entities with several texts can repeat a pair
+    then, and only their pairs are dealt.
+    """
+    texts = live.where(F.col("a") == attribute).select("e", "v_str")
+    several = texts.groupBy("e").agg(F.count("*").alias("_n")).where("_n > 1").select(F.col("e").alias("_e"))
+    several = materialize(several, "text-several")
     words = F.array_distinct(F.split(F.lower("v_str"), "[^\\p{L}\\p{N}]+"))
-    return live.where(F.col("a") == attribute).select("e", F.explode(words).alias("term")).where("term <> ''").select("term", "e").distinct()
+
+    def pairs(rows: DataFrame) -> DataFrame:
+        return rows.select("e", F.explode(words).alias("term")).where("term <> ''").select("term", "e")
+
+    if several.isEmpty():
+        return pairs(texts)
+    same = texts.e.eqNullSafe(several["_e"])
+    return pairs(texts.join(several, same, "left_anti")).unionByName(pairs(texts.join(several, same, "left_semi")).distinct())
 
 
 def text_search(index: DataFrame, terms: list[str]) -> DataFrame:

@@ -4,11 +4,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import queries
-from factloom.operators import scans
-from factloom.types import ValidationError
+from factloom.operators import indexes, scans
+from factloom.types import STRING, ValidationError
 from tests.helpers import SF, fact, frame
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_presorted_facts_lie_in_several_partitions(spark, monkeypatch):
     given = []
     monkeypatch.setattr(queries.scans, "from_sorted", lambda d: given.append(d) or d.withColumn("pos", F.lit(0)))
@@ -29,3 +33,13 @@ def test_presorted_facts_are_checked_across_blocks(spark, monkeypatch):
         for bad in ([*rows[: at - 1], rows[at], rows[at - 1], *rows[at + 1 :]], [*rows[:at], rows[at - 1], *rows[at:]]):
             with pytest.raises(ValidationError):
                 scans.from_sorted(frame(spark, bad).coalesce(1))
+
+
+def test_words_are_dealt_for_entities_with_several_texts_only(spark):
+    one, more = fact("a", "t", "to be, or not to BE", 1, tag=STRING), fact("b", "t", "be here", 1, tag=STRING)
+    index = indexes.text_index(frame(spark, [one, more]), "t")
+    assert "Exchange" not in plan(index)
+    assert sorted(r.term for r in index.collect()) == ["be", "be", "here", "not", "or", "to"]
+    again = [fact("a", "t", "be or be gone", 2, tag=STRING), fact("a", "t", "gone", 3, tag=STRING)]
+    got = [(r.e and bytes(r.e), r.term) for r in indexes.text_index(frame(spark, [one, more, *again, (None, *more[1:]), (None, *more[1:])]), "t").collect()]
+    assert len(got) == len(set(got)) == 9
