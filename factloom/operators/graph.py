@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scratch import materialize
@@ -50,16 +50,47 @@ def k_hop(graph: DataFrame, nodes: DataFrame, k: int, attributes: list[str] | No
     return seen.where("hops > 0")
 
 
-def reachable(graph: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(start, node): everything reached in one step or more; ends on cyclic graphs as well."""
-    steps = materialize(graph.select("src", "dst").distinct(), "graph-steps")
-    front = nodes.select(F.col("id").alias("start"), F.col("id").alias("node")).distinct()
-    seen = None
+def reachable(graph: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(start, node): everything reached in one step or more; ends on cyclic graphs as well. Without `nodes` all may start.
+
+    What a node reaches is its first steps and what these reach. So while the nodes stepped to get fewer, by
+    half at least, only they go on as starts, each once however many starts share it; then what is reached is
+    put together from the last level back. Starts with one first step can't meet a node twice there, and only
+    the others' pairs are dealt to be made distinct. Where nodes don't get fewer, starts go on in rounds.
+    """
+    steps = materialize(graph.select("src", "dst"), "graph-steps")
+    levels, before = [], None
+    while True:
+        first = steps.where("src IS NOT NULL") if nodes is None else steps.join(nodes.select(F.col("id").alias("src")), "src", "left_semi")
+        first = first.distinct().withColumn("n", F.count("*").over(Window.partitionBy("src")))
+        first = materialize(first, "graph-first")
+        heads = materialize(first.select(F.col("dst").alias("id")).distinct(), "graph-heads")
+        n = heads.count()
+        if not n or 2 * n > (first.count() if before is None else before):
+            found = _rounds(steps, first.select(F.col("src").alias("start"), F.col("dst").alias("node"))) if n else first.select(F.col("src").alias("start"), F.col("dst").alias("node"))
+            break
+        levels.append((first, heads))
+        nodes, before = heads, n
+    for first, heads in reversed(levels):
+        # each head and what it reaches; a head on a cycle reaches itself too
+        ahead = found.where(~F.col("start").eqNullSafe(F.col("node"))).select(F.col("start").alias("_head"), "node").unionByName(heads.select(F.col("id").alias("_head"), F.col("id").alias("node")))
+        ahead = materialize(ahead, "graph-ahead")  # of the nodes stepped to, not of the starts
+
+        def pairs(rows: DataFrame, ahead: DataFrame = ahead) -> DataFrame:
+            return rows.join(ahead, rows.dst.eqNullSafe(ahead["_head"])).select(F.col("src").alias("start"), "node")
+
+        found, several = pairs(first.where("n = 1")), first.where("n > 1")
+        if not several.isEmpty():
+            found = found.unionByName(pairs(several).distinct())
+    return found
+
+
+def _rounds(steps: DataFrame, first: DataFrame) -> DataFrame:
+    """(start, node) of everything reached, from the pairs of the first step: each round follows last round's new pairs."""
+    front = seen = first
     while True:
         nxt = front.join(steps, front.node == steps.src).select("start", F.col("dst").alias("node")).distinct()
-        if seen is not None:
-            nxt = nxt.join(seen, ["start", "node"], "left_anti")
-        front = materialize(nxt, "graph-front")
+        front = materialize(nxt.join(seen, ["start", "node"], "left_anti"), "graph-front")
         if front.isEmpty():
-            return seen if seen is not None else front
-        seen = front if seen is None else seen.unionByName(front)
+            return seen
+        seen = seen.unionByName(front)

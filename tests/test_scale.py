@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom import queries
-from factloom.operators import indexes, scans
+from factloom.operators import graph, indexes, scans
 from factloom.types import STRING, ValidationError
 from tests.helpers import SF, fact, frame
 
@@ -43,3 +43,39 @@ def test_words_are_dealt_for_entities_with_several_texts_only(spark):
     again = [fact("a", "t", "be or be gone", 2, tag=STRING), fact("a", "t", "gone", 3, tag=STRING)]
     got = [(r.e and bytes(r.e), r.term) for r in indexes.text_index(frame(spark, [one, more, *again, (None, *more[1:]), (None, *more[1:])]), "t").collect()]
     assert len(got) == len(set(got)) == 9
+
+
+def closure(edges, starts):
+    out, new = set(), {(s, d) for s in starts for x, d in edges if x == s}
+    while new:
+        out |= new
+        new = {(s, d) for s, n in new for x, d in edges if x == n} - out
+    return out
+
+
+@pytest.mark.parametrize("shape", ["layers", "hubs", "cycle", "layers into a cycle", "none"])
+def test_what_is_reached_is_the_closure(spark, shape):
+    layers = [(i, 100 + i % 12) for i in range(60)] + [(i, 100 + i % 5) for i in range(0, 60, 7)] + [(100 + i, 200 + i % 3) for i in range(12)] + [(200, 300), (201, 300)]
+    edges = {
+        "layers": [*layers, *layers[:5]],
+        "hubs": [(i, 100 + j) for i in range(10) for j in range(3)] + [(100 + j, i) for i in range(10) for j in range(3)],
+        "cycle": [(i, (i + 1) % 7) for i in range(7)] + [(3, 3)],
+        "layers into a cycle": [*layers, (300, 200), (202, 202), (300, 5)],
+        "none": [],
+    }[shape]
+    graph_ = spark.createDataFrame(edges, "src long, dst long")
+    for starts in ([*range(60), 0, 999], [5], []):
+        got = [tuple(r) for r in graph.reachable(graph_, spark.createDataFrame([(s,) for s in starts], "id long")).collect()]
+        assert len(got) == len(set(got)) and set(got) == closure(edges, starts)
+    got = [tuple(r) for r in graph.reachable(graph_).collect()]
+    assert len(got) == len(set(got)) and set(got) == closure(edges, {s for s, _ in edges})
+
+
+def test_starts_that_share_a_first_step_share_what_it_reaches(spark, monkeypatch):
+    written = []
+    keep = graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: written.append(keep(df, name)) or written[-1])
+    chain = [(i, 1000) for i in range(500)] + [(1000 + i, 1001 + i) for i in range(5)]
+    got = graph.reachable(spark.createDataFrame(chain, "src long, dst long"), spark.range(500))
+    assert got.count() == 3000
+    assert sum(t.count() for t in written) < 1200  # rounds wrote 3500 and more
