@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import reachable
 from ..scratch import materialize
 from ..types import QueryError, lane
 
@@ -196,6 +197,10 @@ class Compiler:
     params: dict = field(default_factory=dict)
     types: dict[str, int] = field(default_factory=dict)
     rules: dict[str, DataFrame] = field(default_factory=dict)
+    #: Steps (src, dst) of rules that are closures, which are followed from the starts that a body binds.
+    steps: dict[str, DataFrame] = field(default_factory=dict)
+    #: The last body's rows if they are distinct as they are.
+    known: DataFrame | None = None
 
     def _given(self, x):
         if isinstance(x, Param):
@@ -221,10 +226,20 @@ class Compiler:
                 rows = rows.where(column == F.lit(x))
         return rows.select(*[c.alias(n) for n, c in out.items()]) if out else rows.select(F.lit(1).alias("_any")).limit(1)
 
-    def call(self, c: Call) -> DataFrame:
-        if c.name not in self.rules:
-            raise QueryError(f"no rule {c.name}")
-        rows, out = self.rules[c.name], {}
+    def _follows(self, c, have: DataFrame | None) -> bool:
+        """Whether a clause is a closure whose starts are bound."""
+        return have is not None and isinstance(c, Call) and c.name in self.steps and len(c.args) == 2 and isinstance(c.args[0], Var) and c.args[0].name in have.columns
+
+    def call(self, c: Call, have: DataFrame | None = None) -> DataFrame:
+        if self._follows(c, have):
+            rows = reachable(self.steps[c.name], have.select(F.col(c.args[0].name).alias("id"))).toDF("_0", "_1")
+        else:
+            if c.name in self.steps and c.name not in self.rules:
+                self.rules[c.name] = materialize(reachable(self.steps[c.name]).toDF("_0", "_1"), "datalog-rule")
+            if c.name not in self.rules:
+                raise QueryError(f"no rule {c.name}")
+            rows = self.rules[c.name]
+        out = {}
         for i, x in enumerate(c.args):
             x, column = self._given(x), F.col(f"_{i}")
             if isinstance(x, Var):
@@ -243,9 +258,10 @@ class Compiler:
             return F.col(x.name)
         return F.lit(x)
 
-    def body(self, clauses: Sequence, start: DataFrame | None = None) -> DataFrame:
+    def body(self, clauses: Sequence, start: DataFrame | None = None, keep: set[str] | None = None) -> DataFrame:
         """Relations with most constants first, always joined on shared variables; predicates as
-        soon as bound; negations last."""
+        soon as bound; negations last. With `keep` the result is a set of these variables: where only a
+        closure's starts are still wanted of what is bound, the closure takes its place without a join."""
         relations = sorted([c for c in clauses if isinstance(c, (Pattern, Call))], key=self._cost)
         predicates, negations = [c for c in clauses if isinstance(c, Predicate)], [c for c in clauses if isinstance(c, Negation)]
         have = start
@@ -255,9 +271,12 @@ class Compiler:
             shared = [c for c in relations if have is None or self._vars(c) & set(have.columns)]
             c = (shared or relations)[0]
             relations.remove(c)
-            rows = self.pattern(c) if isinstance(c, Pattern) else self.call(c)
+            rows = self.pattern(c) if isinstance(c, Pattern) else self.call(c, have)
+            later = set().union(keep or (), *[self._vars(x) for x in (*relations, *predicates, *negations)])
             if have is None:
                 have = rows
+            elif keep is not None and self._follows(c, have) and set(have.columns) & (later | self._vars(c)) == {c.args[0].name}:
+                have, self.known = rows, rows
             else:
                 on = [v for v in rows.columns if v in have.columns]
                 if on:
@@ -288,8 +307,8 @@ class Compiler:
         return -sum(not isinstance(self._given(x), Var) and x != "_" for x in ((c.e, c.v) if isinstance(c, Pattern) else c.args))
 
     def run(self, q: Query) -> DataFrame:
-        have = self.body(q.where)
         names = [f.name if isinstance(f, Var) else f.var.name for f in q.find]
+        have = self.body(q.where, keep=None if any(isinstance(f, Aggregate) for f in q.find) else set(names))
         for n in names:
             if n not in have.columns:
                 raise QueryError(f"?{n} isn't bound")
@@ -299,7 +318,9 @@ class Compiler:
             out = have.distinct().groupBy(*keys).agg(*[AGGREGATES[f.fn](f.var.name).alias(f.label) for f in aggs])
             out = out.select(*[f.name if isinstance(f, Var) else f.label for f in q.find])
         else:
-            out = have.select(*keys).distinct()
+            out = have.select(*keys)
+            if have is not self.known or set(keys) != set(have.columns):
+                out = out.distinct()
         if q.order_by:
             label = {f.var.name: f.label for f in aggs}
             out = out.orderBy(*[F.col(label.get(v.name, v.name)).desc() if down else F.col(label.get(v.name, v.name)).asc() for v, down in q.order_by])
@@ -311,8 +332,27 @@ def types_of(schema: DataFrame) -> dict[str, int]:
     return {r["attr"]: r["value_type"] for r in schema.select("attr", "value_type").collect()}
 
 
+def closures(rules: Sequence[Rule]) -> set[str]:
+    """Names of rules that only chain steps: (r ?x ?z) from (r ?x ?y) and (r ?y ?z), and bodies without these rules."""
+    names = {r.name for r in rules}
+
+    def chains(r: Rule) -> bool:
+        if len(r.head) != 2 or len(r.body) != 2 or not all(isinstance(c, Call) and c.name == r.name and len(c.args) == 2 and all(isinstance(x, Var) for x in c.args) for c in r.body):
+            return False
+        return any(a.args[0] == r.head[0] and b.args[1] == r.head[1] and a.args[1] == b.args[0] and len({*r.head, a.args[1]}) == 3 for a, b in (r.body, r.body[::-1]))
+
+    out = set()
+    for n in names:
+        own = [r for r in rules if r.name == n]
+        first = [r for r in own if not chains(r)]
+        if first and len(first) < len(own) and all(len(r.head) == 2 and not any(isinstance(c, Call) and c.name in names for c in r.body) for r in first):
+            out.add(n)
+    return out
+
+
 def solve_rules(compiler: Compiler, rules: Sequence[Rule]) -> None:
-    """Fixpoint of positive rules, semi-naive: each round joins last round's new rows only.
+    """Fixpoint of positive rules, semi-naive: each round joins last round's new rows only. Rules that
+    only chain steps are left to `reachable`, which is given the starts that the query binds.
 
     Rounds are written to the shared folder so plans stay small.
     """
@@ -325,6 +365,16 @@ def solve_rules(compiler: Compiler, rules: Sequence[Rule]) -> None:
         have = c.body(r.body)
         return have.select(*[F.col(v.name).alias(f"_{i}") for i, v in enumerate(r.head)])
 
+    for n in closures(rules):
+        steps = None
+        for r in rules:
+            if r.name == n and not any(isinstance(c, Call) and c.name == n for c in r.body):
+                found = rows(r, compiler).toDF("src", "dst")
+                steps = found if steps is None else steps.unionByName(found)
+        if dict(steps.dtypes)["src"] == dict(steps.dtypes)["dst"]:
+            compiler.steps[n] = steps
+            rules = [r for r in rules if r.name != n]
+            names.remove(n)
     total: dict[str, DataFrame] = {}
     for r in rules:
         if not any(isinstance(c, Call) and c.name in names for c in r.body):
@@ -339,7 +389,7 @@ def solve_rules(compiler: Compiler, rules: Sequence[Rule]) -> None:
                 if isinstance(clause, Call) and clause.name in names and clause.name in fresh:
                     # this use sees the new rows, the others everything
                     body = tuple(Call("_fresh", clause.args) if i == at else c for i, c in enumerate(r.body))
-                    c = Compiler(compiler.live, compiler.params, compiler.types, {**compiler.rules, **total, "_fresh": fresh[clause.name]})
+                    c = Compiler(compiler.live, compiler.params, compiler.types, {**compiler.rules, **total, "_fresh": fresh[clause.name]}, compiler.steps)
                     found = rows(Rule(r.name, r.head, body), c)
                     new[r.name] = found if r.name not in new else new[r.name].unionByName(found)
         fresh = {}

@@ -5,8 +5,10 @@ from pyspark.sql import functions as F
 
 from factloom import queries
 from factloom.operators import graph, indexes, scans
-from factloom.types import STRING, ValidationError
-from tests.helpers import SF, fact, frame
+from factloom.operators.live import live_set
+from factloom.plans import datalog
+from factloom.types import LONG, REF, STRING, ValidationError
+from tests.helpers import SF, eid, fact, frame
 
 
 def plan(df):
@@ -79,3 +81,20 @@ def test_starts_that_share_a_first_step_share_what_it_reaches(spark, monkeypatch
     got = graph.reachable(spark.createDataFrame(chain, "src long, dst long"), spark.range(500))
     assert got.count() == 3000
     assert sum(t.count() for t in written) < 1200  # rounds wrote 3500 and more
+
+
+def test_closure_rules_answer_as_rounds_do(spark, monkeypatch):
+    pairs = [(1, 2), (2, 3), (3, 1), (4, 2), (5, 6), (6, 6), (7, 5)]
+    rows = live_set(frame(spark, [fact(f"n{a}", "to", eid(f"n{b}"), 1, tag=REF) for a, b in pairs] + [fact(f"n{a}", "tag", a % 2, 1) for a in (1, 4, 5, 7)]))
+    rules = ("[(up ?x ?y) [?x to ?y]]", "[(up ?x ?z) (up ?x ?y) (up ?y ?z)]")
+    asked = ["[:find ?o ?x :where [?o tag ?s] (up ?o ?x)]", "[:find ?o ?s ?x :where [?o tag ?s] (up ?o ?x)]", "[:find ?s (count ?x) :where [?o tag ?s] (up ?o ?x)]", "[:find ?x :where [?o tag 1] (up ?o ?x) (up ?x ?x)]"]
+
+    def answers():
+        got = [[tuple(bytes(x) if isinstance(x, bytearray) else x for x in r) for r in datalog.query(rows, q, {"to": REF, "tag": LONG}, rules=rules).collect()] for q in asked]
+        assert all(len(x) == len(set(x)) for x in got)
+        return [set(x) for x in got]
+
+    assert datalog.closures([datalog.parse_rule(r) for r in rules]) == {"up"}
+    fast = answers()
+    monkeypatch.setattr(datalog, "closures", lambda _: set())
+    assert fast == answers() and all(fast)
